@@ -155,13 +155,13 @@ dm AS (
 
 def _roll(n: int) -> str:
     w = f"(ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    x = "CAST(revenue AS DECIMAL(18,4))"
+    x = "CAST(revenue AS DECIMAL(19,4))"
     s1 = f"CAST(SUM({x}) OVER {w} AS DOUBLE)"
     s2 = f"CAST(SUM({x} * {x}) OVER {w} AS DOUBLE)"
     full = f"COUNT(revenue) OVER {w} >= {n}"
     var = f"GREATEST({D(0.0)}, ({s2} - {s1} * {s1} / {D(float(n))}) / {D(float(n - 1))})"
     return (f"CASE WHEN {full} THEN {s1} / {D(float(n))} END AS revenue_rolling_mean_{n}, "
-            f"CASE WHEN {full} THEN ROUND(SQRT({var}), 6) END AS revenue_rolling_std_{n}")
+            f"CASE WHEN {full} THEN CAST(ROUND(CAST(CAST(SQRT({var}) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) END AS revenue_rolling_std_{n}")
 
 
 DAILY_FEATURES = DAILY_METRICS + f""",
@@ -324,7 +324,7 @@ FROM {fact('date', 'category', 'quantity')} GROUP BY 1""")
 
 _VOL = f"""vol AS (
   SELECT product, mean, std, std / mean AS cv, std * {D(X.SAFETY_Z_SIMPLE)} AS safety_stock
-  FROM (SELECT product, AVG(quantity) AS mean, ROUND(STDDEV_SAMP(quantity), 6) AS std
+  FROM (SELECT product, AVG(quantity) AS mean, CAST(ROUND(CAST(CAST(STDDEV_SAMP(quantity) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS std
         FROM {fact('product', 'quantity')} WHERE product IS NOT NULL GROUP BY product))"""
 q("product_volatility", f"WITH {_VOL} SELECT * FROM vol")
 q("top_volatile", f"WITH {_VOL} SELECT * FROM vol ORDER BY cv DESC NULLS LAST, product LIMIT 10")
@@ -348,7 +348,7 @@ q("monthly_year_revenue", f"""SELECT CAST(month(date) AS INTEGER) AS month,
 FROM {fact('date', 'revenue_dec')} GROUP BY 1""")
 
 PRODUCT_DEMAND = f"""pd AS (
-  SELECT product, AVG(quantity) AS avg_demand, ROUND(STDDEV_SAMP(quantity), 6) AS std_demand,
+  SELECT product, AVG(quantity) AS avg_demand, CAST(ROUND(CAST(CAST(STDDEV_SAMP(quantity) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS std_demand,
          SUM(quantity) AS total_demand, COUNT(DISTINCT order_key) AS frequency
   FROM {fact('product', 'quantity', 'order_key')} WHERE product IS NOT NULL GROUP BY product)"""
 q("product_demand", f"WITH {PRODUCT_DEMAND} SELECT * FROM pd")
@@ -369,8 +369,8 @@ SELECT * FROM a, p""")
 
 _STATS = ("customer_id", "quantity", "unit_price", "discount", "total_price")
 q("column_statistics", f"WITH f AS (SELECT * FROM {fact(*_STATS)})\n" + "\nUNION ALL\n".join(
-    f"""SELECT '{c}' AS column_name, COUNT({c}) AS count, ROUND(AVG(CAST({c} AS DOUBLE)), 6) AS mean,
-  ROUND(STDDEV_SAMP(CAST({c} AS DOUBLE)), 6) AS std, MIN(CAST({c} AS DOUBLE)) AS min,
+    f"""SELECT '{c}' AS column_name, COUNT({c}) AS count, CAST(ROUND(CAST(CAST(AVG(CAST({c} AS DOUBLE)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS mean,
+  CAST(ROUND(CAST(CAST(STDDEV_SAMP(CAST({c} AS DOUBLE)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS std, MIN(CAST({c} AS DOUBLE)) AS min,
   quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS p50,
   quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75, MAX(CAST({c} AS DOUBLE)) AS max FROM f""" for c in _STATS))
 
@@ -457,10 +457,10 @@ st AS (SELECT AVG(recency) AS mu_r, AVG(frequency) AS mu_f,
               STDDEV_SAMP(recency) AS sd_r, STDDEV_SAMP(frequency) AS sd_f,
               STDDEV_SAMP(monetary) AS sd_m, STDDEV_SAMP(avg_order_value) AS sd_a FROM base)
 SELECT customer_id,
-  ROUND((recency - mu_r) / sd_r, 6) AS recency_z,
-  ROUND((frequency - mu_f) / sd_f, 6) AS frequency_z,
-  ROUND((monetary - mu_m) / sd_m, 6) AS monetary_z,
-  ROUND((avg_order_value - mu_a) / sd_a, 6) AS avg_order_value_z
+  CAST(ROUND(CAST(CAST((recency - mu_r) / sd_r AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS recency_z,
+  CAST(ROUND(CAST(CAST((frequency - mu_f) / sd_f AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS frequency_z,
+  CAST(ROUND(CAST(CAST((monetary - mu_m) / sd_m AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS monetary_z,
+  CAST(ROUND(CAST(CAST((avg_order_value - mu_a) / sd_a AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS avg_order_value_z
 FROM base, st""")
 
 q("customer_clv", f"""WITH {ORDERS},
@@ -470,7 +470,7 @@ c AS (SELECT *, CAST(m AS DOUBLE) / frequency AS avg_order_value,
              CAST(frequency * 365 AS DOUBLE) / CAST(GREATEST(date_diff('day', first_date, last_date) + 1, 365) AS DOUBLE)
                AS orders_per_year FROM per)
 SELECT customer_id, first_date, last_date, frequency, avg_order_value, orders_per_year,
-       ROUND(avg_order_value * orders_per_year * {D(3.0)}, 6) AS clv FROM c""")
+       CAST(ROUND(CAST(CAST(avg_order_value * orders_per_year * {D(3.0)} AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS clv FROM c""")
 
 # ------------------------------------------------------------------ baskets
 
@@ -497,9 +497,9 @@ s AS (SELECT product, SUM(units) AS total_demand, SUM(units * units) AS s2, COUN
       FROM pdd GROUP BY product),
 o AS (SELECT product, days, selling_days, total_demand,
              total_demand / CAST(days AS DOUBLE) AS avg_daily_demand,
-             CASE WHEN days > 1 THEN ROUND(SQRT(GREATEST(
+             CASE WHEN days > 1 THEN CAST(ROUND(CAST(CAST(SQRT(GREATEST(
                (s2 - total_demand * total_demand / CAST(days AS DOUBLE)) / (CAST(days AS DOUBLE) - {D(1.0)}),
-               {D(0.0)})), 6) END AS std_daily_demand
+               {D(0.0)})) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) END AS std_daily_demand
       FROM s, span)
 SELECT *, std_daily_demand * {D(X.Z_95)} * {D(math.sqrt(X.LEAD_TIME_DAYS))} AS safety_stock,
        avg_daily_demand * {D(float(X.LEAD_TIME_DAYS))}
@@ -513,15 +513,15 @@ s AS (SELECT product, SUM(quantity) AS total_units, SUM(CAST(extended_price AS D
 c AS (SELECT product, total_units, total_units * {D(INV.DAYS_PER_YEAR)} / CAST(days AS DOUBLE) AS annual_demand,
              CAST(v AS DOUBLE) / total_units AS unit_cost FROM s, span)
 SELECT product, total_units, annual_demand, unit_cost,
-       ROUND(SQRT({D(2.0)} * annual_demand * {D(INV.ORDER_COST)} / ({D(INV.HOLDING_RATE)} * unit_cost)), 6) AS eoq
+       CAST(ROUND(CAST(CAST(SQRT({D(2.0)} * annual_demand * {D(INV.ORDER_COST)} / ({D(INV.HOLDING_RATE)} * unit_cost)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS eoq
 FROM c""")
 
 # ------------------------------------------------------------------ forecasting (SQL-expressible)
 
 q("trend_line", f"""WITH {DAILY_REV},
 t AS (SELECT revenue, CAST(date_diff('day', (SELECT MIN(date) FROM daily), date) AS INTEGER) AS t FROM daily)
-SELECT ROUND(regr_slope(revenue, t), 6) AS slope, ROUND(regr_intercept(revenue, t), 6) AS intercept,
-       ROUND(regr_r2(revenue, t), 6) AS r2, COUNT(*) AS n FROM t""")
+SELECT CAST(ROUND(CAST(CAST(regr_slope(revenue, t) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS slope, CAST(ROUND(CAST(CAST(regr_intercept(revenue, t) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS intercept,
+       CAST(ROUND(CAST(CAST(regr_r2(revenue, t) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS r2, COUNT(*) AS n FROM t""")
 
 
 def _fourier() -> str:
@@ -529,8 +529,8 @@ def _fourier() -> str:
     for name, period, order in (("yearly", FC.YEAR_DAYS, FC.YEARLY_ORDER), ("weekly", FC.WEEK_DAYS, FC.WEEKLY_ORDER)):
         for k in range(1, order + 1):
             arg = f"{D(2.0 * math.pi * k)} * CAST(t AS DOUBLE) / {D(period)}"
-            cols.append(f"ROUND(sin({arg}), 6) AS {name}_sin_{k}")
-            cols.append(f"ROUND(cos({arg}), 6) AS {name}_cos_{k}")
+            cols.append(f"CAST(ROUND(CAST(CAST(sin({arg}) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS {name}_sin_{k}")
+            cols.append(f"CAST(ROUND(CAST(CAST(cos({arg}) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS {name}_cos_{k}")
     return ", ".join(cols)
 
 
@@ -549,23 +549,23 @@ SELECT date, revenue, scaled, scaled * (mx - mn) + mn AS restored FROM s""")
 q("forecast_metrics", f"""WITH {DAILY_REV},
 s AS (SELECT revenue AS y, LAG(revenue, 7) OVER (ORDER BY date) AS p FROM daily),
 e AS (SELECT y, p, y - p AS e FROM s WHERE p IS NOT NULL AND y IS NOT NULL)
-SELECT COUNT(*) AS n, ROUND(AVG(abs(e)), 6) AS mae,
-       ROUND(SQRT(SUM(e * e) / COUNT(*)), 6) AS rmse,
-       ROUND({D(1.0)} - SUM(e * e) / (SUM(y * y) - SUM(y) * SUM(y) / COUNT(*)), 6) AS r2,
-       ROUND({D(100.0)} * AVG(abs(e) / GREATEST(abs(y), {D(FC.MAPE_EPS)})), 6) AS mape
+SELECT COUNT(*) AS n, CAST(ROUND(CAST(CAST(AVG(abs(e)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS mae,
+       CAST(ROUND(CAST(CAST(SQRT(SUM(e * e) / COUNT(*)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS rmse,
+       CAST(ROUND(CAST(CAST({D(1.0)} - SUM(e * e) / (SUM(y * y) - SUM(y) * SUM(y) / COUNT(*)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS r2,
+       CAST(ROUND(CAST(CAST({D(100.0)} * AVG(abs(e) / GREATEST(abs(y), {D(FC.MAPE_EPS)})) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS mape
 FROM e""")
 
 q("ses_level", f"""WITH {DPS},
 pd AS (SELECT product, date, SUM(units) AS units FROM dps GROUP BY product, date)
 SELECT product, CAST(COUNT(*) AS INTEGER) AS n_days,
-       ROUND(list_reduce(list(units ORDER BY date),
-             lambda acc, x: {D(FC.SES_ALPHA)} * x + {D(1.0 - FC.SES_ALPHA)} * acc), 6) AS level
+       CAST(ROUND(CAST(CAST(list_reduce(list(units ORDER BY date),
+             lambda acc, x: {D(FC.SES_ALPHA)} * x + {D(1.0 - FC.SES_ALPHA)} * acc) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS level
 FROM pd GROUP BY product""")
 
 q("ar1_by_product", f"""WITH {DPS},
 pd AS (SELECT product, date, SUM(units) AS units FROM dps GROUP BY product, date),
 l AS (SELECT product, units, LAG(units, 1) OVER (PARTITION BY product ORDER BY date) AS prev FROM pd)
-SELECT product, ROUND(regr_slope(units, prev), 6) AS phi, ROUND(regr_intercept(units, prev), 6) AS c,
+SELECT product, CAST(ROUND(CAST(CAST(regr_slope(units, prev) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS phi, CAST(ROUND(CAST(CAST(regr_intercept(units, prev) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS c,
        COUNT(*) AS n
 FROM l WHERE prev IS NOT NULL GROUP BY product""")
 
