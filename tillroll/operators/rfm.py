@@ -90,9 +90,11 @@ def rfm_with_attributes(base: DataFrame, attrs: DataFrame) -> DataFrame:
 
 def rfm_scores(base: DataFrame) -> DataFrame:
     """R, F, M scores, the three-digit code (keeps ``monetary_dec``)."""
-    r_q = histogram_quantiles(base, "recency", QUARTILES, prefix="r")
-    m_q = exact_quantiles(base, "monetary", QUARTILES, key=["customer_id"], prefix="m")
+    # The ranked frame is checkpointed: the customer aggregate is computed
+    # once and the R and M cut points are read from the materialised rows.
     ranked = global_position(base, ["frequency", "customer_id"], name="f_rank")
+    r_q = histogram_quantiles(ranked, "recency", QUARTILES, prefix="r")
+    m_q = exact_quantiles(ranked, "monetary", QUARTILES, key=["customer_id"], prefix="m")
     n = ranked.agg(F.count(F.lit(1)).alias("_n"))
     f_q = n.select(*[(F.lit(1.0) + F.lit(p) * (F.col("_n") - 1).cast("double")).alias(f"f{i}")
                      for i, p in enumerate(QUARTILES)])
