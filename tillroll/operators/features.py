@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import exprs as X
 from tillroll.functions.ranking import global_position
-from tillroll.operators import kpi
 
 # Fixed values of the reference's feature set.
 PRODUCT_LAGS = (1, 7)
@@ -155,22 +154,31 @@ def daily_features(metrics: DataFrame, frame: str = "compat") -> DataFrame:
         X.is_weekend(F.col("date")).alias("is_weekend"),
     ]
     cols += [F.lag("revenue", k).over(w).alias(f"revenue_lag_{k}") for k in DAILY_LAGS]
-    # Rolling moments from exact decimal sums: a day's revenue has 4 decimals,
-    # so sum(x) and sum(x*x) over the frame are exact and the results do not
-    # depend on the summation order of a windowed double sum.
-    x = F.col("revenue").cast("decimal(18,4)")
     for n in DAILY_WINDOWS:
-        lo, hi = _frame(n, frame)
-        wf = w.rowsBetween(lo, hi)
-        full = F.count("revenue").over(wf) >= n
-        s1 = X.to_double(F.sum(x).over(wf))
-        s2 = X.to_double(F.sum(x * x).over(wf))
-        var = F.greatest(F.lit(0.0), (s2 - s1 * s1 / F.lit(float(n))) / F.lit(float(n - 1)))
-        cols.append(F.when(full, s1 / F.lit(float(n))).alias(f"revenue_rolling_mean_{n}"))
-        cols.append(F.when(full, X.round6(F.sqrt(var))).alias(f"revenue_rolling_std_{n}"))
+        cols += rolling_full("revenue", n, w, frame)
     return metrics.select(*cols).na.drop()
 
 
+def rolling_full(value: str, n: int, w: Window, frame: str = "compat") -> list[Column]:
+    """Mean and sample std over the last ``n`` rows, null until the frame is full.
+
+    The moments come from exact decimal sums (a day's revenue has 4
+    decimals), so sum(x) and sum(x*x) over the frame are exact and the
+    result does not depend on the summation order of a windowed double sum.
+    """
+    lo, hi = _frame(n, frame)
+    wf = w.rowsBetween(lo, hi)
+    x = F.col(value).cast("decimal(18,4)")
+    full = F.count(value).over(wf) >= n
+    s1 = X.to_double(F.sum(x).over(wf))
+    s2 = X.to_double(F.sum(x * x).over(wf))
+    var = F.greatest(F.lit(0.0), (s2 - s1 * s1 / F.lit(float(n))) / F.lit(float(n - 1)))
+    return [
+        F.when(full, s1 / F.lit(float(n))).alias(f"{value}_rolling_mean_{n}"),
+        F.when(full, X.round6(F.sqrt(var))).alias(f"{value}_rolling_std_{n}"),
+    ]
+
+
 def revenue_sequences(daily: DataFrame, n: int = SEQUENCE_LENGTH) -> DataFrame:
     """Sliding windows of ``n`` revenues and the value that follows (W7).
 

@@ -92,12 +92,12 @@ def economic_order_quantity(fact: DataFrame, order_cost: float = ORDER_COST,
         F.sum("quantity").alias("total_units"),
         X.exact_sum(X.dec(F.col("extended_price"))).alias("_value"),
     ).crossJoin(F.broadcast(span))
-    annual = F.col("total_units") * F.lit(DAYS_PER_YEAR) / F.col("days").cast("double")
-    unit_cost = X.to_double(F.col("_value")) / F.col("total_units")
+    annual = X.null_div(F.col("total_units") * F.lit(DAYS_PER_YEAR), F.col("days").cast("double"))
+    unit_cost = X.null_div(X.to_double(F.col("_value")), F.col("total_units"))
     holding = F.lit(holding_rate) * unit_cost
     return s.select(
         "product", "total_units",
         annual.alias("annual_demand"),
         unit_cost.alias("unit_cost"),
-        X.round6(F.sqrt(F.lit(2.0) * annual * F.lit(order_cost) / holding)).alias("eoq"),
+        X.round6(F.sqrt(X.null_div(F.lit(2.0) * annual * F.lit(order_cost), holding))).alias("eoq"),
     )

@@ -191,7 +191,7 @@ def kpi_summary(fact: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("transactions"),
         F.sum("lines").alias("lines"),
         X.money_sum(F.col("revenue_dec")).alias("total_revenue"),
-        (X.money_sum(F.col("revenue_dec")) / F.count(F.lit(1))).alias("avg_order_value"),
+        X.null_div(X.money_sum(F.col("revenue_dec")), F.count(F.lit(1))).alias("avg_order_value"),
         F.sum("units").alias("total_units"),
         F.countDistinct("customer_id").alias("unique_customers"),
         F.min("date").alias("first_date"),

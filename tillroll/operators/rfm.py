@@ -158,7 +158,7 @@ def customer_value_summary(seg: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return seg.agg(
         n.alias("customers"),
-        (X.money_sum(F.col("monetary_dec")) / n).alias("avg_customer_value"),
+        X.null_div(X.money_sum(F.col("monetary_dec")), n).alias("avg_customer_value"),
         X.money_sum(F.col("monetary_dec")).alias("total_customer_value"),
     )
 
@@ -173,7 +173,7 @@ def rfm_scaled(base: DataFrame) -> DataFrame:
     """Standardised R, F, M, AOV: (x - mean) / sample std, 6 decimals."""
     feats = ["recency", "frequency", "monetary", "avg_order_value"]
     stats = base.agg(*[F.avg(c).alias(f"_mu_{c}") for c in ("recency", "frequency")],
-                     (X.money_sum(F.col("monetary_dec")) / F.count(F.lit(1))).alias("_mu_monetary"),
+                     X.null_div(X.money_sum(F.col("monetary_dec")), F.count(F.lit(1))).alias("_mu_monetary"),
                      F.avg("avg_order_value").alias("_mu_avg_order_value"),
                      *[F.stddev_samp(c).alias(f"_sd_{c}") for c in feats])
     out = base.crossJoin(F.broadcast(stats))
