@@ -14,9 +14,10 @@ through a single task and are broadcast.
 
 ``exact_quantiles`` reads the two order statistics around each requested
 position (linear interpolation, like pandas/NumPy ``quantile`` and DuckDB
-``quantile_cont``).  For columns whose distinct values are bounded by the
-calendar (recency in days) ``histogram_quantiles`` is cheaper: a group-by
-on the value and a running count over the distinct values.
+``quantile_cont``).  It first combines equal values map-side (a histogram:
+a column of quantities or days shrinks to a few dozen rows per task), then
+ranks the distinct values the same distributed way, with counts as
+weights.
 """
 
 from __future__ import annotations
@@ -83,60 +84,88 @@ def _interp(probs: Sequence[float], n: Column) -> list[tuple[Column, Column]]:
     return out
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], key: Sequence[str] = (),
-                    prefix: str = "q") -> DataFrame:
-    """One row with columns ``{prefix}0..`` = linear-interpolated quantiles.
+def _targets(n_frame: DataFrame, probs: Sequence[float], group: Sequence[str]) -> DataFrame:
+    """Per group and probability: index, lower 1-based position, fraction."""
+    parts = []
+    for i, (lo, frac) in enumerate(_interp(probs, F.col("_n"))):
+        parts.append(n_frame.select(*group, F.lit(i).alias("_i"), lo.alias("_lo"), frac.alias("_f")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
-    Nulls are ignored.  ``key`` completes the sort order to a total order.
+def value_ranges(df: DataFrame, value: str, group: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+    """Distinct values with the 1-based range of positions they occupy.
+
+    ``(*group, _v, _c, _from, _to)``: value, count, first and last position in
+    the sorted column (per group).  Duplicates are combined map-side first (a
+    histogram), the distinct values are range-partitioned on (group, value)
+    and sorted, and the running count is the per-partition running sum plus
+    the total of the earlier partitions of the same group (one row per
+    partition and group).  Nothing passes through a single task except those
+    per-partition totals.
     """
-    vals = df.select(F.col(value).cast("double").alias("_v"), *key).where(F.col("_v").isNotNull())
-    pos = global_position(vals, ["_v", *key], name="_p")
-    n = pos.agg(F.count(F.lit(1)).alias("_n"))
-    wanted = []
-    for i, (lo, frac) in enumerate(_interp(probs, F.col("_n"))):
-        wanted.append(n.select(F.lit(i).alias("_i"), lo.alias("_lo"), frac.alias("_f")))
-    targets = wanted[0]
-    for w in wanted[1:]:
-        targets = targets.unionByName(w)
-    # the rows at the lower position and the one after it (a handful of rows)
-    lo_rows = pos.join(F.broadcast(targets), pos["_p"] == targets["_lo"]).select("_i", "_f", F.col("_v").alias("_vlo"))
-    hi_rows = pos.join(F.broadcast(targets), pos["_p"] == targets["_lo"] + 1).select("_i", F.col("_v").alias("_vhi"))
-    picked = lo_rows.join(hi_rows, "_i", "left").select(
-        "_i",
-        F.when(F.col("_vhi").isNull() | (F.col("_f") == 0), F.col("_vlo"))
-        .otherwise(F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))).alias("_q"),
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    group = list(group)
+    n = _num_partitions(df, num_partitions)
+    hist = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+    ranked = (
+        hist.repartitionByRange(n, *group, "_v").sortWithinPartitions(*group, "_v")
+        .withColumn("_tr_pid", F.spark_partition_id())
+        .checkpoint(eager=True)
     )
-    return picked.agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))])
-
+    tot = ranked.groupBy(*group, "_tr_pid").agg(F.sum("_c").alias("_tr_n"))
+    before = Window.partitionBy(*group).orderBy("_tr_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select(*group, "_tr_pid", F.coalesce(F.sum("_tr_n").over(before), F.lit(0)).alias("_tr_off"))
+    run = F.sum("_c").over(Window.partitionBy("_tr_pid", *group).orderBy("_v")
+                           .rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("_run", run).join(F.broadcast(offsets), [*group, "_tr_pid"]).select(
+        *group, "_v", "_c", (F.col("_tr_off") + F.col("_run") - F.col("_c") + 1).alias("_from"),
+        (F.col("_tr_off") + F.col("_run")).alias("_to"))
 
-def histogram_quantiles(df: DataFrame, value: str, probs: Sequence[float], prefix: str = "q") -> DataFrame:
-    """Exact quantiles for a column with few distinct values (e.g. days).
 
-    The histogram has one row per distinct value, bounded by the domain
-    (recency in days is bounded by the calendar span), so its running count
-    is computed in one small task.
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], key: Sequence[str] = (),
+                    prefix: str = "q", group: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolated quantiles ``{prefix}0..``; one row (per group).
+
+    Same definition as NumPy/pandas ``quantile`` and DuckDB
+    ``quantile_cont``; nulls are ignored.  Computed from ``value_ranges``:
+    the order statistics at the needed positions are the values whose
+    position range contains them (a handful of rows per group, found by a
+    broadcast range join against the 2 x len(probs) target positions).
+    ``key`` is accepted for symmetry with ``global_position``; ties need no
+    tie-break here.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.select("_v", (F.sum("_c").over(w) - F.col("_c") + 1).alias("_from"), F.sum("_c").over(w).alias("_to"))
-    n = hist.agg(F.sum("_c").alias("_n"))
-    parts = []
-    for i, (lo, frac) in enumerate(_interp(probs, F.col("_n"))):
-        parts.append(n.select(F.lit(i).alias("_i"), lo.alias("_lo"), frac.alias("_f")))
-    targets = parts[0]
-    for p in parts[1:]:
-        targets = targets.unionByName(p)
-    lo_rows = cum.join(F.broadcast(targets), (F.col("_lo") >= F.col("_from")) & (F.col("_lo") <= F.col("_to"))) \
-        .select("_i", "_f", F.col("_v").alias("_vlo"))
-    hi_rows = cum.join(F.broadcast(targets), (F.col("_lo") + 1 >= F.col("_from")) & (F.col("_lo") + 1 <= F.col("_to"))) \
-        .select("_i", F.col("_v").alias("_vhi"))
-    picked = lo_rows.join(hi_rows, "_i", "left").select(
-        "_i",
+    group = list(group)
+    vr = value_ranges(df, value, group)
+    n = vr.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    targets = _targets(n, probs, group)
+    t_lo = targets.withColumnRenamed("_lo", "_pos")
+    t_hi = targets.select(*group, "_i", (F.col("_lo") + 1).alias("_pos"))
+
+    def at(t, name, extra):
+        t = t.select(*[F.col(g).alias(f"_t_{g}") for g in group], *[c for c in t.columns if c not in group])
+        cond = (F.col("_pos") >= F.col("_from")) & (F.col("_pos") <= F.col("_to"))
+        for g in group:
+            cond = cond & (F.col(g) == F.col(f"_t_{g}"))
+        return vr.join(F.broadcast(t), cond).select(*group, "_i", *extra, F.col("_v").alias(name))
+
+    lo_rows = at(t_lo, "_vlo", ["_f"])
+    hi_rows = at(t_hi, "_vhi", [])
+    picked = lo_rows.join(hi_rows, [*group, "_i"], "left").select(
+        *group, "_i",
         F.when(F.col("_vhi").isNull() | (F.col("_f") == 0), F.col("_vlo"))
         .otherwise(F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))).alias("_q"),
     )
-    return picked.agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))])
+    aggs = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
+    return picked.groupBy(*group).agg(*aggs) if group else picked.agg(*aggs)
+
+
+# the histogram form is the general one; kept under its descriptive name
+histogram_quantiles = exact_quantiles
 
 
 QUARTILES = (0.25, 0.5, 0.75)

@@ -208,35 +208,31 @@ def kpi_summary(fact: DataFrame) -> DataFrame:
 def column_statistics(fact: DataFrame, columns: Sequence[str], exact_quantiles: bool = True) -> DataFrame:
     """``describe()`` as tall rows: one row per column.
 
-    count, mean, std (6 decimals), min, 25 %, 50 %, 75 %, max.  Quartiles are
-    exact (distributed order statistics); ``exact_quantiles=False`` uses
-    ``percentile_approx`` instead for very large inputs.
+    count, mean and std (6 decimals), min, 25 %, 50 %, 75 %, max.  The columns
+    are unpivoted once into (column_name, value), so one scan feeds every
+    statistic.  Quartiles are exact (distributed order statistics over a
+    per-column histogram); ``exact_quantiles=False`` uses
+    ``percentile_approx`` for very large high-cardinality columns.
     """
     from tillroll.functions.ranking import QUARTILES, exact_quantiles as eq
 
-    frames = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        base = fact.agg(
-            F.lit(c).alias("column_name"),
-            F.count(v).alias("count"),
-            X.round6(F.avg(v)).alias("mean"),
-            X.std6(v).alias("std"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-        )
-        if exact_quantiles:
-            q = eq(fact, c, QUARTILES)
-        else:
-            q = fact.agg(F.percentile_approx(v, list(QUARTILES), 10000).alias("_a")).select(
-                *[F.col("_a")[i].alias(f"q{i}") for i in range(3)])
-        frames.append(base.crossJoin(q).select(
-            "column_name", "count", "mean", "std", "min",
-            F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    long = fact.selectExpr(f"stack({len(columns)}, {stack}) as (column_name, v)")
+    base = long.groupBy("column_name").agg(
+        F.count("v").alias("count"),
+        X.round6(F.avg("v")).alias("mean"),
+        X.std6(F.col("v")).alias("std"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+    )
+    if exact_quantiles:
+        q = eq(long, "v", QUARTILES, group=["column_name"])
+    else:
+        q = long.groupBy("column_name").agg(F.percentile_approx("v", list(QUARTILES), 10000).alias("_a")).select(
+            "column_name", *[F.col("_a")[i].alias(f"q{i}") for i in range(3)])
+    return base.join(q, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min",
+        F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 def null_counts(fact: DataFrame) -> DataFrame:
