@@ -25,37 +25,61 @@ BASKET_SAMPLE = 2000  # the reference scans the first 2,000 baskets
 
 
 def basket_items(fact: DataFrame, item: str) -> DataFrame:
-    """Distinct (basket, item) rows."""
-    return fact.where(F.col(item).isNotNull()).select(
+    """Distinct (basket, item) rows.
+
+    The distinct is combined map-side before its shuffle, so a hot basket
+    (even a third of all lines) reaches the shuffle as at most one row per
+    item and map task.
+    """
+    # both null checks are explicit so that every consumer of this frame sees
+    # the same filters (and Spark can reuse one shuffle for all of them)
+    return fact.where(F.col(item).isNotNull() & F.col("order_key").isNotNull()).select(
         F.col("order_key").alias("basket"), F.col(item).alias("item")).distinct()
 
 
-def _basket_count(fact: DataFrame) -> DataFrame:
-    return fact.select("order_key").distinct().agg(F.count(F.lit(1)).alias("baskets"))
+def basket_count(items: DataFrame) -> DataFrame:
+    """One row: baskets with at least one (non-null) item."""
+    return items.groupBy("basket").agg(F.count(F.lit(1)).alias("_k")).agg(F.count(F.lit(1)).alias("baskets"))
 
 
 def item_support(items: DataFrame) -> DataFrame:
     return items.groupBy("item").agg(F.count(F.lit(1)).alias("item_baskets"))
 
 
-def pair_counts(items: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+def pair_counts(items: DataFrame) -> DataFrame:
     """Baskets containing both items, for every unordered pair a < b."""
-    if keep is not None:
-        items = items.join(F.broadcast(keep), "item", "left_semi")
     a = items.select(F.col("basket"), F.col("item").alias("item_a"))
     b = items.select(F.col("basket"), F.col("item").alias("item_b"))
     return a.join(b, (a["basket"] == b["basket"]) & (F.col("item_a") < F.col("item_b"))) \
         .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_count"))
 
 
+def frequent_pair_frames(fact: DataFrame, item: str, min_support: float):
+    """(items, basket count, item support, pair counts) from one items frame.
+
+    All four derive from the same ``items`` subtree, so Spark reuses its
+    shuffle output instead of scanning the fact again.  With a positive
+    threshold the items are pruned a-priori by an inner broadcast join with
+    the frequent items (at most avg items per basket / min_support of them);
+    an inner join, unlike a semi join, is not pushed below the distinct, so
+    the subtree stays shared.
+    """
+    items = basket_items(fact, item)
+    n = basket_count(items)
+    sup = item_support(items)
+    if min_support > 0:
+        keep = sup.crossJoin(F.broadcast(n)).where(
+            F.col("item_baskets") >= F.lit(min_support) * F.col("baskets")).select("item")
+        pruned = items.join(F.broadcast(keep), "item").select("basket", "item")
+    else:
+        pruned = items
+    return items, n, sup, pair_counts(pruned)
+
+
 def basket_pairs(fact: DataFrame, item: str = "category", min_support: float = PAIR_MIN_SUPPORT) -> DataFrame:
     """Pairs with support >= ``min_support``, by descending support."""
-    items = basket_items(fact, item)
-    n = _basket_count(fact)
-    sup = item_support(items).crossJoin(F.broadcast(n))
-    keep = sup.where(F.col("item_baskets") >= F.lit(min_support) * F.col("baskets")).select("item")
-    pairs = pair_counts(items, keep).crossJoin(F.broadcast(n))
-    return pairs.select(
+    _, n, _, pairs = frequent_pair_frames(fact, item, min_support)
+    return pairs.crossJoin(F.broadcast(n)).select(
         "item_a", "item_b", "pair_count",
         (F.col("pair_count") / F.col("baskets")).alias("support"),
     ).where(F.col("support") >= F.lit(min_support)).orderBy(F.desc("support"), "item_a", "item_b")
@@ -92,7 +116,7 @@ def basket_pairs_multiset(fact: DataFrame, item: str = "category") -> DataFrame:
         .select("item_a", "item_b", (F.col("n_a") * F.col("n_b")).alias("w"))
     same = per.where(F.col("n") >= 2).select(
         F.col("item").alias("item_a"), F.col("item").alias("item_b"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("w"))
-    n = _basket_count(fact)
+    n = per.groupBy("basket").agg(F.count(F.lit(1)).alias("_k")).agg(F.count(F.lit(1)).alias("baskets"))
     return cross.unionByName(same).groupBy("item_a", "item_b").agg(F.sum("w").alias("pair_count")) \
         .crossJoin(F.broadcast(n)).select(
             "item_a", "item_b", "pair_count", (F.col("pair_count") / F.col("baskets")).alias("support"))
@@ -103,12 +127,11 @@ def association_rules(fact: DataFrame, item: str = "category", min_support: floa
 
     Each ratio is one division of exact integer counts.
     """
-    items = basket_items(fact, item)
-    n = _basket_count(fact)
-    sup = item_support(items)
-    pairs = basket_pairs(fact, item, min_support).select("item_a", "item_b", "pair_count")
-    both = pairs.select(F.col("item_a").alias("antecedent"), F.col("item_b").alias("consequent"), "pair_count") \
-        .unionByName(pairs.select(F.col("item_b").alias("antecedent"), F.col("item_a").alias("consequent"), "pair_count"))
+    _, n, sup, pairs = frequent_pair_frames(fact, item, min_support)
+    fp = pairs.crossJoin(F.broadcast(n)).where(F.col("pair_count") / F.col("baskets") >= F.lit(min_support)) \
+        .select("item_a", "item_b", "pair_count")
+    both = fp.select(F.col("item_a").alias("antecedent"), F.col("item_b").alias("consequent"), "pair_count") \
+        .unionByName(fp.select(F.col("item_b").alias("antecedent"), F.col("item_a").alias("consequent"), "pair_count"))
     sa = sup.select(F.col("item").alias("antecedent"), F.col("item_baskets").alias("antecedent_baskets"))
     sc = sup.select(F.col("item").alias("consequent"), F.col("item_baskets").alias("consequent_baskets"))
     r = both.join(sa, "antecedent").join(sc, "consequent").crossJoin(F.broadcast(n))

@@ -266,7 +266,7 @@ FROM base b LEFT JOIN fa USING (customer_id)""")
 def _pairs(item: str, min_support: float) -> str:
     return f"""WITH items AS (SELECT DISTINCT order_key AS basket, {item} AS item FROM {fact('order_key', item)}
                WHERE {item} IS NOT NULL),
-nb AS (SELECT COUNT(DISTINCT order_key) AS baskets FROM {fact('order_key')}),
+nb AS (SELECT COUNT(DISTINCT basket) AS baskets FROM items),
 pc AS (SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS pair_count
        FROM items a JOIN items b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2)
 SELECT item_a, item_b, pair_count, pair_count / baskets AS support
@@ -279,7 +279,7 @@ q("basket_pairs_top", _pairs("category", X.PAIR_MIN_SUPPORT) + " ORDER BY suppor
 q("basket_pairs_sample", f"""WITH sample AS (SELECT DISTINCT order_key FROM {fact('order_key')} ORDER BY order_key LIMIT 2000),
 f AS (SELECT * FROM {fact('order_key', 'category')} WHERE order_key IN (SELECT order_key FROM sample)),
 items AS (SELECT DISTINCT order_key AS basket, category AS item FROM f WHERE category IS NOT NULL),
-nb AS (SELECT COUNT(DISTINCT order_key) AS baskets FROM f),
+nb AS (SELECT COUNT(DISTINCT basket) AS baskets FROM items),
 pc AS (SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS pair_count
        FROM items a JOIN items b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2)
 SELECT item_a, item_b, pair_count, pair_count / baskets AS support
@@ -287,7 +287,7 @@ FROM pc, nb WHERE pair_count / baskets >= {D(X.PAIR_MIN_SUPPORT)}""")
 
 q("basket_pairs_multiset", f"""WITH per AS (SELECT order_key AS basket, category AS item, COUNT(*) AS n
              FROM {fact('order_key', 'category')} WHERE category IS NOT NULL GROUP BY 1, 2),
-nb AS (SELECT COUNT(DISTINCT order_key) AS baskets FROM {fact('order_key')}),
+nb AS (SELECT COUNT(DISTINCT basket) AS baskets FROM per),
 w AS (SELECT a.item AS item_a, b.item AS item_b, a.n * b.n AS w
       FROM per a JOIN per b ON a.basket = b.basket AND a.item < b.item
       UNION ALL
@@ -476,7 +476,7 @@ SELECT customer_id, first_date, last_date, frequency, avg_order_value, orders_pe
 
 q("association_rules", f"""WITH items AS (SELECT DISTINCT order_key AS basket, category AS item
                FROM {fact('order_key', 'category')} WHERE category IS NOT NULL),
-nb AS (SELECT COUNT(DISTINCT order_key) AS baskets FROM {fact('order_key')}),
+nb AS (SELECT COUNT(DISTINCT basket) AS baskets FROM items),
 sup AS (SELECT item, COUNT(*) AS item_baskets FROM items GROUP BY item),
 pc AS (SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS pair_count
        FROM items a JOIN items b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2),
