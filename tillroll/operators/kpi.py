@@ -179,13 +179,16 @@ def product_demand(fact: DataFrame) -> DataFrame:
     )
 
 
-def kpi_summary(fact: DataFrame) -> DataFrame:
+def kpi_summary(fact: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Global KPIs as one row.
 
-    Distinct orders and customers come from the order-level frame; distinct
-    products and categories from a (product, category) pre-aggregation whose
-    partial aggregation leaves a handful of rows per task.
+    Distinct orders and customers come from the order-level frame of
+    ``fact`` (lines joined to orders only, so the roll-up to orders reuses the
+    order-key partitioning of that join); distinct products and categories
+    come from ``items`` (lines joined to parts), pre-aggregated map-side to a
+    handful of rows per task.
     """
+    items = fact if items is None else items
     orders = orders_of(fact)
     o = orders.agg(
         F.count(F.lit(1)).alias("transactions"),
@@ -197,7 +200,7 @@ def kpi_summary(fact: DataFrame) -> DataFrame:
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     )
-    pc = fact.groupBy("product", "category").agg(F.count(F.lit(1)).alias("_n"))
+    pc = items.groupBy("product", "category").agg(F.count(F.lit(1)).alias("_n"))
     p = pc.agg(
         F.countDistinct("product").alias("unique_products"),
         F.countDistinct("category").alias("unique_categories"),

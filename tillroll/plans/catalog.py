@@ -303,8 +303,8 @@ def product_demand(spark, d):
 
 @query
 def kpi_summary(spark, d):
-    return K.kpi_summary(fact(spark, d, "order_key", "customer_id", "date", "revenue_dec", "quantity",
-                              "product", "category"))
+    return K.kpi_summary(fact(spark, d, "order_key", "customer_id", "date", "revenue_dec", "quantity"),
+                         fact(spark, d, "product", "category"))
 
 
 STAT_COLUMNS = ("customer_id", "quantity", "unit_price", "discount", "total_price")
