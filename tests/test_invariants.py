@@ -24,7 +24,7 @@ def test_partition_independence(spark):
     f = sales_fact(spark, SF001, ["order_key", "customer_id", "date", "revenue_dec", "quantity", "category"])
     a, b = f.repartition(1), f.repartition(7, "category")
     assert rows(K.category_revenue(a)) == rows(K.category_revenue(b))
-    assert rows(K.daily_metrics(a)) == rows(K.daily_metrics(b))
+    assert rows(K.daily_metrics(K.orders_of(a))) == rows(K.daily_metrics(K.orders_of(b)))
     ra = R.public(R.rfm_segments(R.rfm_scores(R.rfm_base(a))))
     rb = R.public(R.rfm_segments(R.rfm_scores(R.rfm_base(b))))
     assert rows(ra) == rows(rb)
@@ -72,10 +72,10 @@ def test_leakage_causal_features(spark):
 def test_empty_input_keeps_schema(spark):
     f = sales_fact(spark, SF001, FULL_FACT).limit(0)
     f = f.withColumn("revenue_dec", F.lit(None).cast("decimal(38,4)"))
-    for op in (K.category_revenue, K.daily_metrics, K.product_performance, B.basket_pairs):
+    for op in (K.category_revenue, lambda x: K.daily_metrics(K.orders_of(x)), K.product_performance, B.basket_pairs):
         out = op(f)
         assert out.count() == 0 and len(out.columns) > 0
-    one = K.kpi_summary(f).collect()
+    one = K.kpi_summary(K.orders_of(f), f).collect()
     assert len(one) == 1 and one[0].transactions == 0
 
 
@@ -165,3 +165,13 @@ def test_stream_emits_closed_windows_only(spark):
     last_closed = (mx - dt.timedelta(days=1)).date()
     got = out.agg(F.max("window_date")).first()[0]
     assert got is not None and got < last_closed
+
+
+def test_eager_aggregation_equals_line_level(spark):
+    from tillroll.sources.tables import order_totals, part_totals
+
+    lines = sales_fact(spark, SF001, ["order_key", "customer_id", "date", "revenue_dec", "quantity"])
+    assert rows(order_totals(spark, SF001)) == rows(K.orders_of(lines).select(
+        "order_key", "customer_id", "date", "revenue_dec", "units", "lines"))
+    prod = sales_fact(spark, SF001, ["category", "revenue_dec"])
+    assert rows(K.category_revenue(part_totals(spark, SF001))) == rows(K.category_revenue(prod))

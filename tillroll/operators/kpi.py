@@ -30,7 +30,11 @@ def _keys_not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def revenue_by(fact: DataFrame, keys: Sequence[str], name: str = "revenue") -> DataFrame:
-    """Exact revenue per key (pandas ``groupby(keys)['TotalPrice'].sum()``)."""
+    """Exact revenue per key (pandas ``groupby(keys)['TotalPrice'].sum()``).
+
+    ``fact`` may be line rows or pre-aggregated rows (``order_totals``,
+    ``part_totals``): decimal sums decompose exactly.
+    """
     return _keys_not_null(fact, keys).groupBy(*keys).agg(X.money_sum(F.col("revenue_dec")).alias(name))
 
 
@@ -42,8 +46,12 @@ def category_revenue(fact: DataFrame) -> DataFrame:
     return revenue_by(fact, ["category"]).orderBy(F.desc("revenue"), "category")
 
 
-def tier_revenue(fact: DataFrame) -> DataFrame:
-    return revenue_by(fact, ["loyalty_tier"]).orderBy("revenue", "loyalty_tier")
+def tier_revenue(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Revenue per loyalty tier: summed per customer first, then joined to
+    the customer attributes (one row per customer on each side)."""
+    per = orders.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+        F.sum("revenue_dec").alias("revenue_dec"))
+    return revenue_by(per.join(customers, "customer_id"), ["loyalty_tier"]).orderBy("revenue", "loyalty_tier")
 
 
 def daily_product_sales(fact: DataFrame) -> DataFrame:
@@ -65,9 +73,13 @@ def orders_of(fact: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def daily_metrics(fact: DataFrame) -> DataFrame:
-    """Revenue, units, distinct customers and transactions per day."""
-    orders = orders_of(fact).where(F.col("date").isNotNull())
+def daily_metrics(orders: DataFrame) -> DataFrame:
+    """Revenue, units, distinct customers and transactions per day.
+
+    ``orders`` has one row per order (``orders_of`` or ``order_totals``), so
+    transactions are a plain count.
+    """
+    orders = orders.where(F.col("date").isNotNull())
     return orders.groupBy("date").agg(
         X.money_sum(F.col("revenue_dec")).alias("revenue"),
         F.sum("units").alias("units"),
@@ -76,9 +88,9 @@ def daily_metrics(fact: DataFrame) -> DataFrame:
     )
 
 
-def weekday_pattern(fact: DataFrame) -> DataFrame:
-    """Mean transaction value per weekday (Monday = 0)."""
-    orders = orders_of(fact).where(F.col("date").isNotNull())
+def weekday_pattern(orders: DataFrame) -> DataFrame:
+    """Mean transaction value per weekday (Monday = 0), from order rows."""
+    orders = orders.where(F.col("date").isNotNull())
     return (
         orders.groupBy(X.weekday(F.col("date")).alias("day_of_week"),
                        F.date_format(F.col("date"), "E").alias("day_name"))
@@ -103,12 +115,12 @@ def product_performance(fact: DataFrame) -> DataFrame:
     )
 
 
-def holiday_sales(fact: DataFrame) -> DataFrame:
-    """Lines, orders, units and revenue on holiday vs other days."""
-    return fact.groupBy("is_holiday").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.countDistinct("order_key").alias("transactions"),
-        F.sum("quantity").alias("units"),
+def holiday_sales(orders: DataFrame) -> DataFrame:
+    """Lines, orders, units and revenue on holiday vs other days (order rows)."""
+    return orders.groupBy(X.is_holiday(F.col("date")).alias("is_holiday")).agg(
+        F.sum("lines").alias("lines"),
+        F.count(F.lit(1)).alias("transactions"),
+        F.sum("units").alias("units"),
         X.money_sum(F.col("revenue_dec")).alias("revenue"),
     )
 
@@ -179,17 +191,13 @@ def product_demand(fact: DataFrame) -> DataFrame:
     )
 
 
-def kpi_summary(fact: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def kpi_summary(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Global KPIs as one row.
 
-    Distinct orders and customers come from the order-level frame of
-    ``fact`` (lines joined to orders only, so the roll-up to orders reuses the
-    order-key partitioning of that join); distinct products and categories
-    come from ``items`` (lines joined to parts), pre-aggregated map-side to a
-    handful of rows per task.
+    Orders, lines, revenue, units, customers and dates come from the order
+    rows; distinct products and categories from ``items`` (rows carrying
+    product and category, e.g. ``part_totals``), pre-aggregated map-side.
     """
-    items = fact if items is None else items
-    orders = orders_of(fact)
     o = orders.agg(
         F.count(F.lit(1)).alias("transactions"),
         F.sum("lines").alias("lines"),
@@ -254,10 +262,9 @@ def null_counts(fact: DataFrame) -> DataFrame:
     ).select("column_name", "data_type", "non_null", (F.col("_rows") - F.col("non_null")).alias("nulls"))
 
 
-def transaction_labels(fact: DataFrame) -> DataFrame:
-    """Zero-padded transaction label per order (``TXN_%06d``)."""
-    return fact.select("order_key").distinct().select(
-        "order_key", F.format_string("TXN_%06d", F.col("order_key")).alias("transaction_label"))
+def transaction_labels(orders: DataFrame) -> DataFrame:
+    """Zero-padded transaction label per order (``TXN_%06d``); one row per order in."""
+    return orders.select("order_key", F.format_string("TXN_%06d", F.col("order_key")).alias("transaction_label"))
 
 
 def dim_products(fact: DataFrame) -> DataFrame:

@@ -61,20 +61,18 @@ def rfm_base(fact: DataFrame, orders: DataFrame | None = None) -> DataFrame:
 FIRST_ORDER = ("date", "order_key", "line_number", "product", "category")
 
 
-def customer_first_attributes(fact: DataFrame) -> DataFrame:
+def customer_first_attributes(fact: DataFrame, customers: DataFrame) -> DataFrame:
     """First product/category bought and the customer's tier and city.
 
     ``first`` in row order becomes the minimum of a struct over a total order
     of the lines (date, order, line, product, category), so the result does not
-    depend on partitioning.
+    depend on partitioning.  The lines are reduced to one row per customer
+    before the customer attributes (``customers``: customer_id, loyalty_tier,
+    city) are joined, so the line-level join stops at orders and parts.
     """
     first = F.min(F.struct(*[F.col(c) for c in FIRST_ORDER])).alias("_first")
-    per = fact.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
-        first,
-        F.min("loyalty_tier").alias("loyalty_tier"),
-        F.min("city").alias("city"),
-    )
-    return per.select(
+    per = fact.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(first)
+    return per.join(customers, "customer_id", "left").select(
         "customer_id",
         F.col("_first.date").alias("first_date"),
         F.col("_first.product").alias("first_product"),

@@ -23,7 +23,7 @@ from tillroll.operators import kpi as K
 from tillroll.operators import ml as ML
 from tillroll.operators import rfm as R
 from tillroll.sources import export as EX
-from tillroll.sources.tables import FULL_FACT, read_table, sales_fact
+from tillroll.sources.tables import FULL_FACT, customers, order_totals, part_totals, read_table, sales_fact
 from tillroll.streaming.daily_value import daily_value_stream
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -52,11 +52,12 @@ def fact(spark, d, *cols):
 
 
 def _orders(spark, d):
-    return K.orders_of(fact(spark, d, "order_key", "customer_id", "date", "revenue_dec", "quantity"))
+    """One row per order, lines pre-aggregated before the orders join."""
+    return order_totals(spark, d)
 
 
 def _daily_metrics(spark, d):
-    return K.daily_metrics(fact(spark, d, "order_key", "customer_id", "date", "revenue_dec", "quantity"))
+    return K.daily_metrics(_orders(spark, d))
 
 
 def _daily_features(spark, d):
@@ -68,7 +69,7 @@ def _dps(spark, d):
 
 
 def _daily_revenue(spark, d):
-    return K.revenue_by(fact(spark, d, "date", "revenue_dec"), ["date"])
+    return K.revenue_by(_orders(spark, d), ["date"])
 
 
 def _rfm_base(spark, d):
@@ -107,8 +108,7 @@ def dim_products(spark, d):
 
 @query
 def dim_customers(spark, d):
-    tiers = read_table(spark, d, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("loyalty_tier"))
+    tiers = customers(spark, d).select("customer_id", "loyalty_tier")
     return R.dim_customers(_segments(spark, d), tiers)
 
 
@@ -120,9 +120,7 @@ def export_csv_roundtrip(spark, d):
 
 def _export_views(spark, d) -> dict[str, DataFrame]:
     seg = _segments(spark, d)
-    tiers = read_table(spark, d, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("loyalty_tier"))
-    future = FE.future_calendar(_daily_revenue(spark, d)).where(F.col("is_future"))
+    tiers = customers(spark, d).select("customer_id", "loyalty_tier")
     return {
         # first export set
         "fact_transactions": sales_fact(spark, d, FULL_FACT),
@@ -168,7 +166,7 @@ def line_totals(spark, d):
 
 @query
 def holiday_sales(spark, d):
-    return K.holiday_sales(fact(spark, d, "is_holiday", "order_key", "quantity", "revenue_dec"))
+    return K.holiday_sales(_orders(spark, d))
 
 
 @query
@@ -195,7 +193,7 @@ def daily_features(spark, d):
 
 @query
 def rfm_with_attributes(spark, d):
-    attrs = R.customer_first_attributes(fact(spark, d, "customer_id", *R.FIRST_ORDER, "loyalty_tier", "city"))
+    attrs = R.customer_first_attributes(fact(spark, d, "customer_id", *R.FIRST_ORDER), customers(spark, d))
     return R.rfm_with_attributes(_rfm_base(spark, d), attrs)
 
 
@@ -218,17 +216,17 @@ def basket_pairs_brand(spark, d):
 
 @query
 def daily_revenue(spark, d):
-    return K.daily_revenue(fact(spark, d, "date", "revenue_dec"))
+    return K.daily_revenue(_orders(spark, d))
 
 
 @query
 def category_revenue(spark, d):
-    return K.category_revenue(fact(spark, d, "category", "revenue_dec"))
+    return K.category_revenue(part_totals(spark, d))
 
 
 @query
 def tier_revenue(spark, d):
-    return K.tier_revenue(fact(spark, d, "loyalty_tier", "revenue_dec"))
+    return K.tier_revenue(_orders(spark, d), customers(spark, d))
 
 
 @query
@@ -243,7 +241,7 @@ def rfm_base(spark, d):
 
 @query
 def customer_first_attributes(spark, d):
-    return R.customer_first_attributes(fact(spark, d, "customer_id", *R.FIRST_ORDER, "loyalty_tier", "city"))
+    return R.customer_first_attributes(fact(spark, d, "customer_id", *R.FIRST_ORDER), customers(spark, d))
 
 
 @query
@@ -268,12 +266,12 @@ def daily_metrics(spark, d):
 
 @query
 def weekday_pattern(spark, d):
-    return K.weekday_pattern(fact(spark, d, "order_key", "customer_id", "date", "revenue_dec", "quantity"))
+    return K.weekday_pattern(_orders(spark, d))
 
 
 @query
 def top_products(spark, d):
-    return K.top_products(fact(spark, d, "product", "revenue_dec"))
+    return K.top_products(part_totals(spark, d))
 
 
 @query
@@ -288,7 +286,7 @@ def segment_revenue(spark, d):
 
 @query
 def monthly_year_revenue(spark, d):
-    return K.monthly_year_revenue(fact(spark, d, "date", "revenue_dec"), _years(spark, d))
+    return K.monthly_year_revenue(_orders(spark, d), _years(spark, d))
 
 
 @query
@@ -303,8 +301,7 @@ def product_demand(spark, d):
 
 @query
 def kpi_summary(spark, d):
-    return K.kpi_summary(fact(spark, d, "order_key", "customer_id", "date", "revenue_dec", "quantity"),
-                         fact(spark, d, "product", "category"))
+    return K.kpi_summary(_orders(spark, d), part_totals(spark, d))
 
 
 STAT_COLUMNS = ("customer_id", "quantity", "unit_price", "discount", "total_price")
@@ -417,7 +414,7 @@ def calendar_fill(spark, d):
 
 @query
 def transaction_labels(spark, d):
-    return K.transaction_labels(fact(spark, d, "order_key"))
+    return K.transaction_labels(_orders(spark, d))
 
 
 @query

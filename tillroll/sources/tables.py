@@ -124,5 +124,63 @@ def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT, base: str =
     return df.select(*[spec[c][1].alias(c) for c in columns])
 
 
+def _line_measures(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Lines pre-aggregated by ``key`` (exact revenue, units, line count)."""
+    li = read_table(spark, sf_dir, "lineitem").select(key, "l_quantity", "l_extendedprice", "l_discount")
+    return li.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.sum(X.money(F.col("l_extendedprice"), F.col("l_discount"))).alias("revenue_dec"),
+        F.sum("l_quantity").alias("units"),
+        F.count(F.lit(1)).alias("lines"),
+    )
+
+
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with lines: order_key, customer_id, date, revenue_dec, units, lines.
+
+    Eager aggregation: the lines are summed per order key *before* the join
+    with ``orders`` (Spark does not push aggregates below joins itself).  The
+    lines of an order are stored together, so the map-side partial aggregate
+    shrinks the lineitem shuffle to about one row per order, and the
+    aggregate's hash partitioning on the order key is reused by the join.
+    Equal to grouping the line-level fact by order (sums decompose exactly).
+    """
+    per = _line_measures(spark, sf_dir, "l_orderkey")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return per.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("order_key"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        "revenue_dec", "units", "lines",
+    )
+
+
+def part_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per part with lines: sku, product, category, brand, revenue_dec, units, lines.
+
+    Eager aggregation by part key before the join with ``part``: the join
+    then works on one row per part instead of one per line.
+    """
+    per = _line_measures(spark, sf_dir, "l_partkey")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return per.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_partkey").alias("sku"),
+        F.col("p_name").alias("product"),
+        F.col("p_type").alias("category"),
+        F.col("p_brand").alias("brand"),
+        "revenue_dec", "units", "lines",
+    )
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer attributes: customer_id, loyalty_tier, city (customer x nation)."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+        F.col("c_custkey").alias("customer_id"),
+        F.col("c_mktsegment").alias("loyalty_tier"),
+        F.col("n_name").alias("city"),
+    )
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events")
