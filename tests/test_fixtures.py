@@ -220,3 +220,10 @@ def test_daily_demand_stats_include_zero_days(spark):
     assert out["P"].avg_daily_demand == 2.0
     assert out["P"].std_daily_demand == round(math.sqrt(3.0), 6)
     assert out["P"].days == 3
+
+
+def test_lag_features_product_filter(spark):
+    rows = [(day(i), p, "C", float(i)) for i in range(3) for p in ("P", "Q")]
+    s = spark.createDataFrame(rows, "date date, product string, category string, units double")
+    out = FE.lag_features(s, products=["Q"]).collect()
+    assert {r.product for r in out} == {"Q"} and len(out) == 3

@@ -86,9 +86,11 @@ def _product_window() -> Window:
     return Window.partitionBy("product", "category").orderBy("date")
 
 
-def lag_features(dps: DataFrame, lags: Sequence[int] = PRODUCT_LAGS) -> DataFrame:
-    """Lags of units per product (rows, not days)."""
+def lag_features(dps: DataFrame, lags: Sequence[int] = PRODUCT_LAGS, products: Sequence[str] | None = None) -> DataFrame:
+    """Lags of units per product (rows, not days); optionally only ``products``."""
     w = _product_window()
+    if products is not None:
+        dps = dps.where(F.col("product").isin(*products))
     return dps.select("date", "product", "category", "units",
                       *[F.lag("units", k).over(w).alias(f"lag{k}") for k in lags])
 

@@ -17,11 +17,10 @@ driver's query path short (see README).
 
 from __future__ import annotations
 
-import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -52,6 +51,16 @@ CHANGEPOINT_RANGE = 0.8
 INTERVAL_Z = 1.2815515655446004  # standard normal quantile at 0.9 (80 % band)
 RIDGE = 1e-3
 HORIZON = 90
+PARALLELISM = 4          # concurrent fits (Spark jobs) submitted by the driver
+
+
+def in_parallel(tasks: Sequence[Callable[[], object]], workers: int = PARALLELISM) -> list:
+    """Run independent fits as concurrent Spark jobs (like ``parallelism`` in
+    ``pyspark.ml.tuning``); results in task order."""
+    if workers <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=min(workers, len(tasks))) as pool:
+        return list(pool.map(lambda t: t(), tasks))
 
 
 def random_split(df: DataFrame, key: Sequence[str], test_percent: int = TEST_PERCENT, seed: int = SEED) -> DataFrame:
@@ -76,16 +85,19 @@ def _regressors(rounds: int = GBT_ROUNDS):
 def fit_demand_models(frame: DataFrame, rounds: int = GBT_ROUNDS) -> dict:
     """Fit the three v1 regressors on the hashed 80 % of product-days.
 
+    The assembled frame is cached once (product-day rows: bounded by calendar
+    x catalog) and the three fits run as concurrent jobs.
     Returns {name: (scored test frame, metrics frame)}.
     """
     key = ["date", "product", "category"]
     data = random_split(frame, key).withColumn("label", F.col("units").cast("double"))
-    data = _assemble(V1_FEATURES).transform(data)
+    data = _assemble(V1_FEATURES).transform(data).cache()
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
+    ests = _regressors(rounds)
+    models = in_parallel([lambda e=e: e.fit(train) for e in ests.values()])
     out = {}
-    for name, est in _regressors(rounds).items():
-        model = est.fit(train)
+    for name, model in zip(ests, models):
         scored = model.transform(test).select(*key, F.col("label").alias("actual"),
                                               F.col("prediction").alias("predicted"))
         out[name] = (scored, FC.metrics(scored))
@@ -131,21 +143,27 @@ def tuned_gbt(daily_feats: DataFrame, trials: int = TUNING_TRIALS, rounds=TUNING
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "validation")
     rng = random.Random(seed)
-    rows, best = [], None
-    for t in range(trials):
-        p = {
+    params = []
+    for _ in range(trials):
+        params.append({
             "maxIter": rng.randint(*rounds),
             "maxDepth": rng.randint(*TUNING_DEPTH),
             "stepSize": round(rng.uniform(*TUNING_STEP), 4),
             "subsamplingRate": round(rng.uniform(*TUNING_SAMPLE), 4),
             "colsample": round(rng.uniform(*TUNING_SAMPLE), 4),
-        }
+        })
+
+    def run(p):
         est = GBTRegressor(featuresCol="features", labelCol="label", maxIter=p["maxIter"], maxDepth=p["maxDepth"],
                            stepSize=p["stepSize"], subsamplingRate=p["subsamplingRate"],
                            featureSubsetStrategy=str(p["colsample"]), seed=seed)
-        model = est.fit(train)
-        scored = model.transform(val).select("date", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
-        m = FC.metrics(scored).first()
+        scored = est.fit(train).transform(val).select(
+            "date", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
+        return scored, FC.metrics(scored).first()
+
+    results = in_parallel([lambda p=p: run(p) for p in params])
+    rows, best = [], None
+    for t, (p, (scored, m)) in enumerate(zip(params, results)):
         rows.append((t, p["maxIter"], p["maxDepth"], p["stepSize"], p["subsamplingRate"], p["colsample"],
                      float(m["rmse"]), float(m["mae"]), float(m["mape"])))
         if best is None or m["rmse"] < best[0]:
@@ -272,14 +290,14 @@ def _scaled(base: DataFrame) -> DataFrame:
 def kmeans_segments(base: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS):
     """Best of ``restarts`` K-means fits (lowest cost); clusters relabelled
     0..k-1 by descending mean monetary.  Returns (segments, cost)."""
-    data = _scaled(base).repartition(8, "customer_id").sortWithinPartitions("customer_id").cache()
-    best = None
-    for s in range(restarts):
+    data = _scaled(base).repartition("customer_id").sortWithinPartitions("customer_id").cache()
+
+    def run(s):
         model = KMeans(k=k, seed=SEED + s, featuresCol="features", predictionCol="cluster").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    cost, model = best
+        return model.summary.trainingCost, s, model
+
+    fits = in_parallel([lambda s=s: run(s) for s in range(restarts)])
+    cost, _, model = min(fits, key=lambda f: (f[0], f[1]))  # ties: lowest seed
     pred = model.transform(data).select("customer_id", "cluster", *RFM_FEATURES)
     rank = pred.groupBy("cluster").agg(F.avg("monetary").alias("_m"))
     w = Window.orderBy(F.desc("_m"), "cluster")  # k rows

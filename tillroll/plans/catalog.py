@@ -39,7 +39,11 @@ _MEMO: dict[tuple, object] = {}
 
 
 def _memo(spark: SparkSession, d: str, key: str, make):
-    k = (spark.sparkContext.applicationId, d, key)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        app = id(spark)
+    k = (app, d, key)
     if k not in _MEMO:
         _MEMO[k] = make()
     return _MEMO[k]

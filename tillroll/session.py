@@ -36,22 +36,30 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "til
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return False
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """The reliable checkpoint folder of this session.
 
     Order: the context's directory, then ``spark.checkpoint.dir``; only a
     local-mode session without either gets a fresh scratch folder.  On a
     cluster with nothing configured we refuse rather than write to a
-    machine-local path that other executors cannot see.
+    machine-local path that other executors cannot see.  (A Spark Connect
+    session manages its checkpoint folder on the server; we only read it.)
     """
-    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    conf = conf or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
         if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -63,5 +71,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables, beside the checkpoint folder."""
     explicit = spark.conf.get("tillroll.export.dir", None)
-    base = explicit or os.path.join(checkpoint_dir(spark), "tillroll-tables")
+    ckpt = checkpoint_dir(spark)
+    if not explicit and not ckpt:
+        raise RuntimeError("set tillroll.export.dir or spark.checkpoint.dir to a shared folder")
+    base = explicit or os.path.join(ckpt, "tillroll-tables")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
