@@ -227,3 +227,14 @@ def test_lag_features_product_filter(spark):
     s = spark.createDataFrame(rows, "date date, product string, category string, units double")
     out = FE.lag_features(s, products=["Q"]).collect()
     assert {r.product for r in out} == {"Q"} and len(out) == 3
+
+
+def test_top_k_prefilter_exact(spark):
+    from tillroll.functions.ranking import top_k
+
+    rows = [(i % 97 if i % 11 else None, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    order = [F.col("a").asc_nulls_first(), F.col("b").asc_nulls_first()]
+    exp = [tuple(r) for r in df.orderBy(*order).limit(1200).collect()]
+    got = [tuple(r) for r in top_k(df, 1200, order, lead="a", prefilter_from=100).collect()]
+    assert got == exp

@@ -170,6 +170,41 @@ histogram_quantiles = exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+_SKETCH_ACCURACY = 100000
+_FRACTIONS = [10.0 ** (-k / 2) for k in range(24, -1, -1)]  # 1e-12 ... 1
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
+
+
+def top_k(df: DataFrame, n: int, order: Sequence[Column], lead: str | None = None,
+          prefilter_from: int = 1000) -> DataFrame:
+    """First ``n`` rows of ``df`` in ``order`` (exact), for large ``n`` too.
+
+    ``orderBy().limit(n)`` plans a top-k whose last task merges ``n`` rows
+    from every input partition.  For ``n >= prefilter_from`` and a numeric or
+    date leading sort column ``lead`` (ascending, nulls first), one sketch job
+    finds a threshold ``t`` with about ``2 n`` rows at or below it; a count
+    verifies that ``lead <= t`` (or null) keeps at least ``n`` rows, and the
+    top-k then runs on those candidates only.  Any row of the true first
+    ``n`` has ``lead <= t``, so the result is exact; if the check fails the
+    plain top-k is used.
+    """
+    plain = df.orderBy(*order).limit(n)
+    if lead is None or n < prefilter_from or dict(df.dtypes).get(lead) not in _NUMERIC:
+        return plain
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 F.percentile_approx(lead, _FRACTIONS, _SKETCH_ACCURACY).alias("_q")).first()
+    total, qs = row["_n"], row["_q"]
+    if not total or qs is None:
+        return plain
+    need = 2 * n + 2 * total / _SKETCH_ACCURACY
+    for frac, t in zip(_FRACTIONS, qs):
+        if frac * total >= need and t is not None:
+            cand = df.where(F.col(lead).isNull() | (F.col(lead) <= F.lit(t)))
+            if cand.count() >= n:
+                return cand.orderBy(*order).limit(n)
+            break
+    return plain
+
 
 def qcut_score(x: Column, q0: Column, q1: Column, q2: Column, labels: Sequence[str] = ("1", "2", "3", "4")) -> Column:
     """Right-closed quartile bins like ``pandas.qcut(x, 4, labels)``.

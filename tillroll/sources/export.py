@@ -28,8 +28,15 @@ def total_order(df: DataFrame) -> list:
 
 
 def bounded_sample(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
-    """First ``n`` rows in a total order (``head(n)``), a top-k plan."""
-    return df.orderBy(*total_order(df)).limit(n)
+    """First ``n`` rows in a total order (``head(n)``).
+
+    A top-k plan; for large ``n`` the candidates are prefiltered on the
+    leading column so the final merge stays near ``2 n`` rows
+    (``ranking.top_k``).
+    """
+    from tillroll.functions.ranking import top_k
+
+    return top_k(df, n, total_order(df), lead=df.columns[0])
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
