@@ -21,9 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import exprs as X
-from tillroll.functions.ranking import (
-    QUARTILES, exact_quantiles, global_position, histogram_quantiles, qcut_score,
-)
+from tillroll.functions.ranking import QUARTILES, exact_quantiles, global_position, qcut_score
 from tillroll.operators.kpi import orders_of
 
 # The reference's segment rule (score code -> segment).
@@ -91,12 +89,16 @@ def rfm_scores(base: DataFrame) -> DataFrame:
     # The ranked frame is checkpointed: the customer aggregate is computed
     # once and the R and M cut points are read from the materialised rows.
     ranked = global_position(base, ["frequency", "customer_id"], name="f_rank")
-    r_q = histogram_quantiles(ranked, "recency", QUARTILES, prefix="r")
-    m_q = exact_quantiles(ranked, "monetary", QUARTILES, key=["customer_id"], prefix="m")
+    # recency and monetary cut points in one grouped pass over a value
+    # histogram (recency has at most one value per calendar day)
+    long = ranked.selectExpr("stack(2, 'r', cast(recency as double), 'm', monetary) as (_metric, _x)")
+    q = exact_quantiles(long, "_x", QUARTILES, group=["_metric"])
     n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    rm_q = q.agg(*[F.max(F.when(F.col("_metric") == m, F.col(f"q{i}"))).alias(f"{m}{i}")
+                   for m in ("r", "m") for i in range(len(QUARTILES))])
     f_q = n.select(*[(F.lit(1.0) + F.lit(p) * (F.col("_n") - 1).cast("double")).alias(f"f{i}")
                      for i, p in enumerate(QUARTILES)])
-    cuts = r_q.crossJoin(m_q).crossJoin(f_q)  # one row
+    cuts = rm_q.crossJoin(f_q)  # one row
     scored = ranked.crossJoin(F.broadcast(cuts))
     r = qcut_score(F.col("recency").cast("double"), F.col("r0"), F.col("r1"), F.col("r2"), ("4", "3", "2", "1"))
     f = qcut_score(F.col("f_rank").cast("double"), F.col("f0"), F.col("f1"), F.col("f2"))
