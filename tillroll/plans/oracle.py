@@ -360,7 +360,7 @@ q("reorder_points", f"WITH {REORDER} SELECT * FROM rp")
 q("top_demand", f"WITH {REORDER} SELECT * FROM rp ORDER BY total_demand DESC, product LIMIT 10")
 
 q("kpi_summary", f"""WITH {ORDERS},
-a AS (SELECT COUNT(*) AS transactions, SUM(lines) AS lines, CAST(SUM(revenue_dec) AS DOUBLE) AS total_revenue,
+a AS (SELECT COUNT(*) AS transactions, CAST(SUM(lines) AS BIGINT) AS lines, CAST(SUM(revenue_dec) AS DOUBLE) AS total_revenue,
              CAST(SUM(revenue_dec) AS DOUBLE) / COUNT(*) AS avg_order_value, SUM(units) AS total_units,
              COUNT(DISTINCT customer_id) AS unique_customers, MIN(date) AS first_date, MAX(date) AS last_date FROM o),
 p AS (SELECT COUNT(DISTINCT product) AS unique_products, COUNT(DISTINCT category) AS unique_categories
@@ -385,7 +385,7 @@ q("null_counts", f"WITH f AS (SELECT * FROM {fact(*FULL_FACT)})\n" + "\nUNION AL
 q("baskets", f"""WITH per AS (SELECT order_key, product AS item, COUNT(*) AS multiplicity
              FROM {fact('order_key', 'product')} WHERE product IS NOT NULL GROUP BY 1, 2)
 SELECT order_key, item, multiplicity,
-       SUM(multiplicity) OVER (PARTITION BY order_key) AS basket_size,
+       CAST(SUM(multiplicity) OVER (PARTITION BY order_key) AS BIGINT) AS basket_size,
        COUNT(*) OVER (PARTITION BY order_key) AS distinct_items
 FROM per""")
 
