@@ -175,3 +175,16 @@ def test_eager_aggregation_equals_line_level(spark):
         "order_key", "customer_id", "date", "revenue_dec", "units", "lines"))
     prod = sales_fact(spark, SF001, ["category", "revenue_dec"])
     assert rows(K.category_revenue(part_totals(spark, SF001))) == rows(K.category_revenue(prod))
+
+
+def test_stream_independent_of_session_time_zone(spark):
+    from tillroll.streaming.daily_value import daily_value_stream
+
+    a = rows(daily_value_stream(spark, SF001))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        b = rows(daily_value_stream(spark, SF001))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert a == b

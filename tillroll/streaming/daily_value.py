@@ -24,15 +24,19 @@ WATERMARK = "1 day"
 def daily_value_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
                        out: str | None = None) -> DataFrame:
     schema = spark.read.parquet(os.path.join(source_dir, file_glob)).schema
+    tz = spark.conf.get("spark.sql.session.timeZone", "UTC")
+    # wall-clock event time read as UTC, so one-day windows are calendar days
+    # of the recorded wall clock whatever the session time zone is
+    event_time = F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz)
     stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(source_dir)
-        .select(F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        .select(event_time.alias("ts"), "event_type",
                 F.col("value").cast("decimal(18,2)").alias("value"))
         .withWatermark("ts", WATERMARK)
         .groupBy(F.window("ts", WINDOW), "event_type")
         .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("_v"))
         .select(
-            F.to_date(F.col("window.start")).alias("window_date"),
+            F.to_date(F.to_utc_timestamp(F.col("window.start"), tz)).alias("window_date"),
             "event_type", "events",
             F.col("_v").cast("double").alias("total_value"),
         )
