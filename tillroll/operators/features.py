@@ -54,8 +54,15 @@ def calendar_features(fact: DataFrame) -> DataFrame:
     )
 
 
-def _date_bounds(daily: DataFrame) -> DataFrame:
-    return daily.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+def _date_bounds(daily: DataFrame, cols=()) -> DataFrame:
+    """First and last date (one row).
+
+    Min / max run over a struct of the columns the caller's main branch also
+    reads (date first: same result), so column pruning keeps both branches
+    identical and Spark reuses the daily aggregate instead of recomputing it.
+    """
+    s = F.struct("date", *[c for c in cols if c != "date"])
+    return daily.agg(F.min(s)["date"].alias("_lo"), F.max(s)["date"].alias("_hi"))
 
 
 def calendar_fill(daily: DataFrame, value: str = "revenue") -> DataFrame:
@@ -64,7 +71,7 @@ def calendar_fill(daily: DataFrame, value: str = "revenue") -> DataFrame:
     The calendar is generated from a one-row min/max aggregate; its size is
     the calendar span, not the data volume.
     """
-    days = _date_bounds(daily).select(F.explode(F.sequence("_lo", "_hi")).alias("date"))
+    days = _date_bounds(daily, [value]).select(F.explode(F.sequence("_lo", "_hi")).alias("date"))
     return days.join(daily, "date", "left").select(
         "date",
         F.coalesce(F.col(value), F.lit(0.0)).alias(value),
@@ -95,19 +102,28 @@ def lag_features(dps: DataFrame, lags: Sequence[int] = PRODUCT_LAGS, products: S
                       *[F.lag("units", k).over(w).alias(f"lag{k}") for k in lags])
 
 
-def first_products(fact: DataFrame, k: int = 5) -> DataFrame:
+def first_products(rows: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` products in order of first appearance (P6).
 
-    Ties on the first date are broken by the product name.  Each product is
-    reduced to one row before the (bounded, ``k``-row) top-k.
+    ``rows`` are lines or product-day rows (same first dates).  Ties on the
+    first date are broken by the product name.  Each product is reduced to one
+    row before the (bounded, ``k``-row) top-k.
     """
-    first = fact.where(F.col("product").isNotNull()).groupBy("product").agg(F.min("date").alias("first_date"))
+    first = rows.where(F.col("product").isNotNull()).groupBy("product").agg(F.min("date").alias("first_date"))
     return first.orderBy("first_date", "product").limit(k).select("product")
 
 
-def lag_features_top5(fact: DataFrame, dps: DataFrame, k: int = 5) -> DataFrame:
-    """The reference's variant: lags only for the first ``k`` products."""
-    keep = first_products(fact, k)
+def lag_features_top5(dps: DataFrame, k: int = 5) -> DataFrame:
+    """The reference's variant: lags only for the first ``k`` products.
+
+    The first products are read from the product-day rows themselves, so the
+    line-level join is computed once for both branches.
+    """
+    # min over (date, category, units): the columns the lag branch reads, so
+    # both branches share the product-day aggregate
+    first = dps.where(F.col("product").isNotNull()).groupBy("product").agg(
+        F.min(F.struct("date", "category", "units"))["date"].alias("first_date"))
+    keep = first.orderBy("first_date", "product").limit(k).select("product")
     # the kept list has k rows: a broadcast semi-join
     return lag_features(dps.join(F.broadcast(keep), "product", "left_semi"))
 

@@ -23,7 +23,10 @@ MAPE_EPS = 2.220446049250313e-16  # floor of |y| in MAPE (machine epsilon)
 
 def day_index(daily: DataFrame) -> DataFrame:
     """Days since the first date (t = 0, 1, ...)."""
-    first = daily.agg(F.min("date").alias("_d0"))
+    # min over a struct of all columns (date first): keeps this branch
+    # identical to the main one under column pruning, so the daily aggregate
+    # is computed once
+    first = daily.agg(F.min(F.struct("date", *[c for c in daily.columns if c != "date"]))["date"].alias("_d0"))
     return daily.crossJoin(F.broadcast(first)).withColumn("t", F.datediff("date", "_d0")).drop("_d0")
 
 

@@ -23,6 +23,17 @@ HOLDING_RATE = 0.2     # yearly holding cost as a share of unit cost
 DAYS_PER_YEAR = 365.0
 
 
+def _span(per_day: DataFrame, cols: list[str]) -> DataFrame:
+    """Days from the first to the last date (one row).
+
+    Min / max run over structs of all of ``per_day``'s columns (date first),
+    so column pruning keeps this branch identical to the main one and Spark
+    reuses the product-day aggregate instead of recomputing it.
+    """
+    s = F.struct(*cols)
+    return per_day.agg((F.datediff(F.max(s)["date"], F.min(s)["date"]) + 1).alias("days"))
+
+
 def product_volatility(fact: DataFrame) -> DataFrame:
     """Mean and sample std of quantity per product, CV, simple safety stock."""
     s = fact.where(F.col("product").isNotNull()).groupBy("product").agg(
@@ -63,7 +74,7 @@ def reorder_points_daily(fact: DataFrame) -> DataFrame:
     """Daily demand statistics over the whole calendar span, zeros included."""
     per_day = fact.where(F.col("product").isNotNull()).groupBy("product", "date").agg(
         F.sum("quantity").alias("units"))
-    span = fact.agg((F.datediff(F.max("date"), F.min("date")) + 1).alias("days"))
+    span = _span(per_day, ["date", "product", "units"])
     s = per_day.groupBy("product").agg(
         F.sum("units").alias("total_demand"),
         F.sum(F.col("units") * F.col("units")).alias("_s2"),
@@ -87,10 +98,16 @@ def economic_order_quantity(fact: DataFrame, order_cost: float = ORDER_COST,
     D = yearly demand (units over the span scaled to 365 days), S = cost per
     order, H = holding rate x unit cost (revenue-weighted list price per unit).
     """
-    span = fact.agg((F.datediff(F.max("date"), F.min("date")) + 1).alias("days"))
-    s = fact.where(F.col("product").isNotNull()).groupBy("product").agg(
-        F.sum("quantity").alias("total_units"),
-        X.exact_sum(X.dec(F.col("extended_price"))).alias("_value"),
+    # one product-day pre-aggregate feeds both the calendar span and the
+    # per-product sums, so the line-level join is computed once
+    per_day = fact.where(F.col("product").isNotNull()).groupBy("product", "date").agg(
+        F.sum("quantity").alias("units"),
+        X.exact_sum(X.dec(F.col("extended_price"))).alias("_v"),
+    )
+    span = _span(per_day, ["date", "product", "units", "_v"])
+    s = per_day.groupBy("product").agg(
+        F.sum("units").alias("total_units"),
+        F.sum("_v").alias("_value"),
     ).crossJoin(F.broadcast(span))
     annual = X.null_div(F.col("total_units") * F.lit(DAYS_PER_YEAR), F.col("days").cast("double"))
     unit_cost = X.null_div(X.to_double(F.col("_value")), F.col("total_units"))

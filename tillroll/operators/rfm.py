@@ -40,12 +40,17 @@ def rfm_base(fact: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """customer_id, recency, frequency, monetary, avg_order_value (+ exact monetary)."""
     orders = orders if orders is not None else orders_of(fact)
     orders = orders.where(F.col("customer_id").isNotNull())
-    snap = orders.agg(F.max("date").alias("_snapshot"))
     per = orders.groupBy("customer_id").agg(
         F.max("date").alias("last_date"),
         F.count(F.lit(1)).alias("frequency"),
         X.exact_sum(F.col("revenue_dec")).alias("monetary_dec"),
     )
+    # The snapshot (last date of all) from the customer rows.  The max runs
+    # over a struct of every column, ordered by date first (same result), so
+    # column pruning leaves both branches identical and Spark reuses the
+    # customer aggregate's shuffle instead of recomputing the join.
+    snap = per.agg(F.max(F.struct("last_date", "frequency", "monetary_dec", "customer_id"))["last_date"]
+                   .alias("_snapshot"))
     return per.crossJoin(F.broadcast(snap)).select(
         "customer_id",
         F.datediff("_snapshot", "last_date").alias("recency"),

@@ -180,7 +180,7 @@ def season_mix(spark, d):
 
 @query
 def lag_features_top5(spark, d):
-    return FE.lag_features_top5(fact(spark, d, "date", "product"), _dps(spark, d))
+    return FE.lag_features_top5(_dps(spark, d))
 
 
 @query
