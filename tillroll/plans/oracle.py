@@ -488,6 +488,18 @@ SELECT antecedent, consequent, pair_count, pair_count / baskets AS support,
        (pair_count * baskets) / (sa.item_baskets * sc.item_baskets) AS lift
 FROM both_ JOIN sup sa ON sa.item = antecedent JOIN sup sc ON sc.item = consequent, nb""")
 
+# frequent itemsets of every size (FP-growth's output): each basket's item
+# subsets enumerated in sorted order, counted, kept at >= ceil(support * baskets)
+q("frequent_itemsets", f"""WITH RECURSIVE items AS (
+  SELECT DISTINCT order_key AS b, category AS item FROM {fact('order_key', 'category')} WHERE category IS NOT NULL),
+n AS (SELECT COUNT(DISTINCT b) AS baskets FROM items),
+sets(b, last, itemset, size) AS (
+  SELECT b, item, item, 1 FROM items
+  UNION ALL
+  SELECT s.b, i.item, s.itemset || '|' || i.item, s.size + 1 FROM sets s JOIN items i ON i.b = s.b AND i.item > s.last)
+SELECT itemset, CAST(size AS INTEGER) AS size, COUNT(*) AS baskets FROM sets GROUP BY itemset, size
+HAVING COUNT(*) >= CEIL({D(X.PAIR_MIN_SUPPORT)} * (SELECT baskets FROM n))""")
+
 # ------------------------------------------------------------------ inventory
 
 q("reorder_points_daily", f"""WITH f AS (SELECT * FROM {fact('product', 'date', 'quantity')}),
