@@ -50,10 +50,11 @@ def test_histogram_quantiles_match_exact(spark):
 def test_global_position_is_total_and_distributed(spark):
     rows = [(i % 3, i) for i in range(200)]
     df = spark.createDataFrame(rows, "f int, c int").repartition(7)
-    pos = global_position(df, ["f", "c"], num_partitions=5).collect()
-    got = {(r.f, r.c): r.pos for r in pos}
-    expected = {k: i + 1 for i, k in enumerate(sorted(got))}
-    assert got == expected
+    for n in (5, None):  # explicit count, and AQE-sized (coalesced) ranges
+        pos = global_position(df, ["f", "c"], num_partitions=n).collect()
+        got = {(r.f, r.c): r.pos for r in pos}
+        expected = {k: i + 1 for i, k in enumerate(sorted(got))}
+        assert got == expected
 
 
 def _base(spark, rows):

@@ -32,11 +32,13 @@ from tillroll.session import checkpoint_dir
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def _num_partitions(df: DataFrame, hint: int | None) -> int:
-    if hint:
-        return hint
-    spark = df.sparkSession
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def _range_partition(df: DataFrame, cols: Sequence[Column | str], num_partitions: int | None) -> DataFrame:
+    """Range-partition on ``cols``; without an explicit count the shuffle is
+    sized by AQE from its measured output (adjacent ranges are coalesced, so
+    the order across partitions is kept)."""
+    if num_partitions:
+        return df.repartitionByRange(num_partitions, *cols)
+    return df.repartitionByRange(*cols)
 
 
 def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos",
@@ -49,9 +51,8 @@ def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "p
     spark = df.sparkSession
     checkpoint_dir(spark)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = _num_partitions(df, num_partitions)
     ranked = (
-        df.repartitionByRange(n, *order_cols)
+        _range_partition(df, order_cols, num_partitions)
         .sortWithinPartitions(*order_cols)
         .withColumn("_tr_pid", F.spark_partition_id())
         .withColumn("_tr_mid", F.monotonically_increasing_id())
@@ -109,11 +110,10 @@ def value_ranges(df: DataFrame, value: str, group: Sequence[str] = (), num_parti
     spark = df.sparkSession
     checkpoint_dir(spark)
     group = list(group)
-    n = _num_partitions(df, num_partitions)
     hist = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")) \
         .agg(F.count(F.lit(1)).alias("_c"))
     ranked = (
-        hist.repartitionByRange(n, *group, "_v").sortWithinPartitions(*group, "_v")
+        _range_partition(hist, [*group, "_v"], num_partitions).sortWithinPartitions(*group, "_v")
         .withColumn("_tr_pid", F.spark_partition_id())
         .checkpoint(eager=True)
     )

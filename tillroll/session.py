@@ -35,6 +35,31 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "til
     return spark
 
 
+def cluster_conf(input_bytes: float, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster, sized from the input volume.
+
+    Shuffles start with enough partitions for ``target_partition_bytes`` each
+    (at least 3 per core) and AQE coalesces the small ones and splits skewed
+    join partitions; scans read ``target_partition_bytes`` splits; broadcast
+    stays limited to genuinely small sides (64 MB measured at runtime).
+    Apply with ``SparkSession.builder.config(map=...)`` or ``spark.conf.set``.
+    """
+    shuffle = max(3 * total_cores, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def _is_local(spark: SparkSession) -> bool:
     try:
         return spark.sparkContext.master.startswith("local")
