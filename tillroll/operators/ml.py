@@ -54,6 +54,28 @@ HORIZON = 90
 PARALLELISM = 4          # concurrent fits (Spark jobs) submitted by the driver
 
 
+ROWS_PER_PARTITION = 100_000
+
+
+def ml_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """Partitions for an iterative fit: proportional to the rows (one job to
+    count them), at most four per core.  Iterative estimators pay a task per
+    partition per iteration, so a small frame should not keep the 200+
+    partitions of the shuffle that produced it."""
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = df.count()
+    return int(max(1, min(4 * cores, -(-rows // rows_per_partition))))
+
+
+def sized(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``df`` hash-partitioned on ``key`` into ``ml_partitions`` partitions."""
+    return df.repartition(ml_partitions(df), *[F.col(k) for k in key])
+
+
 def in_parallel(tasks: Sequence[Callable[[], object]], workers: int = PARALLELISM) -> list:
     """Run independent fits as concurrent Spark jobs (like ``parallelism`` in
     ``pyspark.ml.tuning``); results in task order."""
@@ -91,7 +113,7 @@ def fit_demand_models(frame: DataFrame, rounds: int = GBT_ROUNDS) -> dict:
     """
     key = ["date", "product", "category"]
     data = random_split(frame, key).withColumn("label", F.col("units").cast("double"))
-    data = _assemble(V1_FEATURES).transform(data).cache()
+    data = sized(_assemble(V1_FEATURES).transform(data), key).cache()
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     ests = _regressors(rounds)
@@ -139,7 +161,7 @@ def tuned_gbt(daily_feats: DataFrame, trials: int = TUNING_TRIALS, rounds=TUNING
     data = daily_feats.select("*", F.row_number().over(w).alias("_i"), n.alias("_n")) \
         .withColumn("split", F.when(F.col("_i") <= F.floor(F.col("_n") * 0.8), "train").otherwise("validation")) \
         .withColumn("label", F.col("revenue").cast("double"))
-    data = _assemble(feats).transform(data).cache()
+    data = sized(_assemble(feats).transform(data), ["date"]).cache()
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "validation")
     rng = random.Random(seed)
@@ -187,7 +209,7 @@ def ar30_forecast(sequences: DataFrame, train_fraction: float = 0.8, n: int = 30
     cnt = F.count(F.lit(1)).over(Window.partitionBy())
     data = sequences.select("date", F.col("target").alias("label"), *cols,
                             F.row_number().over(w).alias("_i"), cnt.alias("_n"))
-    data = _assemble([f"lag_{k}" for k in range(1, n + 1)]).transform(data)
+    data = sized(_assemble([f"lag_{k}" for k in range(1, n + 1)]).transform(data), ["date"]).cache()
     train = data.where(F.col("_i") <= F.floor(F.col("_n") * train_fraction))
     val = data.where(F.col("_i") > F.floor(F.col("_n") * train_fraction))
     model = LinearRegression(featuresCol="features", labelCol="label", solver="normal", regParam=0.0).fit(train)
@@ -228,7 +250,7 @@ def revenue_forecast(daily: DataFrame, horizon: int = HORIZON):
     trend_cols = ["t_s"] + [f"cp_{j}" for j in range(len(cps))]
     data = reg.select("*", (F.col("t") / F.lit(scale)).alias("t_s"), *hinge)
     feats = trend_cols + seasonal
-    data = _assemble(feats).transform(data)
+    data = sized(_assemble(feats).transform(data), ["date"]).cache()
     train = data.where(~F.col("is_future") & F.col("revenue").isNotNull()).withColumn("label", F.col("revenue"))
     model = LinearRegression(featuresCol="features", labelCol="label", regParam=RIDGE, elasticNetParam=0.0,
                              standardization=True).fit(train)
@@ -295,7 +317,7 @@ def _scaled(base: DataFrame) -> DataFrame:
 def kmeans_segments(base: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS):
     """Best of ``restarts`` K-means fits (lowest cost); clusters relabelled
     0..k-1 by descending mean monetary.  Returns (segments, cost)."""
-    data = _scaled(base).repartition("customer_id").sortWithinPartitions("customer_id").cache()
+    data = sized(_scaled(base), ["customer_id"]).sortWithinPartitions("customer_id").cache()
 
     def run(s):
         model = KMeans(k=k, seed=SEED + s, featuresCol="features", predictionCol="cluster").fit(data)
@@ -323,7 +345,7 @@ def rfm_pca(base: DataFrame, k: int = PCA_K):
     The sign of each component is fixed so that its largest loading is
     positive.  Returns (projection, loadings as rows).
     """
-    data = _scaled(base)
+    data = sized(_scaled(base), ["customer_id"]).cache()
     model = PCA(k=k, inputCol="features", outputCol="pcs").fit(data)
     pc = model.pc.toArray()  # features x k, small
     signs = []
