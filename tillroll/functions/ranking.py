@@ -157,8 +157,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], key: Sequ
     hi_rows = at(t_hi, "_vhi", [])
     picked = lo_rows.join(hi_rows, [*group, "_i"], "left").select(
         *group, "_i",
+        # (1 - f) lo + f hi: the same rounding as DuckDB quantile_cont and
+        # Spark's percentile
         F.when(F.col("_vhi").isNull() | (F.col("_f") == 0), F.col("_vlo"))
-        .otherwise(F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))).alias("_q"),
+        .otherwise((F.lit(1.0) - F.col("_f")) * F.col("_vlo") + F.col("_f") * F.col("_vhi")).alias("_q"),
     )
     aggs = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
     return picked.groupBy(*group).agg(*aggs) if group else picked.agg(*aggs)
