@@ -188,3 +188,13 @@ def test_stream_independent_of_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert a == b
+
+
+def test_cluster_conf_sizes_partitions():
+    from tillroll.session import cluster_conf
+
+    conf = cluster_conf(100 * 2**40, 8000)
+    n = int(conf["spark.sql.shuffle.partitions"])
+    assert n >= 3 * 8000 and 100 * 2**40 / n <= 256 * 2**20 + 1
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(cluster_conf(1, 4)["spark.sql.shuffle.partitions"]) == 12

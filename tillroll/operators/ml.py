@@ -94,6 +94,9 @@ def _assemble(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
 
 
+MODEL_ORDER = ("Linear Regression", "Random Forest", "Gradient Boosting")  # ties go to the earlier
+
+
 def _regressors(rounds: int = GBT_ROUNDS):
     return {
         "Linear Regression": LinearRegression(featuresCol="features", labelCol="label", solver="normal", regParam=0.0),

@@ -513,7 +513,7 @@ def _demand_models(spark, d):
 
 
 def _model_order():
-    return list(ML._regressors().keys())
+    return list(ML.MODEL_ORDER)
 
 
 @query
