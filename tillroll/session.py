@@ -28,6 +28,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "til
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -57,6 +58,9 @@ def cluster_conf(input_bytes: float, total_cores: int, target_partition_bytes: i
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.session.timeZone": "UTC",
+        # checkpoints of frames that are no longer referenced are deleted
+        # (static: set when the application starts)
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
