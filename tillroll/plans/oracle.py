@@ -195,7 +195,7 @@ PRODUCT_PERFORMANCE = f"""SELECT category, product, CAST(SUM(revenue_dec) AS DOU
 FROM {fact('category', 'product', 'revenue_dec', 'quantity', 'order_key')}
 WHERE category IS NOT NULL AND product IS NOT NULL GROUP BY category, product"""
 q("product_performance", PRODUCT_PERFORMANCE)
-q("export_csv_roundtrip", PRODUCT_PERFORMANCE)
+q("export_csv_roundtrip", f"SELECT * FROM {fact(*FULL_FACT)}")
 
 _ORDER_ALL = ", ".join(f"{c} NULLS FIRST" for c in FULL_FACT)
 q("export_sample", f"SELECT * FROM {fact(*FULL_FACT)} ORDER BY {_ORDER_ALL} LIMIT 10000")
