@@ -239,3 +239,15 @@ def test_top_k_prefilter_exact(spark):
     exp = [tuple(r) for r in df.orderBy(*order).limit(1200).collect()]
     got = [tuple(r) for r in top_k(df, 1200, order, lead="a", prefilter_from=100).collect()]
     assert got == exp
+
+
+def test_fma_single_rounding(spark):
+    import random
+
+    from tillroll.functions.exprs import fma
+
+    random.seed(3)
+    rows = [(random.uniform(1, 1e5), random.random(), random.uniform(0, 1e5)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = [r[0] for r in df.select(fma(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got == [math.fma(a, b, c) for a, b, c in rows]

@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.functions.exprs import fma
 from tillroll.session import checkpoint_dir
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -157,10 +158,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], key: Sequ
     hi_rows = at(t_hi, "_vhi", [])
     picked = lo_rows.join(hi_rows, [*group, "_i"], "left").select(
         *group, "_i",
-        # (1 - f) lo + f hi: the same rounding as DuckDB quantile_cont and
-        # Spark's percentile
+        # lo (1 - f) + hi f with the first product fused into the sum: the
+        # rounding of DuckDB's quantile_cont
         F.when(F.col("_vhi").isNull() | (F.col("_f") == 0), F.col("_vlo"))
-        .otherwise((F.lit(1.0) - F.col("_f")) * F.col("_vlo") + F.col("_f") * F.col("_vhi")).alias("_q"),
+        .otherwise(fma(F.col("_vlo"), F.lit(1.0) - F.col("_f"), F.col("_vhi") * F.col("_f"))).alias("_q"),
     )
     aggs = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
     return picked.groupBy(*group).agg(*aggs) if group else picked.agg(*aggs)
