@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import exprs as X
 from tillroll.functions.ranking import global_position
+from tillroll.session import checkpoint_dir
 
 # Fixed values of the reference's feature set.
 PRODUCT_LAGS = (1, 7)
@@ -44,7 +45,7 @@ def _frame(n: int, frame: str) -> tuple[int, int]:
 
 
 def calendar_features(fact: DataFrame) -> DataFrame:
-    """Calendar fields for every day with sales."""
+    """Calendar fields for every day with sales (``fact``: line or order rows)."""
     days = fact.select("date").where(F.col("date").isNotNull()).distinct()
     cal = X.calendar_columns(F.col("date"))
     return days.select(
@@ -135,15 +136,21 @@ def rolling_mean_product(dps: DataFrame, n: int = PRODUCT_ROLLING, frame: str =
     return dps.select("date", "product", "category", "units", F.avg("units").over(w).alias(f"rolling_mean_{n}"))
 
 
-def product_codes(dps: DataFrame) -> DataFrame:
-    """Alphabetical 0-based code per product (``LabelEncoder``)."""
-    prods = dps.select("product").where(F.col("product").isNotNull()).distinct()
+def product_codes(rows: DataFrame) -> DataFrame:
+    """Alphabetical 0-based code per product of ``rows`` (``LabelEncoder``)."""
+    prods = rows.select("product").where(F.col("product").isNotNull()).distinct()
     return global_position(prods, ["product"], name="_pos").select(
         "product", (F.col("_pos") - 1).cast("int").alias("product_code"))
 
 
 def model_frame(dps: DataFrame, frame: str = "compat") -> DataFrame:
-    """product-day rows with calendar, lag 1 and 7, rolling mean and code."""
+    """product-day rows with calendar, lag 1 and 7, rolling mean and code.
+
+    Like the reference, the label encoder is fitted on the rows left after
+    dropping missing lags.  Those rows are checkpointed once (product-day
+    rows: calendar x catalog), so the codes and the features come from one
+    computation of the aggregate.
+    """
     lo, hi = _frame(PRODUCT_ROLLING, frame)
     w = _product_window()
     cal = X.calendar_columns(F.col("date"))
@@ -153,8 +160,10 @@ def model_frame(dps: DataFrame, frame: str = "compat") -> DataFrame:
         *[F.lag("units", k).over(w).alias(f"lag{k}") for k in PRODUCT_LAGS],
         F.avg("units").over(w.rowsBetween(lo, hi)).alias("rolling_mean_7"),
     ).na.drop(subset=[f"lag{k}" for k in PRODUCT_LAGS])
+    checkpoint_dir(feats.sparkSession)
+    feats = feats.checkpoint(eager=True)
     # product codes: one row per product, joined back on the product key
-    return feats.join(product_codes(dps), "product")
+    return feats.join(product_codes(feats), "product")
 
 
 def daily_features(metrics: DataFrame, frame: str = "compat") -> DataFrame:

@@ -420,7 +420,7 @@ def future_calendar(spark, d):
 
 @query
 def calendar_features(spark, d):
-    return FE.calendar_features(fact(spark, d, "date"))
+    return FE.calendar_features(_orders(spark, d))
 
 
 @query

@@ -231,8 +231,6 @@ SELECT date, product, category, units,
 FROM dps WHERE product IN (SELECT product FROM firsts)""")
 
 q("model_frame", f"""WITH {DPS},
-codes AS (SELECT product, CAST(DENSE_RANK() OVER (ORDER BY product) - 1 AS INTEGER) AS product_code
-          FROM (SELECT DISTINCT product FROM dps)),
 f AS (
   SELECT date, product, category, units,
     CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month,
@@ -240,8 +238,11 @@ f AS (
     LAG(units, 1) OVER w AS lag1, LAG(units, 7) OVER w AS lag7,
     AVG(units) OVER (PARTITION BY product, category ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
       AS rolling_mean_7
-  FROM dps WINDOW w AS (PARTITION BY product, category ORDER BY date))
-SELECT f.*, product_code FROM f JOIN codes USING (product) WHERE lag1 IS NOT NULL AND lag7 IS NOT NULL""")
+  FROM dps WINDOW w AS (PARTITION BY product, category ORDER BY date)),
+m AS (SELECT * FROM f WHERE lag1 IS NOT NULL AND lag7 IS NOT NULL),
+codes AS (SELECT product, CAST(DENSE_RANK() OVER (ORDER BY product) - 1 AS INTEGER) AS product_code
+          FROM (SELECT DISTINCT product FROM m))
+SELECT m.*, product_code FROM m JOIN codes USING (product)""")
 
 q("daily_features", f"WITH {DAILY_FEATURES} SELECT * FROM dfeat")
 
