@@ -5,10 +5,11 @@ DataFrame.  Grain: a reference row is a whole transaction, here a transaction
 is an order of several lines, so "count of transactions" is a count of
 distinct ``order_key`` and "average order value" is revenue / orders.
 
-Distinct counts over lines are avoided where an order-level pre-aggregation
-does the same work on a quarter of the rows: ``orders_of`` groups lines to one
-row per order (partial aggregation on the join's order-key partitioning), and
-the daily, customer and global figures are counted from it.
+Order-level figures (daily, weekday, holiday, customer and global KPIs) are
+computed from one row per order: ``sources.tables.order_totals`` sums the
+lines per order key before joining ``orders`` (``orders_of`` does the same
+for an already joined line-level frame), so transactions are plain counts
+and the distinct counts run over a quarter of the rows.
 """
 
 from __future__ import annotations

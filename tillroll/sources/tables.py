@@ -175,9 +175,11 @@ def part_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer attributes: customer_id, loyalty_tier, city (customer x nation)."""
+def customers(spark: SparkSession, sf_dir: str, with_city: bool = True) -> DataFrame:
+    """Customer attributes: customer_id, loyalty_tier and (customer x nation) city."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    if not with_city:
+        return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("loyalty_tier"))
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
         F.col("c_custkey").alias("customer_id"),
