@@ -55,7 +55,7 @@ def calendar_features(fact: DataFrame) -> DataFrame:
     )
 
 
-def _date_bounds(daily: DataFrame, cols=()) -> DataFrame:
+def date_bounds(daily: DataFrame, cols=()) -> DataFrame:
     """First and last date (one row).
 
     Min / max run over a struct of the columns the caller's main branch also
@@ -72,7 +72,7 @@ def calendar_fill(daily: DataFrame, value: str = "revenue") -> DataFrame:
     The calendar is generated from a one-row min/max aggregate; its size is
     the calendar span, not the data volume.
     """
-    days = _date_bounds(daily, [value]).select(F.explode(F.sequence("_lo", "_hi")).alias("date"))
+    days = date_bounds(daily, [value]).select(F.explode(F.sequence("_lo", "_hi")).alias("date"))
     return days.join(daily, "date", "left").select(
         "date",
         F.coalesce(F.col(value), F.lit(0.0)).alias(value),
@@ -83,7 +83,7 @@ def calendar_fill(daily: DataFrame, value: str = "revenue") -> DataFrame:
 def future_calendar(daily: DataFrame, periods: int = HORIZON_DAYS) -> DataFrame:
     """Observed days plus ``periods`` days after the last one."""
     hist = daily.select("date", F.lit(False).alias("is_future"))
-    fut = _date_bounds(daily).select(
+    fut = date_bounds(daily).select(
         F.explode(F.sequence(F.date_add("_hi", 1), F.date_add("_hi", periods))).alias("date"),
         F.lit(True).alias("is_future"),
     )

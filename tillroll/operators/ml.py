@@ -236,12 +236,12 @@ def revenue_forecast(daily: DataFrame, horizon: int = HORIZON):
     residual std (80 % band).  Same model family as the reference's additive
     forecaster, not the same numbers (no per-group priors, no MCMC).
     """
-    from tillroll.operators.features import _date_bounds
+    from tillroll.operators.features import date_bounds
 
     # observed days keep their revenue; the horizon days are appended with a
     # null target (no join back to the daily series)
     hist = daily.select("date", F.col("revenue").cast("double").alias("revenue"), F.lit(False).alias("is_future"))
-    fut = _date_bounds(daily, ["revenue"]).select(
+    fut = date_bounds(daily, ["revenue"]).select(
         F.explode(F.sequence(F.date_add("_hi", 1), F.date_add("_hi", horizon))).alias("date"),
         F.lit(None).cast("double").alias("revenue"), F.lit(True).alias("is_future"))
     reg = FC.day_index(hist.unionByName(fut)).select("date", "is_future", "revenue", "t", *FC.fourier_columns())
