@@ -198,3 +198,14 @@ def test_cluster_conf_sizes_partitions():
     assert n >= 3 * 8000 and 100 * 2**40 / n <= 256 * 2**20 + 1
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert int(cluster_conf(1, 4)["spark.sql.shuffle.partitions"]) == 12
+
+
+def test_write_views_skips_empty_and_truncates_names(spark, tmp_path):
+    from tillroll.sources.export import csv_roundtrip, write_views
+
+    full = spark.range(7).withColumnRenamed("id", "x")
+    views = {"a_very_long_view_name_that_exceeds_the_limit": full, "empty_view": full.limit(0)}
+    man = {r.view_name: r.rows for r in write_views(spark, views, str(tmp_path / "views")).collect()}
+    assert man == {"a_very_long_view_name_that_exce": 7}
+    back = csv_roundtrip(spark, full, str(tmp_path / "csv"))
+    assert rows(back) == rows(full) and back.dtypes == full.dtypes
