@@ -123,21 +123,32 @@ def export_csv_roundtrip(spark, d):
 
 
 def _export_views(spark, d) -> dict[str, DataFrame]:
-    """The two BI export sets except the full transaction table and its sample."""
-    seg = _segments(spark, d)
-    tiers = customers(spark, d, with_city=False)
+    """The two BI export sets except the full transaction table and its sample.
+
+    The order-level frame feeds four of the views (daily sales, daily metrics,
+    customer RFM / segments, the revenue forecast); it is computed once and
+    checkpointed to the shared checkpoint folder rather than re-aggregated
+    from the lines for each view.
+    """
+    from tillroll.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    orders = _orders(spark, d).checkpoint(eager=True)
+    seg = R.rfm_segments(R.rfm_scores(R.rfm_base(None, orders)))
+    daily = K.revenue_by(orders, ["date"])
+    forecast, _ = ML.revenue_forecast(daily)
     return {
         # first export set
         "dim_products": K.dim_products(fact(spark, d, "product", "category")),
-        "dim_customers": R.dim_customers(seg, tiers),
-        "daily_sales": _daily_revenue(spark, d),
+        "dim_customers": R.dim_customers(seg, customers(spark, d, with_city=False)),
+        "daily_sales": daily,
         "segment_profiles": R.segment_profiles(seg),
         # second export set
         "Customer_RFM": R.public(seg),
-        "Daily_Metrics": _daily_features(spark, d),
+        "Daily_Metrics": FE.daily_features(K.daily_metrics(orders)),
         "Product_Performance": K.product_performance(
             fact(spark, d, "category", "product", "revenue_dec", "quantity", "order_key")),
-        "Revenue_Forecast": _forecast(spark, d)[0].where(F.col("is_future")).select(
+        "Revenue_Forecast": forecast.where(F.col("is_future")).select(
             "date", F.col("yhat").alias("forecast"), F.col("yhat_lower").alias("lower_bound"),
             F.col("yhat_upper").alias("upper_bound")),
         "Inventory_Optimization": INV.reorder_points(fact(spark, d, "product", "quantity", "order_key")),
