@@ -7,8 +7,8 @@ the data never passes through the driver.  Only model parameters (a few
 dozen coefficients, cluster centres) come back to it.
 
 Splits:
-* ``random_split`` hashes the row key with a seed (``xxhash64``): stable
-  under repartitioning and re-execution, unlike ``randomSplit``;
+* ``random_split`` hashes the seeded row key (md5): stable under
+  repartitioning and re-execution, unlike ``randomSplit``;
 * ``chrono_split`` (in ``features``) takes the first 80 % of days.
 
 Budgets: the reference's full budgets are parameters; the defaults keep the
@@ -85,8 +85,17 @@ def in_parallel(tasks: Sequence[Callable[[], object]], workers: int = PARALLELIS
         return list(pool.map(lambda t: t(), tasks))
 
 
+def split_bucket(key: Sequence[str], seed: int = SEED):
+    """0..99 from the seeded row key: the first 32 bits of md5('seed|k1|k2..')
+    mod 100.  A function of the key only (stable under repartitioning and
+    re-execution), and md5 has the same value in any SQL engine, so the
+    split can be checked against the oracle."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(100))
+
+
 def random_split(df: DataFrame, key: Sequence[str], test_percent: int = TEST_PERCENT, seed: int = SEED) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(100))
+    bucket = split_bucket(key, seed)
     return df.withColumn("split", F.when(bucket < 100 - test_percent, F.lit("train")).otherwise(F.lit("test")))
 
 

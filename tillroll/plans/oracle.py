@@ -582,6 +582,14 @@ SELECT product, CAST(ROUND(CAST(CAST(regr_slope(units, prev) AS VARCHAR) AS DECI
        COUNT(*) AS n
 FROM l WHERE prev IS NOT NULL GROUP BY product""")
 
+# ------------------------------------------------------------------ seeded hash split
+
+q("random_split", f"""WITH {DPS}
+SELECT date, product, category,
+  CASE WHEN CAST('0x' || substr(md5(concat_ws('|', '{ML.SEED}', date, product, category)), 1, 8) AS BIGINT) % 100
+            < {100 - ML.TEST_PERCENT} THEN 'train' ELSE 'test' END AS split
+FROM dps""")
+
 # ------------------------------------------------------------------ export manifest
 
 _MANIFEST_VIEWS = {
