@@ -655,8 +655,9 @@ def kpi_report_lines(spark, d):
     k = kpi_summary(spark, d)
     lines = [
         ("Total Transactions", F.format_number("transactions", 0)),
-        ("Total Revenue", F.concat(F.lit("$"), F.format_number("total_revenue", 2))),
-        ("Average Order Value", F.concat(F.lit("$"), F.format_number("avg_order_value", 2))),
+        # rounded HALF_UP first, so the formatting itself never meets a tie
+        ("Total Revenue", F.concat(F.lit("$"), F.format_number(F.round("total_revenue", 2), 2))),
+        ("Average Order Value", F.concat(F.lit("$"), F.format_number(F.round("avg_order_value", 2), 2))),
         ("Unique Customers", F.format_number("unique_customers", 0)),
         ("Products", F.col("unique_products").cast("string")),
         ("Categories", F.col("unique_categories").cast("string")),

@@ -582,6 +582,26 @@ SELECT product, CAST(ROUND(CAST(CAST(regr_slope(units, prev) AS VARCHAR) AS DECI
        COUNT(*) AS n
 FROM l WHERE prev IS NOT NULL GROUP BY product""")
 
+# ------------------------------------------------------------------ report text
+
+_KPI = f"""{ORDERS},
+a AS (SELECT COUNT(*) AS transactions, CAST(SUM(revenue_dec) AS DOUBLE) AS total_revenue,
+             CAST(SUM(revenue_dec) AS DOUBLE) / COUNT(*) AS avg_order_value,
+             COUNT(DISTINCT customer_id) AS unique_customers, MIN(date) AS first_date, MAX(date) AS last_date FROM o),
+p AS (SELECT COUNT(DISTINCT product) AS unique_products, COUNT(DISTINCT category) AS unique_categories
+      FROM {fact('product', 'category')})"""
+_LINES = [
+    ("Total Transactions", "format('{:,}', transactions)"),
+    ("Total Revenue", "'$' || format('{:,.2f}', " + R2("total_revenue") + ")"),
+    ("Average Order Value", "'$' || format('{:,.2f}', " + R2("avg_order_value") + ")"),
+    ("Unique Customers", "format('{:,}', unique_customers)"),
+    ("Products", "CAST(unique_products AS VARCHAR)"),
+    ("Categories", "CAST(unique_categories AS VARCHAR)"),
+    ("Date Range", "CAST(first_date AS VARCHAR) || ' to ' || CAST(last_date AS VARCHAR)"),
+]
+q("kpi_report_lines", f"WITH {_KPI}\n" + "\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS line_no, '{label}: ' || {expr} AS text FROM a, p" for i, (label, expr) in enumerate(_LINES)))
+
 # ------------------------------------------------------------------ seeded hash split
 
 q("random_split", f"""WITH {DPS}
