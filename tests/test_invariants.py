@@ -209,3 +209,36 @@ def test_write_views_skips_empty_and_truncates_names(spark, tmp_path):
     assert man == {"a_very_long_view_name_that_exce": 7}
     back = csv_roundtrip(spark, full, str(tmp_path / "csv"))
     assert rows(back) == rows(full) and back.dtypes == full.dtypes
+
+
+def test_stream_drops_events_behind_the_watermark(spark, tmp_path):
+    """Three micro-batches (one file each).  The late event for 2 January
+    arrives in the third, after its window was emitted and the watermark
+    (max event time - 1 day) has passed it: it is dropped, and no second
+    row for that day appears.  Windows still open at the end are not emitted."""
+    import glob
+    import os
+    import shutil
+
+    from tillroll.streaming.daily_value import daily_value_stream
+
+    day = lambda d, h=12: dt.datetime(2024, 1, d, h)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    batches = [
+        [(i, day(d), 1, "click", 1.0, "{}") for i, d in enumerate(range(1, 11))],
+        [(20, day(11), 1, "click", 1.0, "{}"), (21, day(12), 1, "click", 1.0, "{}")],
+        [(30, day(2, 13), 1, "click", 5.0, "{}"), (31, day(12, 13), 1, "click", 7.0, "{}")],
+    ]
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i, rows_ in enumerate(batches):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        (f,) = glob.glob(str(tmp_path / f"b{i}" / "*.parquet"))
+        target = flat / f"part{i}.events.parquet"
+        shutil.copy(f, target)
+        os.utime(target, (1_000_000 + i, 1_000_000 + i))  # file order = batch order
+    got = [(r.window_date, r.events, r.total_value) for r in daily_value_stream(
+        spark, str(flat), file_glob="*.events.parquet", out=str(tmp_path / "out"), max_files_per_trigger=1).collect()]
+    jan2 = [g for g in got if g[0] == dt.date(2024, 1, 2)]
+    assert jan2 == [(dt.date(2024, 1, 2), 1, 1.0)]      # the late 5.0 was dropped
+    assert max(g[0] for g in got) == dt.date(2024, 1, 10)  # 11 and 12 January still open

@@ -24,8 +24,14 @@ WATERMARK = "1 day"
 STATE_PARTITIONS = 16
 
 
+def _reader(spark: SparkSession, schema, file_glob: str, max_files: int | None):
+    r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    return r.option("maxFilesPerTrigger", max_files) if max_files else r
+
+
 def daily_value_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
-                       out: str | None = None, state_partitions: int = STATE_PARTITIONS) -> DataFrame:
+                       out: str | None = None, state_partitions: int = STATE_PARTITIONS,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Run the stream to completion and return the emitted (closed) windows.
 
     The groups alive at any time are (open day window x event type), a few
@@ -39,13 +45,13 @@ def daily_value_stream(spark: SparkSession, source_dir: str, file_glob: str = "e
         spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     except Exception:  # noqa: BLE001 - sessions that cannot be cloned keep their settings
         spark = parent
-    schema = spark.read.parquet(os.path.join(source_dir, file_glob)).schema
+    schema = spark.read.parquet(os.path.join(source_dir, file_glob) if "*" not in file_glob else source_dir).schema
     tz = spark.conf.get("spark.sql.session.timeZone", "UTC")
     # wall-clock event time read as UTC, so one-day windows are calendar days
     # of the recorded wall clock whatever the session time zone is
     event_time = F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz)
     stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(source_dir)
+        _reader(spark, schema, file_glob, max_files_per_trigger).parquet(source_dir)
         .select(event_time.alias("ts"), "event_type",
                 F.col("value").cast("decimal(18,2)").alias("value"))
         .withWatermark("ts", WATERMARK)
