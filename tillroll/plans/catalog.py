@@ -663,9 +663,7 @@ def kpi_report_lines(spark, d):
         ("Categories", F.col("unique_categories").cast("string")),
         ("Date Range", F.concat_ws(" to ", F.col("first_date").cast("string"), F.col("last_date").cast("string"))),
     ]
-    parts = [k.select(F.lit(i + 1).alias("line_no"), F.concat(F.lit(label + ": "), v).alias("text"))
-             for i, (label, v) in enumerate(lines)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one row in, seven lines out: a single branch over the KPI row
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("line_no"), F.concat(F.lit(label + ": "), v).alias("text"))
+                     for i, (label, v) in enumerate(lines)])
+    return k.select(F.explode(rows).alias("_l")).select("_l.line_no", "_l.text")
