@@ -1,7 +1,6 @@
 """Invariants of the model queries, partition independence, leakage, empty input."""
 
 import datetime as dt
-import math
 
 import pytest
 from pyspark.sql import functions as F

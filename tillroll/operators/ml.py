@@ -28,7 +28,6 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions import exprs as X
 from tillroll.operators import forecast as FC
 
 SEED = 42
