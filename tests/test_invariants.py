@@ -241,3 +241,15 @@ def test_stream_drops_events_behind_the_watermark(spark, tmp_path):
     jan2 = [g for g in got if g[0] == dt.date(2024, 1, 2)]
     assert jan2 == [(dt.date(2024, 1, 2), 1, 1.0)]      # the late 5.0 was dropped
     assert max(g[0] for g in got) == dt.date(2024, 1, 10)  # 11 and 12 January still open
+
+
+def test_sample_from_partitioned_export_equals_fact_sample(spark, tmp_path):
+    from tillroll.sources.export import bounded_sample, write_views
+
+    f = sales_fact(spark, SF001, FULL_FACT)
+    man = write_views(spark, {"t": f.withColumn("year", F.year("date"))}, str(tmp_path),
+                      partition_by={"t": ["year"]}).first()
+    assert man.rows == f.count()
+    back = spark.read.parquet(man.path).drop("year").select(*FULL_FACT)
+    assert [tuple(r) for r in bounded_sample(back, 1500).collect()] == \
+        [tuple(r) for r in bounded_sample(f, 1500).collect()]

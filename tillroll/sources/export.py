@@ -44,12 +44,15 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
 
 
 def write_views(spark: SparkSession, views: dict[str, DataFrame], base: str | None = None,
-                parallelism: int = 4) -> DataFrame:
+                parallelism: int = 4, partition_by: dict[str, list[str]] | None = None) -> DataFrame:
     """Write every non-empty view as parquet; manifest (view_name, rows, path).
 
     The views are independent, so their jobs are submitted concurrently from a
     small driver thread pool; row counts are read back from the written files.
+    ``partition_by`` names partition columns per view (directory partitioning,
+    so later reads that filter on them skip whole folders).
     """
+    partition_by = partition_by or {}
     from concurrent.futures import ThreadPoolExecutor
 
     base = base or scratch_path(spark, "views")
@@ -60,7 +63,10 @@ def write_views(spark: SparkSession, views: dict[str, DataFrame], base: str | No
             return None
         short = name[:MAX_VIEW_NAME]
         path = os.path.join(base, short)
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        if partition_by.get(name):
+            writer = writer.partitionBy(*partition_by[name])
+        writer.parquet(path)
         return (short, spark.read.parquet(path).count(), path)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
