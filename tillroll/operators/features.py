@@ -103,14 +103,17 @@ def lag_features(dps: DataFrame, lags: Sequence[int] = PRODUCT_LAGS, products: S
                       *[F.lag("units", k).over(w).alias(f"lag{k}") for k in lags])
 
 
-def first_products(rows: DataFrame, k: int = 5) -> DataFrame:
+def first_products(rows: DataFrame, k: int = 5, cols: Sequence[str] = ()) -> DataFrame:
     """The first ``k`` products in order of first appearance (P6).
 
     ``rows`` are lines or product-day rows (same first dates).  Ties on the
     first date are broken by the product name.  Each product is reduced to one
-    row before the (bounded, ``k``-row) top-k.
+    row before the (bounded, ``k``-row) top-k.  The first date is the min of a
+    struct (date first, then ``cols``): listing the columns the caller's other
+    branch reads keeps both branches identical, so they share one aggregate.
     """
-    first = rows.where(F.col("product").isNotNull()).groupBy("product").agg(F.min("date").alias("first_date"))
+    first = rows.where(F.col("product").isNotNull()).groupBy("product").agg(
+        F.min(F.struct("date", *cols))["date"].alias("first_date"))
     return first.orderBy("first_date", "product").limit(k).select("product")
 
 
@@ -120,11 +123,7 @@ def lag_features_top5(dps: DataFrame, k: int = 5) -> DataFrame:
     The first products are read from the product-day rows themselves, so the
     line-level join is computed once for both branches.
     """
-    # min over (date, category, units): the columns the lag branch reads, so
-    # both branches share the product-day aggregate
-    first = dps.where(F.col("product").isNotNull()).groupBy("product").agg(
-        F.min(F.struct("date", "category", "units"))["date"].alias("first_date"))
-    keep = first.orderBy("first_date", "product").limit(k).select("product")
+    keep = first_products(dps, k, ["category", "units"])
     # the kept list has k rows: a broadcast semi-join
     return lag_features(dps.join(F.broadcast(keep), "product", "left_semi"))
 
