@@ -70,6 +70,19 @@ def ml_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -
     return int(max(1, min(4 * cores, -(-rows // rows_per_partition))))
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared checkpoint folder.
+
+    A fit reads its input several times (scaler statistics, the row count
+    for sizing, the cache fill, horizon bounds); materialising the input once
+    keeps the upstream aggregation of the lines from running again for each
+    read."""
+    from tillroll.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def sized(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """``df`` hash-partitioned on ``key`` into ``ml_partitions`` partitions."""
     return df.repartition(ml_partitions(df), *[F.col(k) for k in key])
@@ -166,6 +179,7 @@ def tuned_gbt(daily_feats: DataFrame, trials: int = TUNING_TRIALS, rounds=TUNING
     (``featureSubsetStrategy``), per tree in XGBoost.
     Returns (trials frame, scored validation frame of the best trial).
     """
+    daily_feats = materialized(daily_feats)
     feats = [c for c in daily_feats.columns if c not in ("date", "revenue")]
     w = Window.orderBy("date")
     n = F.count(F.lit(1)).over(Window.partitionBy())
@@ -215,6 +229,7 @@ def ar30_forecast(sequences: DataFrame, train_fraction: float = 0.8, n: int = 30
     Re-aims the reference's 30-step sequence network as a linear
     autoregression over the same windows.  Returns (scored validation, metrics).
     """
+    sequences = materialized(sequences)
     cols = [F.col("window")[i].alias(f"lag_{n - i}") for i in range(n)]
     w = Window.orderBy("date")
     cnt = F.count(F.lit(1)).over(Window.partitionBy())
@@ -246,6 +261,7 @@ def revenue_forecast(daily: DataFrame, horizon: int = HORIZON):
     """
     from tillroll.operators.features import date_bounds
 
+    daily = materialized(daily.select("date", "revenue"))
     # observed days keep their revenue; the horizon days are appended with a
     # null target (no join back to the daily series)
     hist = daily.select("date", F.col("revenue").cast("double").alias("revenue"), F.lit(False).alias("is_future"))
@@ -328,7 +344,7 @@ def _scaled(base: DataFrame) -> DataFrame:
 def kmeans_segments(base: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS):
     """Best of ``restarts`` K-means fits (lowest cost); clusters relabelled
     0..k-1 by descending mean monetary.  Returns (segments, cost)."""
-    data = sized(_scaled(base), ["customer_id"]).sortWithinPartitions("customer_id").cache()
+    data = sized(_scaled(materialized(base)), ["customer_id"]).sortWithinPartitions("customer_id").cache()
 
     def run(s):
         model = KMeans(k=k, seed=SEED + s, featuresCol="features", predictionCol="cluster").fit(data)
@@ -356,7 +372,7 @@ def rfm_pca(base: DataFrame, k: int = PCA_K):
     The sign of each component is fixed so that its largest loading is
     positive.  Returns (projection, loadings as rows).
     """
-    data = sized(_scaled(base), ["customer_id"]).cache()
+    data = sized(_scaled(materialized(base)), ["customer_id"]).cache()
     model = PCA(k=k, inputCol="features", outputCol="pcs").fit(data)
     pc = model.pc.toArray()  # features x k, small
     signs = []

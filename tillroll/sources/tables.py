@@ -86,12 +86,8 @@ FULL_FACT = (
 )
 
 
-def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT, base: str = _LINE) -> DataFrame:
-    """The fact restricted to ``columns``; joins only what they need.
-
-    ``base='orders'`` gives an order-grain frame (no lineitem scan) for the
-    few operators that only need order attributes.
-    """
+def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT) -> DataFrame:
+    """The line-level fact restricted to ``columns``; joins only what they need."""
     spec = _fact_columns()
     columns = list(columns)
     unknown = [c for c in columns if c not in spec]
@@ -102,8 +98,7 @@ def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT, base: str =
         need.add(_CUS)
     if _CUS in need:
         need.add(_ORD)
-    if base == _LINE:
-        need.add(_LINE)
+    need.add(_LINE)
 
     df = None
     if _LINE in need:
@@ -186,7 +181,3 @@ def customers(spark: SparkSession, sf_dir: str, with_city: bool = True) -> DataF
         F.col("c_mktsegment").alias("loyalty_tier"),
         F.col("n_name").alias("city"),
     )
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events")
