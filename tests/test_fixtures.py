@@ -251,3 +251,13 @@ def test_fma_single_rounding(spark):
     df = spark.createDataFrame(rows, "a double, b double, c double")
     got = [r[0] for r in df.select(fma(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert got == [math.fma(a, b, c) for a, b, c in rows]
+
+
+def test_smallest_keys_prefilter_exact(spark):
+    from tillroll.functions.ranking import smallest_keys
+
+    rows = [((i * 7919) % 3001, i) for i in range(12000)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "k long, v int").repartition(5)
+    exp = sorted({k for k, _ in rows if k is not None})[:1500]
+    got = [r.k for r in smallest_keys(df, "k", 1500, prefilter_from=100).collect()]
+    assert got == exp

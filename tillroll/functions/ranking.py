@@ -220,3 +220,32 @@ def qcut_score(x: Column, q0: Column, q1: Column, q2: Column, labels: Sequence[s
         .when(x <= q2, F.lit(labels[2]))
         .otherwise(F.lit(labels[3]))
     )
+
+
+def smallest_keys(df: DataFrame, key: str, n: int, prefilter_from: int = 1000) -> DataFrame:
+    """The ``n`` smallest distinct non-null values of ``key`` (exact).
+
+    Without help this is a distinct over every key (a shuffle of all keys)
+    and a top-k.  For ``n >= prefilter_from`` and a numeric or date key, one
+    sketch job picks a threshold ``t`` with a few times ``n`` rows below it;
+    the distinct runs only on ``key <= t`` and a count verifies that at least
+    ``n`` distinct keys are there (else the plain plan is used).  Every one
+    of the ``n`` smallest keys is ``<= t`` in that case, so the result is exact.
+    """
+    keys = df.select(key).where(F.col(key).isNotNull())
+    plain = keys.distinct().orderBy(key).limit(n)
+    if n < prefilter_from or dict(df.dtypes).get(key) not in _NUMERIC:
+        return plain
+    row = keys.agg(F.count(F.lit(1)).alias("_n"),
+                   F.percentile_approx(key, _FRACTIONS, _SKETCH_ACCURACY).alias("_q")).first()
+    total, qs = row["_n"], row["_q"]
+    if not total or qs is None:
+        return plain
+    need = 8 * n + 2 * total / _SKETCH_ACCURACY  # rows, allowing several rows per key
+    for frac, t in zip(_FRACTIONS, qs):
+        if frac * total >= need and t is not None:
+            cand = keys.where(F.col(key) <= F.lit(t)).distinct()
+            if cand.count() >= n:
+                return cand.orderBy(key).limit(n)
+            break
+    return plain

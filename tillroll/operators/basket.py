@@ -96,7 +96,9 @@ def basket_pairs_sample(fact: DataFrame, item: str = "category", min_support: fl
     The denominator is the number of baskets actually scanned.  The sample
     list has at most ``sample`` rows and is joined by broadcast.
     """
-    first = fact.select("order_key").distinct().orderBy("order_key").limit(sample)
+    from tillroll.functions.ranking import smallest_keys
+
+    first = smallest_keys(fact, "order_key", sample)
     sub = fact.join(F.broadcast(first), "order_key", "left_semi")
     return basket_pairs(sub, item, min_support)
 
