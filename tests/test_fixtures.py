@@ -261,3 +261,13 @@ def test_smallest_keys_prefilter_exact(spark):
     exp = sorted({k for k, _ in rows if k is not None})[:1500]
     got = [r.k for r in smallest_keys(df, "k", 1500, prefilter_from=100).collect()]
     assert got == exp
+
+
+def test_top_k_with_hot_low_value(spark):
+    from tillroll.functions.ranking import top_k
+
+    rows = [(0, i) for i in range(3000)] + [(i, i) for i in range(1, 6000)]  # key 0 holds a third
+    df = spark.createDataFrame(rows, "a int, b int").repartition(4)
+    order = [F.col("a").asc_nulls_first(), F.col("b").asc_nulls_first()]
+    exp = [tuple(r) for r in df.orderBy(*order).limit(4000).collect()]
+    assert [tuple(r) for r in top_k(df, 4000, order, lead="a", prefilter_from=100).collect()] == exp

@@ -175,6 +175,7 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 _SKETCH_ACCURACY = 100000
 _FRACTIONS = [10.0 ** (-k / 2) for k in range(24, -1, -1)]  # 1e-12 ... 1
+_PREFILTER_TRIES = 3
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
 
 
@@ -200,12 +201,15 @@ def top_k(df: DataFrame, n: int, order: Sequence[Column], lead: str | None = Non
     if not total or qs is None:
         return plain
     need = 2 * n + 2 * total / _SKETCH_ACCURACY
+    tries = 0
     for frac, t in zip(_FRACTIONS, qs):
         if frac * total >= need and t is not None:
             cand = df.where(F.col(lead).isNull() | (F.col(lead) <= F.lit(t)))
             if cand.count() >= n:
                 return cand.orderBy(*order).limit(n)
-            break
+            tries += 1  # e.g. one hot value at the low end: widen the threshold
+            if tries == _PREFILTER_TRIES:
+                break
     return plain
 
 
@@ -242,10 +246,13 @@ def smallest_keys(df: DataFrame, key: str, n: int, prefilter_from: int = 1000) -
     if not total or qs is None:
         return plain
     need = 8 * n + 2 * total / _SKETCH_ACCURACY  # rows, allowing several rows per key
+    tries = 0
     for frac, t in zip(_FRACTIONS, qs):
         if frac * total >= need and t is not None:
             cand = keys.where(F.col(key) <= F.lit(t)).distinct()
             if cand.count() >= n:
                 return cand.orderBy(key).limit(n)
-            break
+            tries += 1
+            if tries == _PREFILTER_TRIES:
+                break
     return plain
