@@ -27,6 +27,10 @@ customer, every customer its nation) this equals the five-way inner join.
 Joins are plain equi-joins: Spark picks broadcast for the fixed-size nation
 table from its file statistics, and AQE re-plans the others from measured
 shuffle sizes, so no side is broadcast without a size check.
+
+``order_totals``, ``part_totals`` and ``customers`` are the pre-aggregated
+and dimension-side sources: lines summed per order or part *before* their
+join, for operators that do not need line grain.
 """
 
 from __future__ import annotations
@@ -98,12 +102,9 @@ def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT) -> DataFrame
         need.add(_CUS)
     if _CUS in need:
         need.add(_ORD)
-    need.add(_LINE)
 
-    df = None
-    if _LINE in need:
-        li_cols = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
-        df = read_table(spark, sf_dir, "lineitem").select(*li_cols)
+    li_cols = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
+    df = read_table(spark, sf_dir, "lineitem").select(*li_cols)
     if _ORD in need:
         # order-side dimensions are joined at order grain first (a bushy plan:
         # Catalyst keeps the written join order without statistics), so the
@@ -116,7 +117,7 @@ def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT) -> DataFrame
         if _NAT in need:
             n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
             o = o.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-        df = o if df is None else df.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        df = df.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     if _PART in need:
         p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
         df = df.join(p, F.col("l_partkey") == F.col("p_partkey"))
