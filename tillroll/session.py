@@ -49,6 +49,8 @@ def cluster_conf(input_bytes: float, total_cores: int, target_partition_bytes: i
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # coalesce to the advisory size rather than to the default parallelism
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",
