@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import exact_dedup as dedup
-from tillroll.llm import packing, token_records
+from tillroll.llm import ngram_join, packing, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +27,11 @@ def op1_best_fit_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+@query
+def op3_ngram_jaccard_join(spark, d):
+    return ngram_join.ngram_jaccard_join(table(spark, d, "documents"), k=4, percent=85)
+
+
 @query
 def op5_token_records(spark, d):
     return token_records.encode_to_records(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)

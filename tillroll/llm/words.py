@@ -58,15 +58,34 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, dtype=U)
+    np.cumsum(_CODE[data] * _power(BASE, len(data)), out=total[1:])
+    return mix((total[end] - total[start]) * _power(_INVERSE, len(data))[start] + (end - start).astype(U))
+
+
 def word_hashes(text: str) -> np.ndarray:
     """One 64-bit hash per word of the text, in order."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     start, end = word_spans(data)
-    if not len(start):
-        return np.empty(0, dtype=U)
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_CODE[data] * _power(BASE, len(data)), out=total[1:])
-    return mix((total[end] - total[start]) * _power(_INVERSE, len(data))[start] + (end - start).astype(U))
+    return _hash_words(data, start, end) if len(start) else np.empty(0, dtype=U)
+
+
+def word_hash_lists(texts: list[str | None], chunk: int = 1 << 17):
+    """``word_hashes`` of each text in turn; short texts are hashed together,
+    about ``chunk`` bytes at a time."""
+    i = 0
+    while i < len(texts):
+        parts, size = [], 0
+        while i < len(texts) and size < chunk:
+            parts.append((texts[i] or "").encode("utf-8", "surrogatepass"))
+            size += len(parts[-1]) + 1
+            i += 1
+        data = np.frombuffer(b" ".join(parts), dtype=np.uint8)
+        start, end = word_spans(data)
+        hashes = _hash_words(data, start, end) if len(start) else np.empty(0, dtype=U)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        yield from np.split(hashes, np.searchsorted(start, ends)[:-1])
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -82,6 +101,20 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    x = np.sort(x)
+    first = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending."""
-    return np.unique(shingle_hashes(word_hashes(text or ""), k))
+    return distinct(shingle_hashes(word_hashes(text or ""), k))
+
+
+def shingle_sets(texts: list[str | None], k: int):
+    """``shingle_set`` of each text in turn."""
+    for words in word_hash_lists(texts):
+        yield distinct(shingle_hashes(words, k))
