@@ -11,4 +11,28 @@ SQL: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM n
     """,
+    "op9_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), s AS (
+            SELECT *,
+                   length(role) + length(text)
+                   + length(role || text) - length(replace(replace(role || text, '\', ''), '<', ''))
+                   + length(role) - length(replace(role, '|', '')) + length('<||><|end|>') AS chars,
+                   lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+            FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars,
+               bool_and(CASE WHEN role = 'user' THEN coalesce(before, 'system') IN ('system', 'assistant')
+                             WHEN role = 'assistant' THEN coalesce(before, '') = 'user'
+                             ELSE role = 'system' AND before IS NULL END)
+               AND arg_max(role, (turn, role, text)) <> 'system' AS valid
+        FROM s GROUP BY conv_id
+    """,
 }

@@ -28,6 +28,8 @@ def _codes() -> np.ndarray:
 _CODE = _codes()
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII character but letters and digits parts words.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -49,11 +51,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end (exclusive) of every word in a byte array."""
     space = np.empty(len(data) + 2, dtype=bool)
     space[0] = space[-1] = True
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = apart[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
     return edge[0::2], edge[1::2]
 
@@ -71,9 +73,9 @@ def word_hashes(text: str) -> np.ndarray:
     return _hash_words(data, start, end) if len(start) else np.empty(0, dtype=U)
 
 
-def word_hash_lists(texts: list[str | None], chunk: int = 1 << 17):
+def word_hash_lists(texts: list[str | None], apart: np.ndarray = _SPACE, chunk: int = 1 << 17):
     """``word_hashes`` of each text in turn; short texts are hashed together,
-    about ``chunk`` bytes at a time."""
+    about ``chunk`` bytes at a time.  ``apart``: the bytes that part words."""
     i = 0
     while i < len(texts):
         parts, size = [], 0
@@ -82,7 +84,7 @@ def word_hash_lists(texts: list[str | None], chunk: int = 1 << 17):
             size += len(parts[-1]) + 1
             i += 1
         data = np.frombuffer(b" ".join(parts), dtype=np.uint8)
-        start, end = word_spans(data)
+        start, end = word_spans(data, apart)
         hashes = _hash_words(data, start, end) if len(start) else np.empty(0, dtype=U)
         ends = np.cumsum([len(p) + 1 for p in parts])
         yield from np.split(hashes, np.searchsorted(start, ends)[:-1])
