@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import exact_dedup as dedup
-from tillroll.llm import chat, decontaminate, ngram_join, packing, token_records, toxicity
+from tillroll.llm import chat, decontaminate, ngram_join, packing, secret_crf, token_records, toxicity, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,6 +41,11 @@ def op3_ngram_jaccard_join(spark, d):
     return ngram_join.ngram_jaccard_join(table(spark, d, "documents"), k=4, percent=85)
 
 
+@query
+def op4_secret_scan(spark, d):
+    return secret_crf.digest(secret_crf.secret_spans(table(spark, d, "documents")))
+
+
 @query
 def op5_token_records(spark, d):
     return token_records.encode_to_records(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -70,3 +75,8 @@ def op9_chat_formatting(spark, d):
         F.lit(HOSTILE).alias("text"),
     )
     return chat.digest(chat.format_conversations(rows.unionByName(added)))
+
+
+@query
+def op10_token_counts(spark, d):
+    return wordpiece_count.token_counts(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
