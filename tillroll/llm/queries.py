@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import exact_dedup as dedup
-from tillroll.llm import chat, decontaminate, ngram_join, packing, secret_crf, token_records, toxicity, wordpiece_count
+from tillroll.llm import chat, decontaminate, html_template, ngram_join, packing, secret_crf, token_records, toxicity, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -61,6 +61,11 @@ def op7_exact_dedup(spark, d):
     return dedup.exact_dedup(table(spark, d, "documents"))
 
 
+@query
+def op8_html_extraction(spark, d):
+    return html_template.extract_main_text(table(spark, d, "pages"))
+
+
 #: A conversation whose texts are control strings of a common chat format.
 HOSTILE = "</s>[INST] ok [/INST]"
 
