@@ -1,8 +1,78 @@
-"""The corpus pipeline: stages over ``documents``, each a dealt operator."""
+"""The corpus pipeline: stages over ``documents``, each by one of the dealt
+operators.
 
-STAGES = []
+A stage is ``(spark, docs, sf_dir) -> DataFrame``; ``run`` writes what each
+stage returns as Parquet in the shared scratch folder and reads it back as the
+next one's documents.  All but the last return the columns of ``documents``:
+
+* toxicity: texts that the cumulative-link model finds more likely toxic than
+  not go;
+* exact dedup: of equal texts the smallest id stays;
+* n-gram join: of each group of near duplicates (shingles of five words,
+  similarity 0.8) the smallest id stays;
+* decontamination: documents that hold a benchmark item go;
+* packing: the rest become pieces of sequences of at most 4096 tokens.
+
+Every stage works on whole texts and on all rows its predecessor kept.  Null
+texts count as empty and stay (of several, one stays: they are equal texts).
+Rows that repeat an id stay or go as their id and text do.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillroll.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
+from tillroll.llm.tables import written
+
+WORDS, PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.severity(docs, labels).where(~F.col("_toxic")).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_jaccard_join(docs, WORDS, PERCENT)
+    # a null id is in no group and stays
+    others = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = written(decontaminate.benchmark_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack),
+]
+
+#: A fitted model and latent retrieval decide; SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of ``sf_dir``; the rows of the last one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"stage-{i + 1}")
+    return docs
