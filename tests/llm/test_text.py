@@ -64,7 +64,7 @@ def test_encoder_forgets_within_its_bound(monkeypatch):
     enc = encoding.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     text = " ".join(f"w{i}" for i in range(100)) + " " + " ".join(f"w{i}" for i in range(100))
     assert enc.ids(text) == enc.whole(text)
-    assert len(enc) <= 8 and len(enc.older) <= 8
+    assert len(enc.of_piece) <= 8 and len(enc.of_piece.older) <= 8
 
 
 def greedy(entries, data):
