@@ -15,9 +15,10 @@ one component already.
 3. Nodes that share a minimum hash are held against the group's most ordinary
    member (a star, not all pairs); verified links give first components, so
    that large families of near copies are one component before any pairing.
-4. Group pairs that share a prefix shingle across two components are counted;
-   the count must reach what the two sizes call for.  Survivors expand to
-   their members and are verified on the whole sets.
+4. Group pairs of two components meet where they share a shingle among the
+   first that their two sizes call for, and their prefixes must have as much in
+   common as those of linked sets.  Survivors expand to their members and are
+   verified on the whole sets.
 
 Defined cases: null, empty and blank texts have an empty set, link with
 nothing and are their own component; a null id is linked with nothing and has
@@ -157,13 +158,20 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _least_common(n: Column, m: Column, percent: int) -> Column:
-    """What two linked sets have in common within their prefixes at least: the
-    overlap their sizes call for, less all that can lie behind the prefix that
-    ends first."""
-    overlap = F.ceil((n + m) * percent / F.lit(100 + percent))
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """The overlap that two linked sets of these sizes have at least."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent))
+
+
+def _enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose prefixes have as much in common as those of
+    linked sets: the overlap their sizes call for, less all that can lie behind
+    the prefix that ends first.  ``nodes(node, n, prefix)``."""
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
+    n, m = F.col("na"), F.col("nb")
     behind = F.ceil(F.greatest(n, m) * percent / F.lit(100)) - 1
-    return overlap - behind
+    enough = F.size(F.array_intersect("pa", "pb")) >= _overlap(n, m, percent) - behind
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -193,9 +201,7 @@ def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
     # the prefixes alone tell most pairs apart that share just a passage
-    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
-    enough = F.size(F.array_intersect("pa", "pb")) >= _least_common(F.col("na"), F.col("nb"), percent)
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+    return _enough(pairs, nodes, percent)
 
 
 def cross_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -210,16 +216,21 @@ def cross_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         F.min(F.struct("n", "prefix")).alias("p"),
     )
     groups = written(groups.select("group_key", "g", "of", "p.n", "p.prefix"), "groups")
-    entries = groups.select("g", "n", "of", F.explode("prefix").alias("token"))
+    entries = groups.select("g", "n", "of", F.posexplode("prefix").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi")
     shared = written(shared.select("token"), "shared-tokens")
     few = shared.count() <= BROADCAST_ROWS
     entries = written(entries.join(F.broadcast(shared) if few else shared, "token"), "entries")
-    left, right = (entries.select("token", *(F.col(c).alias(c + x) for c in ("g", "n", "of"))) for x in "ab")
-    size_a, size_b = F.col("na"), F.col("nb")
-    met = left.join(right, "token").where((F.col("ga") < F.col("gb")) & (F.col("ofa") != F.col("ofb")) & _alike(size_a, size_b, percent))
-    counted = met.groupBy("ga", "gb").agg(F.count(F.lit(1)).alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    group_pairs = counted.where(F.col("common") >= _least_common(size_a, size_b, percent)).select("ga", "gb")
+    left, right = (entries.select("token", *(F.col(c).alias(c + x) for c in ("g", "n", "of", "at"))) for x in "ab")
+    n, m = F.col("na"), F.col("nb")
+    # linked sets share one of their first n - overlap + 1 shingles each
+    spare_a, spare_b = (size - _overlap(n, m, percent) for size in (n, m))
+    met = left.join(right, "token").where(
+        (F.col("ga") < F.col("gb")) & (F.col("ofa") != F.col("ofb")) & _alike(n, m, percent)
+        & (F.col("ata") <= spare_a) & (F.col("atb") <= spare_b)
+    )
+    group_pairs = met.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+    group_pairs = _enough(group_pairs, groups.withColumnRenamed("g", "node"), percent).toDF("ga", "gb")
 
     members = named.join(groups.select("group_key", "g", "of"), "group_key").select("g", "node", "component", "of")
     one, two = (members.select(*(F.col(c).alias(c[0] + x) for c in ("g", "node", "component"))) for x in "ab")
