@@ -1,7 +1,7 @@
 """Toxicity as ordered grades of severity, by cumulative-link regression.
 
-Features of a text are its distinct words (lower case, outer punctuation
-off) and the words' first 4, 5 and 6 letters, hashed.  One weight vector is
+Features of a text are its words (lower case, outer punctuation off) and the
+words' first 4, 5 and 6 letters, hashed and counted.  One weight vector is
 shared by all thresholds: P(grade >= j) = sigmoid(weights . x - threshold_j)
 with rising thresholds, fitted by maximum likelihood with an L1 penalty (so
 that words that tell nothing weigh nothing, however long the text), and the
@@ -12,7 +12,7 @@ the sample itself: how many of a text's words carry a feature far more common
 in toxic rows, cut at the thirds (1 mild, 2 strong, 3 severe); 0 is not toxic.
 
 The model is fitted on at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN``
-other labelled rows (those of smallest id hash); scoring reads every text once
+other labelled rows (those of smallest id hash, equal ones once); scoring reads every text once
 and shuffles nothing.
 
 Defined cases: a null or empty text has no features and the lowest severity of
@@ -24,6 +24,7 @@ scored each; other columns are carried along unchanged.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,31 +37,40 @@ SIZE = 1 << 18
 GRADES = 3
 #: A feature marks toxic rows when its log odds are at least this.
 MARKED = 2.0
-PENALTY = 2e-4
+#: Features whose log odds are nearer to none than this get no weight.
+TELLING = 0.7
+#: Rate of the weights' Laplace prior: the L1 penalty on the mean loss is this
+#: over the sample's size.
+PENALTY = 1.0
 ROUNDS = 200
 REMEMBERED = 1 << 19
 _EDGE = ".,;:!?\"'()[]{}|<>*_-"
 
 
 def features(token: str) -> tuple[int, ...]:
-    """Hashed features of one white-space token of a lower-case text."""
+    """Hashed features of one white-space token of a lower-case text; the last
+    two bits tell a whole word (0) from its first 4, 5 or 6 letters (1, 2, 3)."""
     word = token.strip(_EDGE)
     if not word:
         return ()
-    parts = {f"w {word}", *(f"{n} {word[:n]}" for n in (4, 5, 6) if len(word) >= n)}
-    return tuple(sorted({zlib.crc32(p.encode("utf-8", "surrogatepass")) % SIZE for p in parts}))
+    parts = [(0, word), *((n - 3, word[:n]) for n in (4, 5, 6) if len(word) >= n)]
+    return tuple(zlib.crc32(f"{kind} {part}".encode("utf-8", "surrogatepass")) % (SIZE // 4) * 4 + kind for kind, part in parts)
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """(feature, number of distinct words with it), as two rows."""
-    found = [f for token in set((text or "").lower().split()) for f in features(token)]
-    return np.array(np.unique(np.array(found, dtype=np.int64), return_counts=True), dtype=np.int32)
+    """(feature, number of words with it), as two rows."""
+    counts: dict[int, int] = {}
+    for token, n in Counter((text or "").lower().split()).items():
+        for f in features(token):
+            counts[f] = counts.get(f, 0) + n
+    return np.array(sorted(counts.items()), dtype=np.int32).reshape(-1, 2).T
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # by feature
     thresholds: np.ndarray  # rising
+    cut: float  # least score that counts as toxic
 
     def reach(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ..."""
@@ -88,34 +98,39 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray,
 
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select(F.col("doc_id").cast("long"), "text", F.col("_toxic").cast("long"))
     rows = rows.mapInArrow(encode, "doc_id long, toxic long, x binary").orderBy("doc_id", "x").toArrow()
-    x = [np.frombuffer(v.as_py(), dtype=np.int32).reshape(2, -1) for v in rows.column("x")]
-    return list(zip(x, rows.column("toxic").to_pylist(), strict=True))
+    once = dict(zip(rows.column("x").to_pylist(), rows.column("toxic").to_pylist(), strict=True))  # copies tell nothing more
+    return [(np.frombuffer(x, dtype=np.int32).reshape(2, -1), toxic) for x, toxic in once.items()]
 
 
-def grades(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """0 for rows that aren't toxic, 1 to ``GRADES`` by how marked they are."""
-    toxic = np.array([t for _, t in rows])
+def log_odds(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """How much more common each feature is in toxic rows; 0 where under three
+    toxic rows have it."""
+    n = [sum(t == kind for _, t in rows) for kind in (0, 1)]
     seen = np.zeros((2, SIZE))
     for x, t in rows:
         seen[t, x[0]] += 1
-    odds = np.log((seen[1] + 1) / ((toxic == 1).sum() + 2)) - np.log((seen[0] + 1) / ((toxic == 0).sum() + 2))
-    marked = (odds >= MARKED) & (seen[1] >= 3)
-    strength = np.array([x[1][marked[x[0]]].sum() for x, _ in rows])
+    odds = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
+    return np.where(seen[1] >= 3, odds, 0)
+
+
+def grades(rows: list[tuple[np.ndarray, int]], odds: np.ndarray) -> np.ndarray:
+    """0 for rows that aren't toxic, 1 to ``GRADES`` by how marked they are."""
+    toxic = np.array([t for _, t in rows])
+    # a word counts once: by itself, or by its stem where more words share that
+    by_kind = [(odds >= MARKED) & (np.arange(SIZE) % 4 == kind) for kind in range(4)]
+    strength = np.array([max(x[1][m[x[0]]].sum() for m in by_kind) for x, _ in rows])
     cuts = np.quantile(strength[toxic == 1], np.arange(1, GRADES) / GRADES)
     return np.where(toxic == 1, 1 + (strength[:, None] > cuts[None, :]).sum(axis=1), 0)
 
 
 def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
     """Proximal gradient with momentum on the cumulative-link likelihood."""
-    none = Model(np.zeros(SIZE, dtype=np.float32), np.full(GRADES, 30.0))
+    none = Model(np.zeros(SIZE, dtype=np.float32), np.full(GRADES, 30.0), np.inf)
     if len({t for _, t in rows}) < 2:
         return none
-    grade = grades(rows)
-    seen = np.zeros(SIZE)
-    for (x, _), g in zip(rows, grade, strict=True):
-        if g:
-            seen[x[0]] += 1
-    used = np.flatnonzero(seen >= 3)
+    odds = log_odds(rows)
+    grade = grades(rows, odds)
+    used = np.flatnonzero(np.abs(odds) >= TELLING)
     place = np.full(SIZE, -1)
     place[used] = np.arange(len(used))
     row = np.concatenate([np.full(x.shape[1], i) for i, (x, _) in enumerate(rows)])
@@ -126,7 +141,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
 
     # thresholds: the first, then steps kept positive by an exponential
     theta = np.concatenate([np.zeros(d), [2.0], np.zeros(GRADES - 1)])
-    ahead, momentum, step = theta.copy(), 1.0, 0.05
+    ahead, momentum, step, penalty, still = theta.copy(), 1.0, 0.05, PENALTY / n, 0
 
     def thresholds(t: np.ndarray) -> np.ndarray:
         return t[d] + np.concatenate([[0.0], np.cumsum(np.exp(t[d + 1 :]))])
@@ -154,17 +169,33 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
         at, gradient = loss(ahead)
         while True:
             new = ahead - step * gradient
-            new[:d] = np.sign(new[:d]) * np.maximum(np.abs(new[:d]) - step * PENALTY, 0)
+            new[:d] = np.sign(new[:d]) * np.maximum(np.abs(new[:d]) - step * penalty, 0)
             move = new - ahead
             if loss(new)[0] <= at + gradient @ move + move @ move / (2 * step) + 1e-12 or step < 1e-6:
                 break
             step /= 2
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead = new + (momentum - 1) / following * (new - theta)
+        still = still + 1 if np.abs(new - theta).max() < 1e-3 else 0
         theta, momentum, step = new, following, step * 1.5
+        if still == 5:
+            break
     weights = np.zeros(SIZE, dtype=np.float32)
     weights[used] = theta[:d]
-    return Model(weights, thresholds(theta))
+    score = np.bincount(row, weights=value * theta[column], minlength=n)
+    return Model(weights, thresholds(theta), least_wrong(score, grade > 0))
+
+
+def least_wrong(score: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut with the fewest errors on the sample, in the middle of the widest
+    such gap between scores."""
+    order = np.argsort(score, kind="stable")
+    s, t = score[order], toxic[order]
+    errors = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum(~t[::-1])[::-1], [0]])
+    edge = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
+    gap = edge[1:] - edge[:-1]
+    best = max(np.flatnonzero(gap > 0), key=lambda i: (-errors[i], gap[i]))
+    return float((edge[best] + edge[best + 1]) / 2)
 
 
 class _Weights(dict):
@@ -184,16 +215,17 @@ class _Weights(dict):
 
 def text_score(text: str | None, known: _Weights) -> float:
     counts: dict[int, int] = {}
-    for found in map(known.__getitem__, set((text or "").lower().split())):
+    for found in map(known.__getitem__, (text or "").lower().split()):
         for f in found:
             counts[f] = counts.get(f, 0) + 1
     return float(sum(known.weights[f] * np.log1p(n) for f, n in sorted(counts.items())))
 
 
 def with_severity(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns, then ``_severity`` (expected grade), ``_grade`` (most likely)
-    and ``_toxic`` (grade 1 or more is likelier than not); columns of those
-    names are replaced."""
+    """All columns, then ``_severity`` (expected grade), ``_grade`` (0, or the
+    most likely one of a toxic text) and ``_toxic`` (the score reaches the cut
+    that was least often wrong on the sample); columns of those names are
+    replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("_severity", "_grade", "_toxic")
     schema = docs.withColumns({"_severity": F.lit(0.0), "_grade": F.lit(0), "_toxic": F.lit(False)}).schema
@@ -203,10 +235,12 @@ def with_severity(docs: DataFrame, model: Model) -> DataFrame:
         known = _Weights(fitted.weights)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            reach = fitted.reach(np.array([text_score(t, known) for t in texts], dtype=np.float64))
-            edge = np.concatenate([np.ones((len(texts), 1)), reach, np.zeros((len(texts), 1))], axis=1)
-            likely = np.argmax(edge[:, :-1] - edge[:, 1:], axis=1).astype(np.int32)
-            out = [*batch.columns, pa.array(reach.sum(axis=1)), pa.array(likely), pa.array(reach[:, 0] >= 0.5)]
+            scores = np.array([text_score(t, known) for t in texts], dtype=np.float64)
+            reach, toxic = fitted.reach(scores), scores >= fitted.cut
+            above = np.concatenate([reach, np.zeros((len(texts), 1))], axis=1)
+            likely = 1 + np.argmax(above[:, :-1] - above[:, 1:], axis=1)
+            grade = np.where(toxic, likely, 0).astype(np.int32)
+            out = [*batch.columns, pa.array(reach.sum(axis=1)), pa.array(grade), pa.array(toxic)]
             yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, "_severity", "_grade", "_toxic"])
 
     return docs.mapInArrow(score, schema)
