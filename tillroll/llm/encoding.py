@@ -1,12 +1,12 @@
 """Token ids of whole texts with a file of the ``tokenizers`` library.
 
-A text is cut where the tokenizer itself always cuts (at white space), each
-distinct chunk is encoded once per Python worker by the library's BPE model,
-and a text's ids are the chunks' ids put together.  Chunks of Latin-1
-characters go through the file's normaliser and splitting rules stated below;
-any other chunk goes through the library whole, and so does any text with a
-character on which Python and the library disagree about white space.  The
-strings of special tokens count as ordinary text.
+A text of Latin-1 characters is cut into the tokenizer's own pre-tokens by the
+rules stated below, and each distinct one goes through the library's BPE model
+once per Python worker.  Any other text is cut where the tokenizer always cuts
+(at white space), and each distinct chunk goes through the library whole; a
+text with a character on which Python and the library disagree about white
+space goes through it at once.  A text's ids are those of its parts put
+together.  The strings of special tokens count as ordinary text.
 
 Ids come as bytes, little-endian unsigned 32-bit, so that joining, slicing and
 checksums never make Python integers.
@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-#: Distinct chunks a worker remembers are at most twice this: when so many are
+#: Distinct parts a worker remembers are at most twice this: when so many are
 #: new, those not used since the last time are forgotten.
 REMEMBERED = 1 << 19
 
@@ -27,9 +28,9 @@ REMEMBERED = 1 << 19
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _NUMBER = "0-9²³¹¼½¾"
 _BLANK = "\\s\x85\xa0"
-_WORD_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
+_WORD_SPLIT = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
 _BYTE_SPLIT = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+    f" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
 _LATIN = re.compile("[\\x00-\\x1b\x20-\xff]*")
 #: Python takes these for white space, the library doesn't.
@@ -57,47 +58,54 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Encoder(dict):
-    """chunk -> packed ids; ``ids(text)`` gives a whole text's."""
+class Remembered(dict):
+    """piece -> packed ids, made by ``encode`` on first use; forgets pieces not
+    used lately."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
         super().__init__()
+        self.encode = encode
         self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
+class Encoder:
+    """``ids(text)`` gives a whole text's packed ids."""
+
+    def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words = self.tokenizer.normalizer is not None
-        split = _WORD_SPLIT if self.words else _BYTE_SPLIT
-        self.split = split.findall
+        self.split = (_WORD_SPLIT if self.words else _BYTE_SPLIT).findall
         self.chunks = str.split if self.words else _BYTE_CHUNK.findall
+        self.of_piece = Remembered(self.piece)
+        self.of_chunk = Remembered(self.whole)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, chunk: str) -> bytes:
-        if not _LATIN.fullmatch(chunk):
-            return self.whole(chunk)
-        tokenize, out = self.model.tokenize, []
-        for part in self.split(chunk.lower() if self.words else chunk):
-            if not part.isalpha() or not part.isascii():
-                part = part.encode("utf-8").decode("latin-1").translate(_SHOWN)
-            out += [t.id for t in tokenize(part)]
-        return _packed(out)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = self.encode(chunk)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = ids
-        return ids
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token of a Latin-1 text."""
+        if not (piece.isascii() and piece.isalpha()):
+            piece = piece.encode("utf-8").decode("latin-1").translate(_SHOWN)
+        return _packed([t.id for t in self.model.tokenize(piece)])
 
     def ids(self, text: str) -> bytes:
+        if _LATIN.fullmatch(text):
+            return b"".join(map(self.of_piece.__getitem__, self.split(text.lower() if self.words else text)))
         if self.words and _ODD.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.chunks(text)))
+        return b"".join(map(self.of_chunk.__getitem__, self.chunks(text)))
 
 
 _encoders: dict[str, Encoder] = {}
