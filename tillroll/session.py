@@ -106,4 +106,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not explicit and not ckpt:
         raise RuntimeError("set tillroll.export.dir or spark.checkpoint.dir to a shared folder")
     base = explicit or os.path.join(ckpt, "tillroll-tables")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    if not explicit:  # scratch: gone when the application ends
+        _delete_at_exit(spark, path)
+    return path
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    except Exception:  # noqa: BLE001 - Spark Connect has no JVM here
+        return
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

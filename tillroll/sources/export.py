@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.session import scratch_path
+from tillroll.session import remove_folder, scratch_path
 
 MAX_VIEW_NAME = 31
 SAMPLE_ROWS = 10000
@@ -43,31 +43,51 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     return bounded_sample(df, n)
 
 
+def short_names(names: list[str], limit: int = MAX_VIEW_NAME) -> dict[str, str]:
+    """Each view's name cut to the limit; of views whose cut names clash, all
+    but the first get a number instead of their last characters."""
+    out: dict[str, str] = {}
+    taken: set[str] = set()
+    for name in names:
+        short, n = name[:limit], 1
+        while short.lower() in taken:
+            n += 1
+            short = f"{name[: limit - len(str(n)) - 1]}_{n}"
+        taken.add(short.lower())
+        out[name] = short
+    return out
+
+
 def write_views(spark: SparkSession, views: dict[str, DataFrame], base: str | None = None,
                 parallelism: int = 4, partition_by: dict[str, list[str]] | None = None) -> DataFrame:
     """Write every non-empty view as parquet; manifest (view_name, rows, path).
 
-    The views are independent, so their jobs are submitted concurrently from a
-    small driver thread pool; row counts are read back from the written files.
-    ``partition_by`` names partition columns per view (directory partitioning,
-    so later reads that filter on them skip whole folders).
+    Each view is evaluated once: it is written, its rows are counted from the
+    files, and the folder of an empty one is removed.  The views are
+    independent, so their jobs are submitted concurrently from a small driver
+    thread pool.  ``partition_by`` names partition columns per view (directory
+    partitioning, so later reads that filter on them skip whole folders); the
+    rows are rebalanced on them first, so that a folder has few files.
     """
     partition_by = partition_by or {}
     from concurrent.futures import ThreadPoolExecutor
 
     base = base or scratch_path(spark, "views")
+    short = short_names(list(views))
 
     def write(item):
         name, df = item
-        if df.isEmpty():
-            return None
-        short = name[:MAX_VIEW_NAME]
-        path = os.path.join(base, short)
-        writer = df.write.mode("overwrite")
-        if partition_by.get(name):
-            writer = writer.partitionBy(*partition_by[name])
+        path = os.path.join(base, short[name])
+        columns = partition_by.get(name)
+        writer = (df.hint("rebalance", *columns) if columns else df).write.mode("overwrite")
+        if columns:
+            writer = writer.partitionBy(*columns)
         writer.parquet(path)
-        return (short, spark.read.parquet(path).count(), path)
+        rows = spark.read.schema(df.schema).parquet(path).count()
+        if rows:
+            return (short[name], rows, path)
+        remove_folder(spark, path)
+        return None
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = [r for r in pool.map(write, views.items()) if r is not None]
