@@ -21,37 +21,47 @@ WINDOW = "1 day"
 WATERMARK = "1 day"
 
 
-STATE_PARTITIONS = 16
+def _reader(spark: SparkSession, schema, max_files: int | None):
+    r = spark.readStream.schema(schema)
+    return r.option("maxFilesPerTrigger", max_files) if max_files else r
 
 
-def _reader(spark: SparkSession, schema, file_glob: str, max_files: int | None):
-    r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-    return r.option("maxFilesPerTrigger", max_files) if max_files else r
+def _source_folder(spark: SparkSession, source_dir: str, table: str) -> tuple[str, str | None]:
+    """Where the stream reads and which files: a table that is a folder of part
+    files is read as it is, a single file by its name in the folder above."""
+    path = os.path.join(source_dir, table)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (path, None) if fs.getFileStatus(p).isDirectory() else (source_dir, table)
 
 
 def daily_value_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
-                       out: str | None = None, state_partitions: int = STATE_PARTITIONS,
+                       out: str | None = None, state_partitions: int | None = None,
                        max_files_per_trigger: int | None = None) -> DataFrame:
     """Run the stream to completion and return the emitted (closed) windows.
 
-    The groups alive at any time are (open day window x event type), a few
-    dozen whatever the event volume (input rows are combined map-side before
-    the shuffle), so the state store gets ``state_partitions`` partitions via
-    a child session instead of the session-wide shuffle partition count.
+    ``file_glob`` is a file, a folder of part files, or a file pattern within
+    ``source_dir``.  ``state_partitions`` sets the state store's partitions in a
+    child session; by default they follow the session's shuffle partitions.
+    When no window has closed the result is an empty frame.
     """
     parent = spark
-    try:
+    if state_partitions:
         spark = spark.newSession()
         spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    except Exception:  # noqa: BLE001 - sessions that cannot be cloned keep their settings
-        spark = parent
-    schema = spark.read.parquet(os.path.join(source_dir, file_glob) if "*" not in file_glob else source_dir).schema
+    if "*" in file_glob:
+        folder, pattern = source_dir, file_glob
+        schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    else:
+        folder, pattern = _source_folder(spark, source_dir, file_glob)
+        schema = spark.read.parquet(os.path.join(source_dir, file_glob)).schema
     tz = spark.conf.get("spark.sql.session.timeZone", "UTC")
     # wall-clock event time read as UTC, so one-day windows are calendar days
     # of the recorded wall clock whatever the session time zone is
     event_time = F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz)
+    reader = _reader(spark, schema, max_files_per_trigger)
     stream = (
-        _reader(spark, schema, file_glob, max_files_per_trigger).parquet(source_dir)
+        (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)
         .select(event_time.alias("ts"), "event_type",
                 F.col("value").cast("decimal(18,2)").alias("value"))
         .withWatermark("ts", WATERMARK)
@@ -72,4 +82,4 @@ def daily_value_stream(spark: SparkSession, source_dir: str, file_glob: str = "e
         .start()
     )
     query.awaitTermination()
-    return parent.read.parquet(os.path.join(base, "data"))
+    return parent.read.schema(stream.schema).parquet(os.path.join(base, "data"))
