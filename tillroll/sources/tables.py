@@ -91,7 +91,12 @@ FULL_FACT = (
 
 
 def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT) -> DataFrame:
-    """The line-level fact restricted to ``columns``; joins only what they need."""
+    """The line-level fact restricted to ``columns``; joins only what they need.
+
+    One rule for every choice of columns: each line is one row.  Attributes of
+    an order, customer, nation or part that isn't there are null; no join drops
+    a line, so every figure over the fact covers the same lines.
+    """
     spec = _fact_columns()
     columns = list(columns)
     unknown = [c for c in columns if c not in spec]
@@ -113,21 +118,21 @@ def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT) -> DataFrame
         o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
         if _CUS in need:
             c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-            o = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+            o = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
         if _NAT in need:
             n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-            o = o.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-        df = df.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+            o = o.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        df = df.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if _PART in need:
         p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-        df = df.join(p, F.col("l_partkey") == F.col("p_partkey"))
+        df = df.join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
     return df.select(*[spec[c][1].alias(c) for c in columns])
 
 
 def _line_measures(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """Lines pre-aggregated by ``key`` (exact revenue, units, line count)."""
     li = read_table(spark, sf_dir, "lineitem").select(key, "l_quantity", "l_extendedprice", "l_discount")
-    return li.where(F.col(key).isNotNull()).groupBy(key).agg(
+    return li.groupBy(key).agg(
         F.sum(X.money(F.col("l_extendedprice"), F.col("l_discount"))).alias("revenue_dec"),
         F.sum("l_quantity").alias("units"),
         F.count(F.lit(1)).alias("lines"),
@@ -146,7 +151,7 @@ def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     per = _line_measures(spark, sf_dir, "l_orderkey")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return per.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return per.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
         F.col("l_orderkey").alias("order_key"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("date"),
@@ -162,7 +167,7 @@ def part_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     per = _line_measures(spark, sf_dir, "l_partkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return per.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+    return per.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select(
         F.col("l_partkey").alias("sku"),
         F.col("p_name").alias("product"),
         F.col("p_type").alias("category"),
