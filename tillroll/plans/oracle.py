@@ -276,6 +276,7 @@ FROM pc, nb WHERE pair_count / baskets >= {D(min_support)}"""
 
 q("basket_pairs", _pairs("category", X.PAIR_MIN_SUPPORT))
 q("basket_pairs_brand", _pairs("brand", 0.01))
+q("basket_pairs_product", _pairs("product", 0.003))
 q("basket_pairs_top", _pairs("category", X.PAIR_MIN_SUPPORT) + " ORDER BY support DESC, item_a, item_b LIMIT 10")
 q("basket_pairs_sample", f"""WITH sample AS (SELECT DISTINCT order_key FROM {fact('order_key')} ORDER BY order_key LIMIT 2000),
 f AS (SELECT * FROM {fact('order_key', 'category')} WHERE order_key IN (SELECT order_key FROM sample)),
@@ -610,6 +611,48 @@ SELECT date, product, category,
             < {100 - ML.TEST_PERCENT} THEN 'train' ELSE 'test' END AS split
 FROM dps""")
 
+# ------------------------------------------------------------------ models: what SQL can check
+
+DEMAND_TEST = f"""{DPS},
+f AS (SELECT *, LAG(units, 7) OVER (PARTITION BY product, category ORDER BY date) AS lag7 FROM dps),
+test AS (SELECT * FROM f WHERE lag7 IS NOT NULL
+  AND CAST('0x' || substr(md5(concat_ws('|', '42', date, product, category)), 1, 8) AS BIGINT) % 100 >= 80)"""
+_CHECKS = {}
+for _i in range(3):
+    _CHECKS[f"demand_{_i}_rows"] = f"WITH {DEMAND_TEST} SELECT COUNT(*) FROM test"
+    _CHECKS[f"demand_{_i}_actual"] = f"WITH {DEMAND_TEST} SELECT SUM(units) FROM test"
+    _CHECKS[f"demand_{_i}_missing"] = "SELECT 0"
+_SEQ = f"""{DAILY_FEATURES},
+s AS (SELECT date, revenue, ROW_NUMBER() OVER (ORDER BY date) - 30 AS i, COUNT(*) OVER () - 30 AS n FROM dfeat)"""
+_VAL = f"""{DAILY_FEATURES},
+v AS (SELECT date, revenue, ROW_NUMBER() OVER (ORDER BY date) AS i, COUNT(*) OVER () AS n FROM dfeat)"""
+_CHECKS |= {
+    "forecast_rows": f"WITH {DAILY_REV} SELECT COUNT(*) + 90 FROM daily",
+    "forecast_future": "SELECT 90",
+    "forecast_actual": f"WITH {DAILY_REV} SELECT CAST(SUM(revenue) AS DECIMAL(38, 2)) FROM daily",
+    "forecast_outside": "SELECT 0",
+    "forecast_last_day": f"WITH {DAILY_REV} SELECT date_diff('day', DATE '1970-01-01', MAX(date)) + 90 FROM daily",
+    "components_rows": f"WITH {DAILY_REV} SELECT COUNT(*) + 90 FROM daily",
+    "components_off": "SELECT 0",
+    "actual_vs_forecast_rows": f"WITH {DAILY_REV} SELECT LEAST(COUNT(*), 90) + 90 FROM daily",
+    "clusters_rows": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
+    "clusters_frequency": f"WITH {RFM_BASE} SELECT SUM(frequency) FROM base",
+    "clusters_segments": "SELECT 4",
+    "pca_rows": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
+    "tuned_rows": "SELECT 20",
+    "tuned_best": "SELECT 1",
+    "tuned_validation_rows": f"WITH {_VAL} SELECT COUNT(*) FROM v WHERE i > floor(n * 0.8)",
+    "tuned_validation_actual": f"WITH {_VAL} SELECT CAST(SUM(revenue) AS DECIMAL(38, 2)) FROM v WHERE i > floor(n * 0.8)",
+    "ar30_rows": f"WITH {_SEQ} SELECT COUNT(*) FROM s WHERE i > 0 AND i > floor(n * 0.8)",
+    "ar30_actual": f"WITH {_SEQ} SELECT CAST(SUM(revenue) AS DECIMAL(38, 2)) FROM s WHERE i > 0 AND i > floor(n * 0.8)",
+    "best_model_rows": "SELECT 2",
+    "forecast_results_rows": f"WITH {DEMAND_TEST} SELECT LEAST(COUNT(*), 100) FROM test",
+    "forecast_results_actual": f"""WITH {DEMAND_TEST},
+        t AS (SELECT units FROM test ORDER BY date, product, category LIMIT 100) SELECT SUM(units) FROM t""",
+}
+q("model_checks", "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS \"check\", CAST(({sql}) AS DOUBLE) AS value" for name, sql in _CHECKS.items()))
+
 # ------------------------------------------------------------------ export manifest
 
 _MANIFEST_VIEWS = {
@@ -618,6 +661,9 @@ _MANIFEST_VIEWS = {
     "dim_customers": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
     "daily_sales": f"WITH {DAILY_REV} SELECT COUNT(*) FROM daily",
     "segment_profiles": f"WITH {RFM_SCORES} SELECT COUNT(DISTINCT segment) FROM seg",
+    "forecast_results": f"WITH {DEMAND_TEST} SELECT LEAST(COUNT(*), 100) FROM test",
+    "customer_clusters": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
+    "cluster_profiles": "SELECT 4",
     "Transactions": f"SELECT LEAST(COUNT(*), 10000) FROM {fact(*FULL_FACT)}",
     "Customer_RFM": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
     "Daily_Metrics": f"WITH {DAILY_FEATURES} SELECT COUNT(*) FROM dfeat",
