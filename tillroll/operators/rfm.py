@@ -64,6 +64,19 @@ def rfm_base(fact: DataFrame, orders: DataFrame | None = None) -> DataFrame:
 FIRST_ORDER = ("date", "order_key", "line_number", "product", "category")
 
 
+def first_order_lines(fact: DataFrame, orders: DataFrame) -> DataFrame:
+    """The lines of each customer's first order (by date, then key).
+
+    ``orders`` (order_key, customer_id, date: orders that have lines) is a
+    fraction of the lines; the semi-join on the order key goes below the joins
+    of the fact, so that only those lines reach the other joins and the sort of
+    ``customer_first_attributes``.
+    """
+    first = orders.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+        F.min(F.struct("date", "order_key")).alias("_first"))
+    return fact.join(first.select(F.col("_first.order_key").alias("order_key")), "order_key", "left_semi")
+
+
 def customer_first_attributes(fact: DataFrame, customers: DataFrame) -> DataFrame:
     """First product/category bought and the customer's tier and city.
 

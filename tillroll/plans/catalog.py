@@ -235,10 +235,14 @@ def daily_features(spark, d):
 
 # ------------------------------------------------------------------ joins
 
+def _first_attributes(spark, d):
+    lines = R.first_order_lines(fact(spark, d, "customer_id", *R.FIRST_ORDER), _orders(spark, d))
+    return R.customer_first_attributes(lines, customers(spark, d))
+
+
 @query
 def rfm_with_attributes(spark, d):
-    attrs = R.customer_first_attributes(fact(spark, d, "customer_id", *R.FIRST_ORDER), customers(spark, d))
-    return R.rfm_with_attributes(_rfm_base(spark, d), attrs)
+    return R.rfm_with_attributes(_rfm_base(spark, d), _first_attributes(spark, d))
 
 
 @query
@@ -291,7 +295,7 @@ def rfm_base(spark, d):
 
 @query
 def customer_first_attributes(spark, d):
-    return R.customer_first_attributes(fact(spark, d, "customer_id", *R.FIRST_ORDER), customers(spark, d))
+    return _first_attributes(spark, d)
 
 
 @query
