@@ -14,11 +14,26 @@ from __future__ import annotations
 
 import math
 
-from tillroll.functions import exprs as X
-from tillroll.operators import forecast as FC
-from tillroll.operators import inventory as INV
-from tillroll.operators import ml as ML
-from tillroll.operators.rfm import DEFAULT_SEGMENT, SEGMENT_RULES
+# Fixed values, stated here again rather than imported: a wrong constant in an
+# operator then shows as a mismatch.
+SAFETY_Z_SIMPLE = 1.65
+Z_95 = 1.6448536269514715
+LEAD_TIME_DAYS = 7
+PAIR_MIN_SUPPORT = 0.03
+ORDER_COST, HOLDING_RATE, DAYS_PER_YEAR = 50.0, 0.2, 365.0
+SES_ALPHA = 0.3
+YEAR_DAYS, WEEK_DAYS, YEARLY_ORDER, WEEKLY_ORDER = 365.25, 7.0, 10, 3
+MAPE_EPS = 2.220446049250313e-16
+SEED, TEST_PERCENT = 42, 20
+SEGMENT_RULES = (
+    ("Champions", ("444", "443", "434", "344")),
+    ("Loyal Customers", ("442", "441", "432", "431")),
+    ("Potential Loyalists", ("333", "334", "343", "433")),
+    ("New Customers", ("411", "412", "421", "422")),
+    ("Promising", ("311", "312", "321", "322")),
+    ("Need Attention", ("211", "212", "221", "222")),
+)
+DEFAULT_SEGMENT = "At Risk"
 
 
 def D(x: float) -> str:
@@ -274,10 +289,10 @@ SELECT item_a, item_b, pair_count, pair_count / baskets AS support
 FROM pc, nb WHERE pair_count / baskets >= {D(min_support)}"""
 
 
-q("basket_pairs", _pairs("category", X.PAIR_MIN_SUPPORT))
+q("basket_pairs", _pairs("category", PAIR_MIN_SUPPORT))
 q("basket_pairs_brand", _pairs("brand", 0.01))
 q("basket_pairs_product", _pairs("product", 0.003))
-q("basket_pairs_top", _pairs("category", X.PAIR_MIN_SUPPORT) + " ORDER BY support DESC, item_a, item_b LIMIT 10")
+q("basket_pairs_top", _pairs("category", PAIR_MIN_SUPPORT) + " ORDER BY support DESC, item_a, item_b LIMIT 10")
 q("basket_pairs_sample", f"""WITH sample AS (SELECT DISTINCT order_key FROM {fact('order_key')} ORDER BY order_key LIMIT 2000),
 f AS (SELECT * FROM {fact('order_key', 'category')} WHERE order_key IN (SELECT order_key FROM sample)),
 items AS (SELECT DISTINCT order_key AS basket, category AS item FROM f WHERE category IS NOT NULL),
@@ -285,7 +300,7 @@ nb AS (SELECT COUNT(DISTINCT basket) AS baskets FROM items),
 pc AS (SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS pair_count
        FROM items a JOIN items b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2)
 SELECT item_a, item_b, pair_count, pair_count / baskets AS support
-FROM pc, nb WHERE pair_count / baskets >= {D(X.PAIR_MIN_SUPPORT)}""")
+FROM pc, nb WHERE pair_count / baskets >= {D(PAIR_MIN_SUPPORT)}""")
 
 q("basket_pairs_multiset", f"""WITH per AS (SELECT order_key AS basket, category AS item, COUNT(*) AS n
              FROM {fact('order_key', 'category')} WHERE category IS NOT NULL GROUP BY 1, 2),
@@ -325,7 +340,7 @@ q("seasonal_demand", f"""SELECT CAST(month(date) AS INTEGER) AS month,
 FROM {fact('date', 'category', 'quantity')} GROUP BY 1""")
 
 _VOL = f"""vol AS (
-  SELECT product, mean, std, std / mean AS cv, std * {D(X.SAFETY_Z_SIMPLE)} AS safety_stock
+  SELECT product, mean, std, std / mean AS cv, std * {D(SAFETY_Z_SIMPLE)} AS safety_stock
   FROM (SELECT product, AVG(quantity) AS mean, CAST(ROUND(CAST(CAST(STDDEV_SAMP(quantity) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS std
         FROM {fact('product', 'quantity')} WHERE product IS NOT NULL GROUP BY product))"""
 q("product_volatility", f"WITH {_VOL} SELECT * FROM vol")
@@ -355,9 +370,9 @@ PRODUCT_DEMAND = f"""pd AS (
   FROM {fact('product', 'quantity', 'order_key')} WHERE product IS NOT NULL GROUP BY product)"""
 q("product_demand", f"WITH {PRODUCT_DEMAND} SELECT * FROM pd")
 
-_SS = f"std_demand * {D(X.Z_95)} * {D(math.sqrt(X.LEAD_TIME_DAYS))}"
+_SS = f"std_demand * {D(Z_95)} * {D(math.sqrt(LEAD_TIME_DAYS))}"
 REORDER = f"""{PRODUCT_DEMAND},
-rp AS (SELECT *, {_SS} AS safety_stock, avg_demand * {D(float(X.LEAD_TIME_DAYS))} + {_SS} AS reorder_point FROM pd)"""
+rp AS (SELECT *, {_SS} AS safety_stock, avg_demand * {D(float(LEAD_TIME_DAYS))} + {_SS} AS reorder_point FROM pd)"""
 q("reorder_points", f"WITH {REORDER} SELECT * FROM rp")
 q("top_demand", f"WITH {REORDER} SELECT * FROM rp ORDER BY total_demand DESC, product LIMIT 10")
 
@@ -482,7 +497,7 @@ nb AS (SELECT COUNT(DISTINCT basket) AS baskets FROM items),
 sup AS (SELECT item, COUNT(*) AS item_baskets FROM items GROUP BY item),
 pc AS (SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS pair_count
        FROM items a JOIN items b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2),
-fp AS (SELECT item_a, item_b, pair_count FROM pc, nb WHERE pair_count / baskets >= {D(X.PAIR_MIN_SUPPORT)}),
+fp AS (SELECT item_a, item_b, pair_count FROM pc, nb WHERE pair_count / baskets >= {D(PAIR_MIN_SUPPORT)}),
 both_ AS (SELECT item_a AS antecedent, item_b AS consequent, pair_count FROM fp
           UNION ALL SELECT item_b, item_a, pair_count FROM fp)
 SELECT antecedent, consequent, pair_count, pair_count / baskets AS support,
@@ -500,7 +515,7 @@ sets(b, last, itemset, size) AS (
   UNION ALL
   SELECT s.b, i.item, s.itemset || '|' || i.item, s.size + 1 FROM sets s JOIN items i ON i.b = s.b AND i.item > s.last)
 SELECT itemset, CAST(size AS INTEGER) AS size, COUNT(*) AS baskets FROM sets GROUP BY itemset, size
-HAVING COUNT(*) >= CEIL({D(X.PAIR_MIN_SUPPORT)} * (SELECT baskets FROM n))""")
+HAVING COUNT(*) >= CEIL({D(PAIR_MIN_SUPPORT)} * (SELECT baskets FROM n))""")
 
 # ------------------------------------------------------------------ inventory
 
@@ -515,19 +530,19 @@ o AS (SELECT product, days, selling_days, total_demand,
                (s2 - total_demand * total_demand / CAST(days AS DOUBLE)) / (CAST(days AS DOUBLE) - {D(1.0)}),
                {D(0.0)})) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) END AS std_daily_demand
       FROM s, span)
-SELECT *, std_daily_demand * {D(X.Z_95)} * {D(math.sqrt(X.LEAD_TIME_DAYS))} AS safety_stock,
-       avg_daily_demand * {D(float(X.LEAD_TIME_DAYS))}
-         + std_daily_demand * {D(X.Z_95)} * {D(math.sqrt(X.LEAD_TIME_DAYS))} AS reorder_point
+SELECT *, std_daily_demand * {D(Z_95)} * {D(math.sqrt(LEAD_TIME_DAYS))} AS safety_stock,
+       avg_daily_demand * {D(float(LEAD_TIME_DAYS))}
+         + std_daily_demand * {D(Z_95)} * {D(math.sqrt(LEAD_TIME_DAYS))} AS reorder_point
 FROM o""")
 
 q("economic_order_quantity", f"""WITH f AS (SELECT * FROM {fact('product', 'date', 'quantity', 'extended_price')}),
 span AS (SELECT date_diff('day', MIN(date), MAX(date)) + 1 AS days FROM f),
 s AS (SELECT product, SUM(quantity) AS total_units, SUM(CAST(extended_price AS DECIMAL(18,2))) AS v
       FROM f WHERE product IS NOT NULL GROUP BY product),
-c AS (SELECT product, total_units, total_units * {D(INV.DAYS_PER_YEAR)} / CAST(days AS DOUBLE) AS annual_demand,
+c AS (SELECT product, total_units, total_units * {D(DAYS_PER_YEAR)} / CAST(days AS DOUBLE) AS annual_demand,
              CAST(v AS DOUBLE) / total_units AS unit_cost FROM s, span)
 SELECT product, total_units, annual_demand, unit_cost,
-       CAST(ROUND(CAST(CAST(SQRT({D(2.0)} * annual_demand * {D(INV.ORDER_COST)} / ({D(INV.HOLDING_RATE)} * unit_cost)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS eoq
+       CAST(ROUND(CAST(CAST(SQRT({D(2.0)} * annual_demand * {D(ORDER_COST)} / ({D(HOLDING_RATE)} * unit_cost)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS eoq
 FROM c""")
 
 # ------------------------------------------------------------------ forecasting (SQL-expressible)
@@ -540,7 +555,7 @@ SELECT CAST(ROUND(CAST(CAST(regr_slope(revenue, t) AS VARCHAR) AS DECIMAL(38,12)
 
 def _fourier() -> str:
     cols = []
-    for name, period, order in (("yearly", FC.YEAR_DAYS, FC.YEARLY_ORDER), ("weekly", FC.WEEK_DAYS, FC.WEEKLY_ORDER)):
+    for name, period, order in (("yearly", YEAR_DAYS, YEARLY_ORDER), ("weekly", WEEK_DAYS, WEEKLY_ORDER)):
         for k in range(1, order + 1):
             arg = f"{D(2.0 * math.pi * k)} * CAST(t AS DOUBLE) / {D(period)}"
             cols.append(f"CAST(ROUND(CAST(CAST(sin({arg}) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS {name}_sin_{k}")
@@ -566,14 +581,14 @@ e AS (SELECT y, p, y - p AS e FROM s WHERE p IS NOT NULL AND y IS NOT NULL)
 SELECT COUNT(*) AS n, CAST(ROUND(CAST(CAST(AVG(abs(e)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS mae,
        CAST(ROUND(CAST(CAST(SQRT(SUM(e * e) / COUNT(*)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS rmse,
        CAST(ROUND(CAST(CAST({D(1.0)} - SUM(e * e) / (SUM(y * y) - SUM(y) * SUM(y) / COUNT(*)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS r2,
-       CAST(ROUND(CAST(CAST({D(100.0)} * AVG(abs(e) / GREATEST(abs(y), {D(FC.MAPE_EPS)})) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS mape
+       CAST(ROUND(CAST(CAST({D(100.0)} * AVG(abs(e) / GREATEST(abs(y), {D(MAPE_EPS)})) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS mape
 FROM e""")
 
 q("ses_level", f"""WITH {DPS},
 pd AS (SELECT product, date, SUM(units) AS units FROM dps GROUP BY product, date)
 SELECT product, CAST(COUNT(*) AS INTEGER) AS n_days,
        CAST(ROUND(CAST(CAST(list_reduce(list(units ORDER BY date),
-             lambda acc, x: {D(FC.SES_ALPHA)} * x + {D(1.0 - FC.SES_ALPHA)} * acc) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS level
+             lambda acc, x: {D(SES_ALPHA)} * x + {D(1.0 - SES_ALPHA)} * acc) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS level
 FROM pd GROUP BY product""")
 
 q("ar1_by_product", f"""WITH {DPS},
@@ -607,8 +622,8 @@ q("kpi_report_lines", f"WITH {_KPI}\n" + "\nUNION ALL\n".join(
 
 q("random_split", f"""WITH {DPS}
 SELECT date, product, category,
-  CASE WHEN CAST('0x' || substr(md5(concat_ws('|', '{ML.SEED}', date, product, category)), 1, 8) AS BIGINT) % 100
-            < {100 - ML.TEST_PERCENT} THEN 'train' ELSE 'test' END AS split
+  CASE WHEN CAST('0x' || substr(md5(concat_ws('|', '{SEED}', date, product, category)), 1, 8) AS BIGINT) % 100
+            < {100 - TEST_PERCENT} THEN 'train' ELSE 'test' END AS split
 FROM dps""")
 
 # ------------------------------------------------------------------ models: what SQL can check
