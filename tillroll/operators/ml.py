@@ -125,7 +125,7 @@ def _regressors(rounds: int = GBT_ROUNDS, bins: int = 32):
     }
 
 
-def fit_demand_models(frame: DataFrame, rounds: int = GBT_ROUNDS) -> dict:
+def fit_demand_models(frame: DataFrame, rounds: int | None = None) -> dict:
     """Fit the three v1 regressors on the hashed 80 % of product-days.
 
     The assembled frame is cached once (product-day rows: bounded by calendar
@@ -139,7 +139,7 @@ def fit_demand_models(frame: DataFrame, rounds: int = GBT_ROUNDS) -> dict:
     test = data.where(F.col("split") == "test")
     # a bin for every product code, so that no two products are merged
     codes = data.agg(F.max("product_code")).first()[0] or 0
-    ests = _regressors(rounds, max(32, int(codes) + 1))
+    ests = _regressors(rounds or GBT_ROUNDS, max(32, int(codes) + 1))
     models = in_parallel([lambda e=e: e.fit(train) for e in ests.values()])
     out = {}
     for name, model in zip(ests, models):
@@ -178,7 +178,7 @@ def tuned_features(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c not in ("date", "revenue", *SAME_DAY)]
 
 
-def tuned_gbt(daily_feats: DataFrame, trials: int = TUNING_TRIALS, rounds=TUNING_ROUNDS, seed: int = SEED):
+def tuned_gbt(daily_feats: DataFrame, trials: int | None = None, rounds: tuple[int, int] | None = None, seed: int = SEED):
     """Random search over boosting parameters on the chronological split.
 
     The parameters are drawn on the driver (numbers only); each trial is a
@@ -186,6 +186,7 @@ def tuned_gbt(daily_feats: DataFrame, trials: int = TUNING_TRIALS, rounds=TUNING
     (``featureSubsetStrategy``), per tree in XGBoost.
     Returns (trials frame, scored validation frame of the best trial).
     """
+    trials, rounds = trials or TUNING_TRIALS, rounds or TUNING_ROUNDS
     daily_feats = materialized(daily_feats)
     feats = tuned_features(daily_feats.columns)
     w = Window.orderBy("date")
