@@ -218,6 +218,13 @@ def season_mix(spark, d):
     return K.season_mix(fact(spark, d, "date", "category", "revenue_dec"))
 
 
+@query
+def lag_features_named(spark, d):
+    """Lags of chosen products only: here the two whose names come first."""
+    names = read_table(spark, d, "part").select("p_name").where("p_name is not null").distinct().orderBy("p_name").limit(2)
+    return FE.lag_features(_dps(spark, d), products=[r[0] for r in names.collect()])
+
+
 @query
 def lag_features_top5(spark, d):
     return FE.lag_features_top5(_dps(spark, d))

@@ -237,6 +237,12 @@ SELECT season, category, lines, CAST(rev AS DOUBLE) AS revenue,
        CAST(rev AS DOUBLE) / CAST(SUM(rev) OVER (PARTITION BY season) AS DOUBLE) AS share
 FROM sc""")
 
+q("lag_features_named", f"""WITH {DPS}
+SELECT date, product, category, units,
+  LAG(units, 1) OVER (PARTITION BY product, category ORDER BY date) AS lag1,
+  LAG(units, 7) OVER (PARTITION BY product, category ORDER BY date) AS lag7
+FROM dps WHERE product IN (SELECT p_name FROM part WHERE p_name IS NOT NULL GROUP BY p_name ORDER BY p_name LIMIT 2)""")
+
 q("lag_features_top5", f"""WITH {DPS},
 firsts AS (SELECT product, MIN(date) AS first_date FROM {fact('date', 'product')} WHERE product IS NOT NULL
            GROUP BY product ORDER BY first_date, product LIMIT 5)
