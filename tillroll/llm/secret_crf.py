@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.wordpiece_count import words
 
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 4_000
 WINDOWS_PER_DOC = 8
-REACH = 12  # tokens on either side of a training window's middle
-ROUNDS = 150
+REACH = 8  # tokens on either side of a training window's middle
+ROUNDS = 80
+#: Distinct tokens a worker remembers before it starts afresh.
 REMEMBERED = 1 << 19
 OUT, BEGIN, IN = 0, 1, 2
 NEVER = -1e9
@@ -53,6 +54,9 @@ _HINTS = ("passw", "secret", "token", "api")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _KEY = re.compile(r"[\"']?([A-Za-z_]{2,20})[\"']?[:=]")
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+#: Words as running text has them: a capital at most, small letters, one mark.
+_PLAIN = re.compile(r"([A-Z]?)((?:[a-z]|[^\x00-\x7f])*)([.,;!?]?)")
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -84,7 +88,7 @@ _SHAPES = _shape_table()
 def shape(token: str) -> str:
     """Classes of characters with runs shortened; letters beyond ASCII count as
     small letters."""
-    return "".join("a" if c > "\x7f" else c for c in _RUN.sub(r"\1", token[:200].translate(_SHAPES)))[:12]
+    return _RUN.sub(r"\1", _BEYOND.sub("a", token[:200].translate(_SHAPES)))[:12]
 
 
 def _bucket(n: int) -> int:
@@ -146,7 +150,7 @@ def training_windows(text: str) -> list[tuple[list[str], list[int], int, int]]:
     odd = sorted((i for i, t in enumerate(tags) if t == OUT), key=lambda i: (-len(tokens[i]) - 20 * any(map(str.isdigit, tokens[i])), i))
     numbered = sum(any(map(str.isdigit, t)) for t in tokens)
     out = []
-    for i in hits[:WINDOWS_PER_DOC] + odd[: 1 if hits else 2]:
+    for i in hits[:WINDOWS_PER_DOC] + odd[:1]:
         low, high = max(0, i - REACH), min(len(tokens), i + REACH)
         padded = [tokens[low - 1] if low else "", *tokens[low:high], tokens[high] if high < len(tokens) else ""]
         out.append((padded, tags[low:high], len(tokens), numbered))
@@ -261,22 +265,44 @@ def trained(docs: DataFrame) -> Field | None:
 
 
 class _Scores(dict):
-    """token -> row of its scores: its own, to the token after, to the one before."""
+    """token -> row of its scores: its own, to the token after, to the one before.
+    Tokens whose features are the same share a row."""
 
     def __init__(self, field: Field) -> None:
         super().__init__()
         self.field = field
-        self.rows = np.zeros((1 << 12, 3, 3), dtype=np.float32)
+        self.rows = np.zeros((1 << 10, 3, 3), dtype=np.float32)
+        self.by_key: dict[tuple, int] = {}
+        self.words = {f.split(" word ", 1)[1] for f in field.weights if " word " in f}
+        self.starts = {f.split(" ", 1)[1] for f in field.weights if f.startswith("start ")}
+
+    def key(self, token: str) -> tuple:
+        """All that the features of a token depend on."""
+        low = token.lower()[:20]
+        word = low if low in self.words else None
+        start = token[:4] if len(token) >= 16 and token[:4] in self.starts else None
+        size, kinds = _bucket(len(token) // 4), _bucket(len(set(token)))
+        plain = _PLAIN.fullmatch(token)
+        if plain:
+            return (plain[1] != "", plain[2] != "", plain[3], size, kinds, start, word)
+        digits = sum(map(str.isdigit, token)) * 4 // len(token)
+        named = _KEY.match(token)
+        return (shape(token), digits, size, kinds, start, word, named[1].lower() if named else None, None)
 
     def __missing__(self, token: str) -> int:
-        n = len(self)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = [
-            self.field.score(own_features(token)),
-            self.field.score(side_features(token, "before")),
-            self.field.score(side_features(token, "after")),
-        ]
+        key = self.key(token)
+        n = self.by_key.get(key)
+        if n is None:
+            n = self.by_key[key] = len(self.by_key)
+            if n == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[n] = [
+                self.field.score(own_features(token)),
+                self.field.score(side_features(token, "before")),
+                self.field.score(side_features(token, "after")),
+            ]
+        if len(self) >= REMEMBERED:
+            self.clear()
         self[token] = n
         return n
 
@@ -306,8 +332,6 @@ class Tagger:
         self.start = np.array([0.0, 0.0, NEVER])
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
-        if len(self.scores) >= REMEMBERED:
-            self.scores = _Scores(self.field)
         at = np.fromiter(map(self.scores.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         rows = self.scores.rows[at]
         emit = rows[:, 0].astype(np.float64)
