@@ -38,6 +38,35 @@ def test_one_page_alone(body):
     assert html_template.main_text(SHELL % body) == WANT
 
 
+COMMENTS = "<section class='comments'>" + "<article class='comment'><p>A long comment of many words on this.</p></article>" * 9 + "</section>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article class='post comments-open'>{ARTICLE}</article>",
+        f"<article class='has-header'>{ARTICLE}</article>",
+        f"<div id='wrapper' class='right-sidebar'><article>{ARTICLE}</article></div>",
+        f"<div class='with-menu'><div class='no-sidebar'><article>{ARTICLE}<div class='share'>Share</div></article></div></div>",
+        f"<main class='has-header'>{ARTICLE}</main>",
+        f"<div class='layout-sidebar-left'>{ARTICLE}</div>",
+        f"<article class=\"post\" data-title=\"The hidden costs of water\">{ARTICLE}</article>",
+        f"<article data-a='x hidden' title='class=ad id=menu' data-hidden=no>{ARTICLE}</article>",
+        f"<article>{ARTICLE}</article>{COMMENTS}",
+        f"<article class='post comments-open'>{ARTICLE}</article>{COMMENTS}",
+        f"<div class='right-sidebar'><article>{ARTICLE}</article>{COMMENTS}</div>",
+    ],
+)
+def test_names_leave_out_neither_the_article_nor_what_encloses_it(body):
+    assert html_template.main_text(SHELL % body) == WANT
+
+
+def test_attributes_are_read_one_by_one():
+    assert html_template._attributes(" class=\"a b\" data-t=\"The hidden id=x\" ID = 'm' role=main HIDDEN") == {
+        "class": "a b", "data-t": "The hidden id=x", "id": "m", "role": "main", "hidden": "",
+    }
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [

@@ -15,7 +15,8 @@
 4. Each page is read against its host's template: what the article's slot holds
    is extracted, except template text and parts that are menus, headers,
    footers, sidebars, notices, adverts, forms or comments by element, class, id
-   or ARIA role.  A page on which the template's classes don't keep their order
+   or ARIA role.  A class or id leaves out neither the article nor what
+   encloses it.  A page on which the template's classes don't keep their order
    or without that slot is read by the same rules from its own tokens alone.
 
 Defined cases: a null or empty html has no text; a null url is a host of its
@@ -43,6 +44,8 @@ SUPPORT = 0.5
 TEXT_SUPPORT, TEXT_PAGES = 0.9, 20
 #: A container is the article's if this share of the varying text is in it.
 MOST = 0.6
+#: Text named like an article rivals a left-out name with this share of a page.
+RIVAL = 0.1
 #: Templates of at most this many rows are broadcast, more are joined.
 BROADCAST_ROWS = 200_000
 SALTS = 16
@@ -69,19 +72,32 @@ CLOSES = {  # an element that opens ends an open one of these
 }
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<>]*\Z", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: One attribute, or a quoted string that belongs to none.
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in RAW}
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     role: str
-    left_out: bool
+    out: bool  # left out by its element, ARIA role or hidden attribute
+    named: bool  # left out by its class or id
     names: frozenset
     at: int = 0  # order of opening on the page
 
+    @property
+    def left_out(self) -> bool:
+        return self.out or self.named
+
+    @property
+    def kind(self) -> int:
+        """0 article, 1 main, 2 named like one, 3 container, 4 other."""
+        if self.tag not in CONTAINERS:
+            return 4
+        return 0 if self.tag == "article" else 1 if self.tag == "main" else 2 if self.names & ARTICLE_NAMES and self.tag != "body" else 3
+
 
 @dataclass
 class Block:
@@ -95,6 +111,9 @@ class Page:
     blocks: list = field(default_factory=list)
 
 
+_PATH_MARKS = str.maketrans("/#", "__")  # what parts a path and its text
+
+
 def _attributes(raw: str) -> dict[str, str]:
     out = {}
     for name, a, b, c in _ATTRIBUTE.findall(raw):
@@ -106,11 +125,13 @@ def _element(tag: str, raw: str, above: str) -> Element:
     attributes = _attributes(raw) if raw else {}
     label = " ".join(attributes.get(k, "") for k in ("class", "id"))
     names = frozenset(n.lower() for n in _NAME.findall(label))
-    left = tag in LEFT_OUT or bool(names & LEFT_OUT_NAMES) or attributes.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attributes
+    out = tag in LEFT_OUT or attributes.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attributes
+    # a main element or an article named like one has other words by the way
+    named = bool(names & LEFT_OUT_NAMES) and tag != "main" and not (tag == "article" and names & ARTICLE_NAMES)
     if tag in ("html", "body"):
-        left = False
-    marks = "".join("." + n for n in sorted({re.sub(r"\d+", "0", x) for x in label.split()}))
-    return Element(tag, f"{above}/{tag}{marks}", left, names)
+        out = named = False
+    marks = "".join("." + n for n in sorted({re.sub(r"\d+", "0", x).translate(_PATH_MARKS) for x in label.split()}))
+    return Element(tag, f"{above}/{tag}{marks}", out, named, names)
 
 
 def read_page(source: str | None) -> Page:
@@ -161,11 +182,43 @@ def read_page(source: str | None) -> Page:
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
     flush()
+    if any(e.named for e in page.elements):
+        _unmark(page)
     return page
 
 
-def _left_out(block: Block) -> bool:
-    return any(e.left_out for e in block.path)
+def _unmark(page: Page) -> None:
+    """A name doesn't leave out what is or encloses the article: an element with
+    most of the page's text, unless that text is beside or below an article of
+    its own, as long comments are."""
+    read = [b for b in page.blocks if not any(e.out for e in b.path)]
+    total = sum(len(b.text) for b in read)
+    inside: dict[int, int] = {}
+    above: dict[int, tuple] = {}  # element -> path to it, of elements with text
+    for b in read:
+        for i, e in enumerate(b.path):
+            inside[e.at] = inside.get(e.at, 0) + len(b.text)
+            above.setdefault(e.at, b.path[: i + 1])
+
+    def clean(s: Element, e: Element) -> int:
+        """Characters in ``s`` that no name leaves out, none of them in ``e``."""
+        return sum(len(b.text) for b in read if s in b.path and e not in b.path and not any(x.named for x in b.path))
+
+    for e in page.elements:
+        if not e.named or 2 * inside.get(e.at, 0) < max(1, total) or any(x.named for x in above[e.at][:-1]):
+            continue
+        articles = [p for p in above.values() if p[-1].kind <= 2 and not any(x.named and x is not e for x in p)]
+        if not any(e in p and p[-1].kind <= 1 and 2 * inside[p[-1].at] >= total for p in articles):
+            rivals = [p[-1] for p in articles if e not in p]
+            e.named = any(clean(s, e) >= (RIVAL * total if s.kind == 2 or s in above[e.at] else 1) for s in rivals)
+        else:
+            e.named = False
+
+
+def _left_out(block: Block, slot: str | None = None) -> bool:
+    """Names on the way to the slot leave nothing out of it."""
+    start = next((i + 1 for i, e in enumerate(block.path) if e.role == slot), 0)
+    return any(e.out for e in block.path) or any(e.named for e in block.path[start:])
 
 
 def text_token(block: Block) -> str:
@@ -178,10 +231,7 @@ def page_tokens(page: Page) -> dict[str, list]:
     kind: 0 article, 1 main, 2 named like one, 3 container, 4 other, 5 text]."""
     out: dict[str, list] = {}
     for e in page.elements:
-        kind = 4
-        if e.tag in CONTAINERS and not e.left_out:
-            kind = 0 if e.tag == "article" else 1 if e.tag == "main" else 2 if e.names & ARTICLE_NAMES and e.tag != "body" else 3
-        out.setdefault(e.role, [0, e.at, 0, kind])[0] += 1
+        out.setdefault(e.role, [0, e.at, 0, 4 if e.left_out else e.kind])[0] += 1
     for i, b in enumerate(page.blocks):
         out.setdefault(text_token(b), [0, i, 0, 5])[0] += 1
         if not _left_out(b):
@@ -231,7 +281,7 @@ def main_text(source: str | None, template: Template | None = None) -> str:
     if template.article is None:
         kept = [b for b in page.blocks if not _left_out(b)]
     else:
-        kept = [b for b in page.blocks if not _left_out(b) and any(e.role == template.article for e in b.path)]
+        kept = [b for b in page.blocks if any(e.role == template.article for e in b.path) and not _left_out(b, template.article)]
     return "\n\n".join(b.text for b in kept if not template.texts or text_token(b) not in template.texts)
 
 
