@@ -128,6 +128,39 @@ def test_text_that_many_but_not_all_pages_share_stays(spark):
     assert got == {i: f"Common passage.\n\nOwn {i}" if i % 3 else f"Own {i}" for i in range(60)}
 
 
+def test_a_passage_that_nearly_all_articles_share_stays(spark):
+    rows = [(i, f"http://b.org/{i}", SHELL % f"<article>{'<p>Common passage.</p>' if i % 20 else ''}<p>Own text of page {i} and more</p></article>") for i in range(60)]
+    got = {r.page_id: r.text for r in html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("Common passage.\n\n" if i % 20 else "") + f"Own text of page {i} and more" for i in range(60)}
+
+
+def copied(i):
+    return SHELL % f"<!-- {i} --><article><h1>Copied</h1><p>First passage of the copy.</p><p>Second passage of the copy.</p></article>"
+
+
+def own(i):
+    return SHELL % f"<article><h1>Own {i}</h1><p>Text of page {i}.</p></article>"
+
+
+@pytest.mark.parametrize("others", [0, 2, 5])
+def test_hosts_of_copies_keep_their_article(spark, others):
+    """30 copies, 95 % copies with ids of their own, and rows that repeat."""
+    rows = [(i, f"http://d.org/{i}", copied(i)) for i in range(30 if not others else 19 * others)]
+    rows += [(0, "http://d.org/0", copied(0))] * 20 + [(900 + i, f"http://d.org/o{i}", own(i)) for i in range(others)]
+    got = html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {900 + i: f"Own {i}\n\nText of page {i}." for i in range(others)}
+    assert len(got) == len(rows)
+    assert all(r.text == want.get(r.page_id, "Copied\n\nFirst passage of the copy.\n\nSecond passage of the copy.") for r in got)
+
+
+def test_near_copies_keep_what_they_share(spark):
+    """All but a counter is on every page: too much for a template's text."""
+    page = SHELL % "<article><p>A passage that every page has.</p><p>One more that every page has.</p><p>Seen %d times</p></article>"
+    rows = [(i, f"http://e.org/{i}", page % i) for i in range(30)]
+    got = html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"A passage that every page has.\n\nOne more that every page has.\n\nSeen {i} times" for i in range(30)}
+
+
 def test_pages_that_are_missing_or_odd(spark):
     odd = spark.createDataFrame([(1, "http://c.org", None, "", ""), (1, "http://c.org", None, "", ""), (None, None, "<p>x</p>", None, None), (2, "not a url", "<p>y " * 20000, "", "")], PAGES)
     got = html_template.extract_main_text(odd).collect()

@@ -3,8 +3,8 @@
 1. Every page becomes a stream of tokens: an element's *role* (the path of
    element names, classes and ids that leads to it) and each text block (its
    path and a hash of the text).
-2. Over the pages of a host, tokens with one occurrence vector form an
-   equivalence class.  Vectors are compared by two sums of page hashes times
+2. Over the distinct contents of a host's pages (copies count once), tokens
+   with one occurrence vector form an equivalence class.  Vectors are compared by two sums of page hashes times
    counts, so they are built by a partially aggregated sum and never gathered.
    A class counts when most pages of the host have it.
 3. Classes that occur once a page and keep their order on the page nest by
@@ -22,7 +22,7 @@
 Defined cases: a null or empty html has no text; a null url is a host of its
 own name, empty; broken markup is read as far as it goes (an unfinished tag at
 the end is dropped, unclosed elements end with the one around them); pages that
-repeat are read each; an empty table gives no rows; other columns are ignored.
+repeat are read each, but make one content; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ from tillroll.llm.tables import written
 
 #: A class belongs to the template when this share of the host's pages has it.
 SUPPORT = 0.5
-#: A text block belongs to the template on this share of this many pages.
-TEXT_SUPPORT, TEXT_PAGES = 0.9, 20
+#: A text block belongs to the template when all of at least this many contents have it.
+TEXT_PAGES = 20
 #: A container is the article's if this share of the varying text is in it.
 MOST = 0.6
 #: Text named like an article rivals a left-out name with this share of a page.
@@ -233,8 +233,10 @@ def page_tokens(page: Page) -> dict[str, list]:
     for e in page.elements:
         out.setdefault(e.role, [0, e.at, 0, 4 if e.left_out else e.kind])[0] += 1
     for i, b in enumerate(page.blocks):
-        out.setdefault(text_token(b), [0, i, 0, 5])[0] += 1
+        token = out.setdefault(text_token(b), [0, i, 0, 5])
+        token[0] += 1
         if not _left_out(b):
+            token[2] += len(b.text)
             for role in {e.role for e in b.path}:
                 out[role][2] += len(b.text)
     return out
@@ -282,35 +284,53 @@ def main_text(source: str | None, template: Template | None = None) -> str:
         kept = [b for b in page.blocks if not _left_out(b)]
     else:
         kept = [b for b in page.blocks if any(e.role == template.article for e in b.path) and not _left_out(b, template.article)]
-    return "\n\n".join(b.text for b in kept if not template.texts or text_token(b) not in template.texts)
+    if template.texts:
+        kept = [b for b in kept if text_token(b) not in template.texts] or kept
+    return "\n\n".join(b.text for b in kept)
 
 
 # ------------------------------------------------------------------ Spark
 
-TOKENS = "host string, page long, token string, n long, place long, chars long, kind long"
+TOKEN = pa.struct([("token", pa.string()), *((k, pa.int64()) for k in ("n", "place", "chars", "kind"))])
+SEEN = "host string, content binary, page long, tokens array<struct<token: string, n: long, place: long, chars: long, kind: long>>"
 
 
 def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def page_contents(pages: DataFrame) -> DataFrame:
+    """The tokens of each host's pages, once for all pages that read the same;
+    pages without tokens are left out."""
+
+    def contents(batches):
+        for batch in batches:
+            hosts, keys, numbers, flat, ends = [], [], [], [], [0]
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = page_tokens(read_page(source))
+                if tokens:
+                    said = "\0".join(f"{t}\0{v[0]} {v[1]}" for t, v in tokens.items())
+                    key = hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    hosts.append(host)
+                    keys.append(key)
+                    numbers.append(int.from_bytes(key[:8], "big", signed=True))
+                    flat += [(t, *v) for t, v in tokens.items()]
+                    ends.append(len(flat))
+            columns = list(zip(*flat, strict=True)) or [()] * 5
+            listed = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TOKEN, strict=True)], fields=list(TOKEN))
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed)
+            columns = [pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "content", "page", "tokens"])
+
+    found = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(contents, SEEN)
+    return found.dropDuplicates(["host", "content"])
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """``host, rows(array of token, kind, place, chars)`` of every host's template."""
 
-    def tokens(batches):
-        names = ["host", "page", "token", "n", "place", "chars", "kind"]
-        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
-        for batch in batches:
-            rows = [
-                (host, page, token, *values)
-                for host, page, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-                for token, values in page_tokens(read_page(source)).items()
-            ]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    page = F.xxhash64("page_id", "url").alias("page")
-    found = pages.select(_host(F.col("url")).alias("host"), page, "html").mapInArrow(tokens, TOKENS)
+    seen = written(page_contents(pages), "page-contents")
+    found = seen.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
     # the occurrence vector's two fingerprints: sums of 31-bit page hashes times counts
     part = lambda shift: F.sum(F.shiftrightunsigned("page", shift).bitwiseAND(F.lit((1 << 31) - 1)) * F.col("n"))
     vectors = found.groupBy("host", "token").agg(
@@ -318,10 +338,10 @@ def templates(pages: DataFrame) -> DataFrame:
         F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.min("kind").alias("kind"),
     )
     vectors = written(vectors.where("pages > 1"), "occurrence-vectors")
-    sizes = pages.groupBy(_host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("of"))
+    sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     text = F.col("kind") == 5
     once = F.col("n") == F.col("pages")
-    frequent = F.when(text, (F.col("of") >= TEXT_PAGES) & (F.col("pages") >= F.col("of") * TEXT_SUPPORT) & once).otherwise(
+    frequent = F.when(text, (F.col("of") >= TEXT_PAGES) & (F.col("pages") == F.col("of")) & once).otherwise(
         F.col("pages") >= F.col("of") * SUPPORT
     )
     kept = vectors.join(sizes, "host").where(frequent)
@@ -336,18 +356,24 @@ def templates(pages: DataFrame) -> DataFrame:
 def _template(classes: list | None) -> Template | None:
     if not classes:
         return None
-    ordered, texts, candidates = [], [], []
+    ordered, texts, candidates = [], {}, []
     for c in classes:
         for r in c["rows"]:
             if r["kind"] == 5:
-                texts.append(r["token"])
+                texts[r["token"]] = r["chars"]
             else:
                 if c["once"] and len(c["rows"]) > 1:
                     ordered.append((r["place"], r["token"]))
                 if c["once"] and r["kind"] <= 3:
                     candidates.append((r["token"], r["kind"], r["chars"]))
     article = article_role(candidates)
-    return Template([t for _, t in sorted(ordered)], frozenset(texts), article) if article else None
+    if not article:
+        return None
+    chars = next(c for r, _, c in candidates if r == article)
+    inside = {t: c for t, c in texts.items() if t.startswith((f"{article}/", f"{article}#"))}
+    if 2 * sum(inside.values()) > chars:  # near copies: what is common is the article
+        inside = {}
+    return Template([t for _, t in sorted(ordered)], frozenset(inside), article)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
