@@ -153,6 +153,34 @@ def test_hosts_of_copies_keep_their_article(spark, others):
     assert all(r.text == want.get(r.page_id, "Copied\n\nFirst passage of the copy.\n\nSecond passage of the copy.") for r in got)
 
 
+def template_page(i, shuffled=False, top="Welcome to our site"):
+    text = f"<div class='x'><p>Follow the white rabbit</p><p>Own text of page {i}, {'word ' * 20}end.</p></div>"
+    around = [f"<div class='a'><p>{top}</p></div>", text, "<div class='b'><p>Terms of this site</p></div>"]
+    return f"<body>{''.join(around[::-1] if shuffled else around)}</body>"
+
+
+@pytest.mark.parametrize("n", [3, 6, 19])
+def test_classes_find_unmarked_boilerplate_on_small_hosts(spark, n):
+    rows = [(i, f"http://f.org/{i}", template_page(i)) for i in range(n)]
+    got = html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Own text of page {i}, {'word ' * 20}end." for i in range(n)}
+
+
+def test_classes_without_one_order_decide_nothing(spark):
+    """The same tokens and frequencies, but no order: no template."""
+    pages = lambda half: spark.createDataFrame([(i, f"http://g.org/{i}", template_page(i, half and i % 2)) for i in range(30)], "page_id long, url string, html string")
+    assert [len(r.classes) for r in html_template.templates(pages(False)).collect()] == [1]
+    assert html_template.templates(pages(True)).collect() == []
+
+
+def test_slot_is_where_text_varies(spark):
+    """A long notice that every page has is no article, though it has most of
+    the page's text."""
+    rows = [(i, f"http://h.org/{i}", f"<body><div class='n'><p>{'Long notice of the house. ' * 20}</p></div><div class='x'><p>Own text of page {i}, which is rather short but its own.</p><p>{'more ' * (20 + i)}</p></div></body>") for i in range(8)]
+    got = html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith(f"Own text of page {r.page_id},") and r.text.endswith("more") for r in got)
+
+
 def test_near_copies_keep_what_they_share(spark):
     """All but a counter is on every page: too much for a template's text."""
     page = SHELL % "<article><p>A passage that every page has.</p><p>One more that every page has.</p><p>Seen %d times</p></article>"

@@ -4,20 +4,25 @@
    element names, classes and ids that leads to it) and each text block (its
    path and a hash of the text).
 2. Over the distinct contents of a host's pages (copies count once), tokens
-   with one occurrence vector form an equivalence class.  Vectors are compared by two sums of page hashes times
-   counts, so they are built by a partially aggregated sum and never gathered.
-   A class counts when most pages of the host have it.
-3. Classes that occur once a page and keep their order on the page nest by
-   their paths into the host's template: its elements, the text blocks that
-   belong to it, and the slot that holds the article (an article element, else
-   a main element, else one named like an article, else the deepest container
-   with most of the varying text).
+   with one occurrence vector form an equivalence class.  Vectors are compared
+   by two sums of content hashes times counts, so they are built by a partially
+   aggregated sum and never gathered.  A class needs several tokens, each once a
+   page, on at least ``LEAST`` contents and half of the host's.
+3. A class is valid when it is in order and nested on nearly all contents: its
+   tokens follow one another in one order, and each stands in the same gap
+   between the tokens of the host's largest class.  The valid classes are the
+   template.  Their text blocks are constant; the slot is the element of theirs
+   that holds the text that varies (an article element, else a main element,
+   else one named like an article, else the deepest container with most of it).
+   Constant text in the slot is what belongs to the slot's own class.
 4. Each page is read against its host's template: what the article's slot holds
    is extracted, except template text and parts that are menus, headers,
    footers, sidebars, notices, adverts, forms or comments by element, class, id
-   or ARIA role.  A class or id leaves out neither the article nor what
-   encloses it.  A page on which the template's classes don't keep their order
-   or without that slot is read by the same rules from its own tokens alone.
+   or ARIA role (fixed lists, which decide beside the classes).  A class or id leaves out neither the article nor what
+   encloses it.  A page on which a class doesn't keep its order or without
+   that slot, and pages of hosts without valid classes, are read by the same
+   rules from their own tokens alone; so are pages with an article element where
+   the slot is a mere container.
 
 Defined cases: a null or empty html has no text; a null url is a host of its
 own name, empty; broken markup is read as far as it goes (an unfinished tag at
@@ -27,6 +32,7 @@ repeat are read each, but make one content; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import re
@@ -38,10 +44,11 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.tables import written
 
-#: A class belongs to the template when this share of the host's pages has it.
-SUPPORT = 0.5
-#: A text block belongs to the template when all of at least this many contents have it.
-TEXT_PAGES = 20
+#: A class belongs to the template when this share of the host's contents has it,
+#: and that many of them: two pages with text in common may as well be copies.
+SUPPORT, LEAST = 0.5, 3
+#: A class is valid when it is in order and nested on this share of its contents.
+VALID = 0.9
 #: A container is the article's if this share of the varying text is in it.
 MOST = 0.6
 #: Text named like an article rivals a left-out name with this share of a page.
@@ -85,7 +92,7 @@ class Element:
     out: bool  # left out by its element, ARIA role or hidden attribute
     named: bool  # left out by its class or id
     names: frozenset
-    at: int = 0  # order of opening on the page
+    at: int = 0  # place among the page's elements and blocks
 
     @property
     def left_out(self) -> bool:
@@ -103,6 +110,7 @@ class Element:
 class Block:
     path: tuple  # of elements
     text: str
+    at: int = 0
 
 
 @dataclass
@@ -143,7 +151,7 @@ def read_page(source: str | None) -> Page:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            page.blocks.append(Block(tuple(stack), text))
+            page.blocks.append(Block(tuple(stack), text, len(page.elements) + len(page.blocks)))
 
     at = 0
     while at < len(source):
@@ -177,7 +185,7 @@ def read_page(source: str | None) -> Page:
         while stack and stack[-1].tag in CLOSES.get(tag, ()):
             stack.pop()
         element = _element(tag, m[3], stack[-1].role if stack else "")
-        element.at = len(page.elements)
+        element.at = len(page.elements) + len(page.blocks)
         page.elements.append(element)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
@@ -232,8 +240,8 @@ def page_tokens(page: Page) -> dict[str, list]:
     out: dict[str, list] = {}
     for e in page.elements:
         out.setdefault(e.role, [0, e.at, 0, 4 if e.left_out else e.kind])[0] += 1
-    for i, b in enumerate(page.blocks):
-        token = out.setdefault(text_token(b), [0, i, 0, 5])
+    for b in page.blocks:
+        token = out.setdefault(text_token(b), [0, b.at, 0, 5])
         token[0] += 1
         if not _left_out(b):
             token[2] += len(b.text)
@@ -259,18 +267,24 @@ def article_role(candidates: list[tuple[str, int, int]]) -> str | None:
 class Template:
     """What a host's pages have in common."""
 
-    order: list  # roles of the once-a-page classes, in their order
-    texts: frozenset  # tokens of template text
+    classes: list  # tokens of the valid classes, each in its order
+    texts: frozenset  # constant text of the article's slot
     article: str | None
+    kind: int = 4  # of the article's slot
+
+
+def in_order(order: list, places: dict) -> bool:
+    at = [places[t] for t in order if t in places]
+    return at == sorted(at)
 
 
 def fits(page: Page, template: Template) -> bool:
-    """Whether the page keeps the order of the template's classes."""
-    first = {}
-    for e in page.elements:
-        first.setdefault(e.role, e.at)
-    places = [first[r] for r in template.order if r in first]
-    return places == sorted(places) and template.article in first
+    """Whether the page has the slot and keeps the order of the classes."""
+    tokens = page_tokens(page)
+    if template.article not in tokens or (template.kind == 3 and any(v[3] <= 1 and v[2] for v in tokens.values())):
+        return False
+    places = {t: v[1] for t, v in tokens.items()}
+    return all(in_order(c, places) for c in template.classes)
 
 
 def main_text(source: str | None, template: Template | None = None) -> str:
@@ -326,67 +340,108 @@ def page_contents(pages: DataFrame) -> DataFrame:
     return found.dropDuplicates(["host", "content"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``host, rows(array of token, kind, place, chars)`` of every host's template."""
-
-    seen = written(page_contents(pages), "page-contents")
+def classes_of(seen: DataFrame) -> DataFrame:
+    """``host, classes``: the tokens of every class, the host's largest first,
+    each class by the place of its tokens."""
     found = seen.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
     # the occurrence vector's two fingerprints: sums of 31-bit page hashes times counts
     part = lambda shift: F.sum(F.shiftrightunsigned("page", shift).bitwiseAND(F.lit((1 << 31) - 1)) * F.col("n"))
     vectors = found.groupBy("host", "token").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), part(0).alias("va"), part(31).alias("vb"),
+        F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), part(0).alias("va"), part(31).alias("vb"),
         F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.min("kind").alias("kind"),
     )
-    vectors = written(vectors.where("pages > 1"), "occurrence-vectors")
     sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    text = F.col("kind") == 5
-    once = F.col("n") == F.col("pages")
-    frequent = F.when(text, (F.col("of") >= TEXT_PAGES) & (F.col("pages") == F.col("of")) & once).otherwise(
-        F.col("pages") >= F.col("of") * SUPPORT
-    )
-    kept = vectors.join(sizes, "host").where(frequent)
-    entry = F.struct("token", "kind", "place", "chars")
-    classes = kept.groupBy("host", "pages", "n", "va", "vb").agg(F.collect_list(entry).alias("rows"))
-    # classes of one token say nothing about order, but for text and the article
-    # a frequent token is enough; nesting follows from the paths
-    entry = F.struct("rows", (F.col("pages") == F.col("n")).alias("once"))
-    return classes.groupBy("host").agg(F.collect_list(entry).alias("classes"))
+    kept = vectors.where((F.col("pages") >= LEAST) & (F.col("most") == 1)).join(sizes, "host").where(F.col("pages") >= F.col("of") * SUPPORT)
+    entry = F.struct("place", "token", "kind", "chars")
+    classes = kept.groupBy("host", "pages", "va", "vb").agg(F.sort_array(F.collect_list(entry)).alias("rows")).where(F.size("rows") > 1)
+    entry = F.struct((-F.col("pages")).alias("_p"), (-F.size("rows")).alias("_s"), "va", "vb", "rows")
+    return classes.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("classes")).select("host", F.col("classes.rows").alias("classes"))
+
+
+def nesting(order: list, root: list, places: dict) -> str | None:
+    """In which gaps of the largest class a class's tokens stand on a page; ``-``
+    out of order, None where the page lacks the class."""
+    if not all(t in places for t in order):
+        return None
+    if not in_order(order, places):
+        return "-"
+    edges = sorted(places[t] for t in root if t in places)
+    gaps = [] if order == root else [bisect.bisect(edges, places[t]) for t in order]
+    return hashlib.blake2b(str(gaps).encode(), digest_size=8).hexdigest()
+
+
+def _beside(rows: DataFrame, known: DataFrame, salt: str) -> DataFrame:
+    """Rows with the classes of their host."""
+    n = known.select(F.sum(F.expr("aggregate(classes, 0, (n, c) -> n + size(c))"))).first()[0] or 0
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(known), "host", "left")
+    # a host with very many pages is spread over the salts
+    salts = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """``host, classes(arrays of place, token, kind, chars)``: the valid classes
+    of every host."""
+    seen = written(page_contents(pages), "page-contents")
+    known = written(classes_of(seen), "classes")
+
+    def shapes(batches):
+        made: dict[str, list] = {}
+        for batch in batches:
+            hosts, numbers, said = [], [], []
+            for host, tokens, places, classes in zip(*(batch.column(i) for i in range(4)), strict=True):
+                host = host.as_py()
+                if host not in made:
+                    if len(made) > 10_000:
+                        made.clear()
+                    made[host] = [[r["token"] for r in c] for c in classes.as_py() or []]
+                if made[host]:
+                    at = dict(zip(tokens.as_py(), places.as_py(), strict=True))
+                    for i, order in enumerate(made[host]):
+                        shape = nesting(order, made[host][0], at)
+                        if shape:
+                            hosts.append(host)
+                            numbers.append(i)
+                            said.append(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(numbers, pa.int64()), pa.array(said, pa.string())], ["host", "class", "shape"])
+
+    held = _beside(seen, known, "content").where("classes is not null").select("host", "tokens.token", "tokens.place", "classes")
+    shaped = held.mapInArrow(shapes, "host string, class long, shape string").groupBy("host", "class", "shape").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.when(F.col("shape") != "-", F.col("n")))
+    valid = shaped.groupBy("host", "class").agg((most >= VALID * F.sum("n")).alias("valid")).where("valid")
+    numbered = known.select("host", F.posexplode("classes").alias("class", "rows"))
+    kept = numbered.join(valid.select("host", "class"), ["host", "class"])
+    listed = F.sort_array(F.collect_list(F.struct("class", "rows"))).alias("classes")
+    return kept.groupBy("host").agg(listed).select("host", F.col("classes.rows").alias("classes"))
 
 
 def _template(classes: list | None) -> Template | None:
     if not classes:
         return None
-    ordered, texts, candidates = [], {}, []
-    for c in classes:
-        for r in c["rows"]:
-            if r["kind"] == 5:
-                texts[r["token"]] = r["chars"]
-            else:
-                if c["once"] and len(c["rows"]) > 1:
-                    ordered.append((r["place"], r["token"]))
-                if c["once"] and r["kind"] <= 3:
-                    candidates.append((r["token"], r["kind"], r["chars"]))
-    article = article_role(candidates)
+    constant = {r["token"]: r["chars"] for c in classes for r in c if r["kind"] == 5}
+    within = lambda role, texts: sum(n for t, n in texts.items() if t.startswith((f"{role}/", f"{role}#")))
+    whole = {r["token"]: (r["kind"], r["chars"]) for c in classes for r in c if r["kind"] <= 3}
+    varying = [(t, kind, n - within(t, constant)) for t, (kind, n) in whole.items()]
+    total, left = max((n for _, n in whole.values()), default=0), max((n for _, _, n in varying), default=0)
+    # where next to nothing varies, what is common is the article
+    article = article_role(varying if left >= RIVAL * total else [(t, kind, n) for t, (kind, n) in whole.items()])
     if not article:
         return None
-    chars = next(c for r, _, c in candidates if r == article)
-    inside = {t: c for t, c in texts.items() if t.startswith((f"{article}/", f"{article}#"))}
-    if 2 * sum(inside.values()) > chars:  # near copies: what is common is the article
+    own = next(c for c in classes if any(r["token"] == article for r in c))
+    inside = {r["token"]: r["chars"] for r in own if r["kind"] == 5 and within(article, {r["token"]: 1})}
+    if 2 * sum(inside.values()) > whole[article][1]:  # near copies again
         inside = {}
-    return Template([t for _, t in sorted(ordered)], frozenset(inside), article)
+    orders = [[r["token"] for r in c] for c in classes]
+    return Template(orders, frozenset(inside), article, whole[article][0])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     known = written(templates(pages), "templates")
-    rows = known.select(F.sum(F.expr("aggregate(classes, 0, (n, c) -> n + size(c.rows))"))).first()[0] or 0
     own = pages.withColumn("host", _host(F.col("url")))
-    if rows <= BROADCAST_ROWS:
-        joined = own.join(F.broadcast(known), "host", "left")
-    else:  # a host with very many pages is spread over the salts
-        salts = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left")
+    joined = _beside(own, known, "page_id")
 
     def extract(batches):
         made: dict[str, Template | None] = {}
