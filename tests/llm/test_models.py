@@ -158,6 +158,43 @@ def test_decoding_between_sure_tokens_is_the_whole_viterbi(tagger):
         assert tagger.tags(tokens) == {i: t for i, t in enumerate(whole) if t != secret_crf.OUT}
 
 
+def test_decoding_between_sure_tokens_with_any_scores():
+    """Also where the token after loses much as a begin."""
+    rng = np.random.RandomState(5)
+    for _ in range(400):
+        moves = rng.normal(0, 0.5, (3, 3))
+        moves[secret_crf.OUT, secret_crf.IN] = secret_crf.NEVER
+        tagger = secret_crf.Tagger(secret_crf.Field({}, moves))
+        emit = rng.normal(0, 10, (12, 3)) + [4, 0, 0]
+        tagger.emissions = lambda tokens, emit=emit: emit
+        whole = secret_crf.viterbi(emit, moves, tagger.start, np.zeros(3))
+        assert tagger.tags(["x"] * 12) == {i: t for i, t in enumerate(whole) if t != secret_crf.OUT}
+
+
+def test_rare_secrets_are_learnt_from(spark, monkeypatch):
+    """The bound holds for documents with and without a match apart."""
+    clean = [(i, "the call is on 12 page 3.5 word " * 8 + f"line {i}") for i in range(3000)]
+    rare = [(5000 + i, t) for i, t in enumerate(secret_texts(6, 40))]
+    monkeypatch.setattr(secret_crf, "SAMPLE_DOCS", 60, raising=False)
+    monkeypatch.setattr(secret_crf, "SAMPLE_HITS", 30, raising=False)
+    monkeypatch.setattr(secret_crf, "SAMPLE_CLEAN", 30, raising=False)
+    field = secret_crf.trained(docs_of(spark, clean + rare))
+    tagger, held = secret_crf.Tagger(field), [t for t in secret_texts(2, 100) if plain_spans(t)]
+    assert sum(bool(tagger.spans(t)) for t in held) >= 0.9 * len(held)
+    assert not any(tagger.spans(t) for _, t in clean)
+
+
+def test_an_id_of_many_rows_is_bounded_in_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secret_crf, "fit", seen.append)
+    monkeypatch.setattr(secret_crf, "SAMPLE_HITS", 20, raising=False)
+    monkeypatch.setattr(secret_crf, "SAMPLE_CLEAN", 20, raising=False)
+    texts = [t for t in secret_texts(7, 400) if secret_crf.base_spans(t)]
+    secret_crf.trained(docs_of(spark, [(1, t) for t in texts] + [(1, texts[0])] * 200 + [(2 + i, f"word {i}") for i in range(50)]))
+    assert 0 < len(seen[0]) <= 20 * (secret_crf.WINDOWS_PER_DOC + 1) + 20 * 2
+    assert len({tuple(w[0]) for w in seen[0]}) > 20
+
+
 def test_secrets_of_odd_rows(spark, odd_docs, no_docs):
     got = secret_crf.digest(secret_crf.secret_spans(odd_docs)).collect()
     assert len(got) == 13 and all(r.spans == "" for r in got)

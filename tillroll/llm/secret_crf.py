@@ -8,14 +8,18 @@ added with kind ``crf``.
 
 It is trained by maximum likelihood on windows of tokens around the patterns'
 own matches, and around the most unusual other tokens, from at most
-``SAMPLE_DOCS`` documents (those of smallest id hash; at most
-``WINDOWS_PER_DOC`` windows of each).  Decoding is Viterbi over whole texts: a
-token whose best score outside leads by more than any change of transitions is
-worth is outside in every best path, so the path only has to be searched
-between such tokens; that gives the same path.
+``SAMPLE_HITS`` documents with a match and ``SAMPLE_CLEAN`` without one (those
+of smallest hash of id and text, equal ones once; at most ``WINDOWS_PER_DOC``
+windows of each).  Every document is looked at for matches, so rare secrets are
+learnt from however large the corpus is.  Decoding is Viterbi over whole texts:
+making a token outside changes the transitions on its two sides and, where an
+inside follows, turns that into a begin, with its emission and the transition
+after it.  A token whose score outside leads by more than all of this is worth
+is outside in every best path, so the path only has to be searched between such
+tokens; that gives the same path.
 
 Defined cases: null and empty texts have no spans; without any pattern match in
-the sample nothing is added; rows that repeat an id are scanned each; an empty
+the corpus nothing is added; rows that repeat an id are scanned each; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -29,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.tables import written
 from tillroll.llm.wordpiece_count import words
 
-SAMPLE_DOCS = 4_000
+SAMPLE_HITS, SAMPLE_CLEAN = 4_000, 4_000
 WINDOWS_PER_DOC = 8
 REACH = 8  # tokens on either side of a training window's middle
 ROUNDS = 80
@@ -243,9 +248,26 @@ def fit(windows: list[tuple[list[str], list[int], int, int]]) -> Field | None:
     return Field({f: weights[i] for f, i in names.items() if np.abs(weights[i]).max() > 1e-3}, moves + blocked)
 
 
+def _text_key():
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("said")
+
+
 def trained(docs: DataFrame) -> Field | None:
     """The field fitted on the bounded sample."""
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key())
+
+    def matches(batches):
+        for batch in batches:
+            hit = pa.array([bool(base_spans(t or "")) for t in batch.column(2).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hit], ["doc_id", "said", "hit"])
+
+    looked = docs.select("doc_id", "said", "text").mapInArrow(matches, "doc_id long, said binary, hit boolean")
+    looked = written(looked.distinct(), "matches")
+
+    def some(hit: bool, n: int) -> DataFrame:
+        return looked.where(F.col("hit") == hit).orderBy(F.xxhash64("doc_id", "said"), "doc_id", "said").limit(n).select("doc_id", "said")
+
+    chosen = some(True, SAMPLE_HITS).union(some(False, SAMPLE_CLEAN))
 
     def windows(batches):
         for batch in batches:
@@ -255,7 +277,8 @@ def trained(docs: DataFrame) -> Field | None:
             names = ["doc_id", "tokens", "tags", "n", "numbered"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE_DOCS ids
+    sample = docs.join(F.broadcast(chosen), ["doc_id", "said"])  # at most SAMPLE_HITS + SAMPLE_CLEAN ids and texts
+    sample = sample.dropDuplicates(["doc_id", "said"]).select("doc_id", "text")
     rows = sample.mapInArrow(windows, "doc_id long, tokens array<string>, tags array<long>, n long, numbered long")
     rows = rows.orderBy("doc_id", "tokens").toArrow().to_pylist()
     return fit([(r["tokens"], r["tags"], r["n"], r["numbered"]) for r in rows])
@@ -327,7 +350,7 @@ class Tagger:
         self.field = field
         self.scores = _Scores(field)
         allowed = field.moves[field.moves > NEVER / 2]
-        self.slack = 2 * float(allowed.max() - allowed.min()) + 1e-3
+        self.slack = 3 * float(allowed.max() - allowed.min()) + 1e-3
         self.edge = field.score(["before nothing"]), field.score(["after nothing"])
         self.start = np.array([0.0, 0.0, NEVER])
 
@@ -345,7 +368,8 @@ class Tagger:
     def tags(self, tokens: list[str]) -> dict[int, int]:
         """The tags of the tokens that aren't outside."""
         emit = self.emissions(tokens)
-        open_ = np.flatnonzero(emit[:, OUT] - emit[:, 1:].max(axis=1) <= self.slack)
+        after = np.append(np.maximum(emit[1:, IN] - emit[1:, BEGIN], 0), 0)  # what the next token loses as a begin
+        open_ = np.flatnonzero(emit[:, OUT] - emit[:, 1:].max(axis=1) <= self.slack + after)
         out: dict[int, int] = {}
         for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
             low, high = int(run[0]), int(run[-1]) + 1
