@@ -48,8 +48,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = written(decontaminate.benchmark_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    # id and text decide, by a 64-bit hash: ids may be null or repeat
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    texts = keyed.select(F.col("_key").alias("doc_id"), "text")
+    leaks = written(decontaminate.benchmark_leaks(texts, benchmark).select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,6 +103,14 @@ def test_stages_of_odd_rows(spark, odd_docs, corpus):
         assert stage(spark, docs_of(spark, [(1, "x")]).limit(0), d).collect() == []
 
 
+def test_leaks_go_by_id_and_text(spark, corpus):
+    d = corpus[0]
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first().text
+    docs = docs_of(spark, [(None, f"before {item} after"), (None, "clean words"), (1, f"x {item} y"), (1, "a clean text of the same id"), (2, None)])
+    got = corpus_pipeline.drop_leaks(spark, docs, d).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(None, "clean words"), (1, "a clean text of the same id"), (2, None)}
+
+
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram jaccard join", "benchmark decontamination", "best-fit packing"]
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
