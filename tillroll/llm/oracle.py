@@ -36,3 +36,41 @@ SQL: dict[str, str] = {
         FROM s GROUP BY conv_id
     """,
 }
+
+
+def _kmeans(rounds: int) -> str:
+    """Rounds of K-means one after the other, components in rows."""
+    steps = [
+        """v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+            FROM embeddings
+            WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+        )""",
+        "x AS MATERIALIZED (SELECT r, unnest(range(64)) AS p, unnest(e) AS x FROM v)",
+        """c0 AS MATERIALIZED (
+            SELECT n, unnest(range(64)) AS p, unnest(e) AS x
+            FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, e) - 1 AS n, e FROM v) WHERE n < 8
+        )""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT r, min((d, n)) AS m
+            FROM (SELECT r, n, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{i} c USING (p) GROUP BY r, n) GROUP BY r
+        )""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+                SELECT n, p, coalesce((s - ((s % k) + k) % k) // k, x)::BIGINT AS x
+                FROM c{i} LEFT JOIN (
+                    SELECT m[2] AS n, p, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS k FROM x JOIN a{i} USING (r) GROUP BY ALL
+                ) USING (n, p)
+            )""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, m[2]::INTEGER AS cluster, m[1]::BIGINT AS distance,
+               sum(m[1]) OVER (PARTITION BY m[2])::BIGINT AS cluster_inertia, sum(m[1]) OVER ()::BIGINT AS inertia,
+               h AS centroid_sha256
+        FROM v JOIN a{rounds} USING (r)
+        JOIN (SELECT n, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS h FROM c{rounds} GROUP BY n) ON n = m[2]
+    """
+
+
+SQL["op12_vp_kmeans"] = _kmeans(10)

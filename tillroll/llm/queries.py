@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import exact_dedup as dedup
-from tillroll.llm import chat, decontaminate, html_template, ngram_join, packing, secret_crf, token_records, toxicity, wordpiece_count
+from tillroll.llm import chat, decontaminate, html_template, ngram_join, packing, periodic_runs, secret_crf, simhash_pivots
+from tillroll.llm import token_records, toxicity, vp_kmeans, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -85,3 +86,19 @@ def op9_chat_formatting(spark, d):
 @query
 def op10_token_counts(spark, d):
     return wordpiece_count.token_counts(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_periodic_runs(spark, d):
+    docs = periodic_runs.with_repeats(table(spark, d, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs, least=12))
+
+
+@query
+def op12_vp_kmeans(spark, d):
+    return vp_kmeans.vp_kmeans(spark, table(spark, d, "embeddings"), k=8, rounds=10, components=64, scale=1024, salt="3")
+
+
+@query
+def op13_simhash_pivots(spark, d):
+    return simhash_pivots.digest(simhash_pivots.simhash_components(table(spark, d, "documents"), k=4, bits=4))
