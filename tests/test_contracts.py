@@ -97,6 +97,7 @@ def orphans(tmp_path_factory):
 
     d = tmp_path_factory.mktemp("orphans")
     shutil.copytree(SF001, d / "sf", dirs_exist_ok=True)
+    (d / "sf").chmod(0o755)  # the copy has the mode of a read-only folder
     for p in (d / "sf").rglob("*"):
         p.chmod(0o755 if p.is_dir() else 0o644)
     for t, where in (("orders", "o_orderkey % 50 <> 1"), ("part", "p_partkey % 40 <> 3"), ("customer", "c_custkey % 30 <> 2")):

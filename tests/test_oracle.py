@@ -63,7 +63,6 @@ def layout(spark, request):
 def short_fits():
     """``model_checks`` holds whatever the rounds; the full budgets take minutes."""
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(ML, "TUNING_ROUNDS", (2, 3))
         m.setattr(ML, "GBT_ROUNDS", 3)
         m.setattr(ML, "RF_TREES", 5)
         yield

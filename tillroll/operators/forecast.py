@@ -7,6 +7,7 @@ Metrics (MAE, RMSE, R^2, MAPE) are one aggregate over (actual, predicted).
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,15 +42,16 @@ def trend_line(daily: DataFrame, value: str = "revenue") -> DataFrame:
     )
 
 
-def metrics(scored: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """MAE, RMSE, R^2 and MAPE (percent) over rows with both values."""
+def metrics(scored: DataFrame, actual: str = "actual", predicted: str = "predicted", by: Sequence[str] = ()) -> DataFrame:
+    """MAE, RMSE, R^2 and MAPE (percent) over rows with both values, per group of
+    ``by`` if given."""
     s = scored.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     e = F.col(actual) - F.col(predicted)
     y = F.col(actual)
     n = F.count(F.lit(1))
     sse = F.sum(e * e)
     sst = F.sum(y * y) - F.sum(y) * F.sum(y) / n
-    return s.agg(
+    return s.groupBy(*by).agg(
         n.alias("n"),
         X.round6(F.avg(F.abs(e))).alias("mae"),
         X.round6(F.sqrt(sse / n)).alias("rmse"),

@@ -29,6 +29,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators import boosting as BO
 from tillroll.operators import forecast as FC
 
 SEED = 42
@@ -181,55 +182,37 @@ def tuned_features(columns: Sequence[str]) -> list[str]:
 def tuned_gbt(daily_feats: DataFrame, trials: int | None = None, rounds: tuple[int, int] | None = None, seed: int = SEED):
     """Random search over boosting parameters on the chronological split.
 
-    The parameters are drawn on the driver (numbers only); each trial is a
-    distributed ``GBTRegressor`` fit.  Column sampling is per node in Spark
-    (``featureSubsetStrategy``), per tree in XGBoost.
+    The parameters are drawn on the driver (numbers only); all trials are fitted
+    together, a task each (``boosting``).  Rows and columns are sampled per tree.
     Returns (trials frame, scored validation frame of the best trial).
     """
     trials, rounds = trials or TUNING_TRIALS, rounds or TUNING_ROUNDS
     daily_feats = materialized(daily_feats)
-    feats = tuned_features(daily_feats.columns)
     w = Window.orderBy("date")
     n = F.count(F.lit(1)).over(Window.partitionBy())
     data = daily_feats.select("*", F.row_number().over(w).alias("_i"), n.alias("_n")) \
         .withColumn("split", F.when(F.col("_i") <= F.floor(F.col("_n") * 0.8), "train").otherwise("validation")) \
         .withColumn("label", F.col("revenue").cast("double"))
-    data = sized(_assemble(feats).transform(data), ["date"]).cache()
-    train = data.where(F.col("split") == "train")
-    val = data.where(F.col("split") == "validation")
     rng = random.Random(seed)
     params = []
-    for _ in range(trials):
+    for t in range(trials):
         params.append({
-            "maxIter": rng.randint(*rounds),
-            "maxDepth": rng.randint(*TUNING_DEPTH),
-            "stepSize": round(rng.uniform(*TUNING_STEP), 4),
-            "subsamplingRate": round(rng.uniform(*TUNING_SAMPLE), 4),
+            "trial": t,
+            "max_iter": rng.randint(*rounds),
+            "max_depth": rng.randint(*TUNING_DEPTH),
+            "step_size": round(rng.uniform(*TUNING_STEP), 4),
+            "subsampling_rate": round(rng.uniform(*TUNING_SAMPLE), 4),
             "colsample": round(rng.uniform(*TUNING_SAMPLE), 4),
         })
-
-    def run(p):
-        est = GBTRegressor(featuresCol="features", labelCol="label", maxIter=p["maxIter"], maxDepth=p["maxDepth"],
-                           stepSize=p["stepSize"], subsamplingRate=p["subsamplingRate"],
-                           featureSubsetStrategy=str(p["colsample"]), seed=seed)
-        scored = est.fit(train).transform(val).select(
-            "date", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
-        return scored, FC.metrics(scored).first()
-
-    results = in_parallel([lambda p=p: run(p) for p in params])
-    rows, best = [], None
-    for t, (p, (scored, m)) in enumerate(zip(params, results)):
-        rows.append((t, p["maxIter"], p["maxDepth"], p["stepSize"], p["subsamplingRate"], p["colsample"],
-                     float(m["rmse"]), float(m["mae"]), float(m["mape"])))
-        if best is None or m["rmse"] < best[0]:
-            best = (m["rmse"], scored)
-    spark = daily_feats.sparkSession
-    first_best = min(range(len(rows)), key=lambda t: (rows[t][6], t))  # ties: the earlier trial
-    trials_df = spark.createDataFrame(
-        [(*r, r[0] == first_best) for r in rows],
-        "trial int, max_iter int, max_depth int, step_size double, subsampling_rate double, colsample double, "
-        "rmse double, mae double, mape double, is_best boolean")
-    return trials_df, best[1]
+    scored = materialized(BO.boost_trials(data, tuned_features(daily_feats.columns), params, seed).where("split = 'validation'"))
+    drawn = daily_feats.sparkSession.createDataFrame([tuple(p.values()) for p in params], BO.PARAMS)
+    rated = drawn.join(F.broadcast(FC.metrics(scored, by=["trial"])), "trial")  # a row per trial
+    # ties: the earlier trial
+    best = rated.agg(F.min(F.struct("rmse", "trial"))["trial"].alias("best_trial"))
+    trials_df = materialized(rated.crossJoin(F.broadcast(best)).select(
+        *drawn.columns, "rmse", "mae", "mape", (F.col("trial") == F.col("best_trial")).alias("is_best")))
+    winner = trials_df.where("is_best").select("trial")
+    return trials_df, scored.join(F.broadcast(winner), "trial").select("date", "actual", "predicted")
 
 
 def ar30_forecast(sequences: DataFrame, train_fraction: float = 0.8, n: int = 30):

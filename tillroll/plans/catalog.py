@@ -738,20 +738,13 @@ def model_report_lines(spark, d):
 def model_checks(spark, d):
     """What SQL can say about every model's output: rows scored, their actual
     values, horizons, identities that hold for each row (violations are 0)."""
-    def rows(name, df, *extra):
-        aggs = [F.count(F.lit(1)).cast("decimal(38,2)").alias("rows"), *(e.cast("decimal(38,2)").alias(n) for n, e in extra)]
-        names = ["rows", *(n for n, _ in extra)]
-        stacked = ", ".join(f"'{name}_{n}', {n}" for n in names)
-        return df.agg(*aggs).selectExpr(f"stack({len(names)}, {stacked}) as (check, value)")
-
-    bad = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    rows, bad = _check_rows, _bad
     parts = [rows(f"demand_{i}", scored, ("actual", F.sum("actual")), ("missing", bad(F.col("predicted").isNull() | F.isnan("predicted"))))
              for i, (scored, _) in enumerate(_demand_models(spark, d).values())]
     forecast, comps = _forecast(spark, d)
     off = F.abs(F.col("trend") + F.col("yearly") + F.col("weekly") - F.col("yhat")) > 1e-6 * F.greatest(F.lit(1.0), F.abs("yhat"))
     outside = (F.col("yhat") < F.col("yhat_lower")) | (F.col("yhat") > F.col("yhat_upper"))
     clusters, _ = _kmeans(spark, d)
-    trials, scored = _tuned(spark, d)
     parts += [
         rows("forecast", forecast, ("future", bad(F.col("is_future"))), ("actual", F.sum("actual")), ("outside", bad(outside)),
              ("last_day", F.datediff(F.max("date"), F.lit("1970-01-01").cast("date")))),
@@ -759,13 +752,54 @@ def model_checks(spark, d):
         rows("actual_vs_forecast", actual_vs_forecast(spark, d)),
         rows("clusters", clusters, ("frequency", F.sum("frequency")), ("segments", F.countDistinct("segment"))),
         rows("pca", rfm_pca(spark, d)),
-        rows("tuned", trials, ("best", bad(F.col("is_best")))),
-        rows("tuned_validation", scored, ("actual", F.sum("actual"))),
-        rows("ar30", _ar30(spark, d)[0], ("actual", F.sum("actual"))),
-        rows("best_model", best_model(spark, d)),
         rows("forecast_results", forecast_results(spark, d), ("actual", F.sum("actual"))),
     ]
+    return _checks(parts)
+
+
+def _check_rows(name, df, *extra):
+    """Rows ``check, value``: the number of rows and the given aggregates."""
+    aggs = [F.count(F.lit(1)).cast("decimal(38,2)").alias("rows"), *(e.cast("decimal(38,2)").alias(n) for n, e in extra)]
+    names = ["rows", *(n for n, _ in extra)]
+    stacked = ", ".join(f"'{name}_{n}', {n}" for n in names)
+    return df.agg(*aggs).selectExpr(f"stack({len(names)}, {stacked}) as (check, value)")
+
+
+def _bad(c):
+    return F.sum(F.when(c, 1).otherwise(0))
+
+
+def _checks(parts):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("check", F.col("value").cast("double").alias("value"))
+
+
+def _worse_than_mean(scored):
+    """1 where a model's squared error is over that of the validation's own mean
+    by more than half: a fit that predicts nothing, or another scale, fails."""
+    e = F.col("actual") - F.col("predicted")
+    spread = F.sum(F.col("actual") * F.col("actual")) - F.sum("actual") * F.avg("actual")
+    return ("worse_than_mean", F.when(F.sum(e * e) > 1.5 * spread, 1).otherwise(0))
+
+
+@query
+def tuned_model_checks(spark, d):
+    """``model_checks`` of the daily-revenue models: the search's trials, the
+    winner's validation rows, and that the metrics given are those of the rows."""
+    trials, scored = _tuned(spark, d)
+    ar = _ar30(spark, d)[0]
+    given = trials.where("is_best").select(F.col("rmse").alias("given_rmse"), F.col("mae").alias("given_mae"), F.col("mape").alias("given_mape"))
+    again = FC.metrics(scored).crossJoin(F.broadcast(given))
+    off = F.greatest(*(F.abs(F.col(f"given_{m}") - F.col(m)) for m in ("rmse", "mae", "mape"))) > 1e-6
+    least = trials.agg(F.min("rmse").alias("least"))
+    beaten = trials.crossJoin(F.broadcast(least)).where("is_best and rmse > least")
+    return _checks([
+        _check_rows("tuned", trials, ("best", _bad(F.col("is_best"))), ("iterations", _bad(~F.col("max_iter").between(*ML.TUNING_ROUNDS)))),
+        _check_rows("tuned_validation", scored, ("actual", F.sum("actual")), ("missing", _bad(F.col("predicted").isNull())), _worse_than_mean(scored)),
+        _check_rows("tuned_metrics", again, ("off", _bad(off))),
+        _check_rows("tuned_beaten", beaten),
+        _check_rows("ar30", ar, ("actual", F.sum("actual")), _worse_than_mean(ar)),
+        _check_rows("best_model", best_model(spark, d)),
+    ])

@@ -660,19 +660,29 @@ _CHECKS |= {
     "clusters_frequency": f"WITH {RFM_BASE} SELECT SUM(frequency) FROM base",
     "clusters_segments": "SELECT 4",
     "pca_rows": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
+    "forecast_results_rows": f"WITH {DEMAND_TEST} SELECT LEAST(COUNT(*), 100) FROM test",
+    "forecast_results_actual": f"""WITH {DEMAND_TEST},
+        t AS (SELECT units FROM test ORDER BY date, product, category LIMIT 100) SELECT SUM(units) FROM t""",
+}
+_TUNED_CHECKS = {
     "tuned_rows": "SELECT 20",
     "tuned_best": "SELECT 1",
+    "tuned_iterations": "SELECT 0",
     "tuned_validation_rows": f"WITH {_VAL} SELECT COUNT(*) FROM v WHERE i > floor(n * 0.8)",
     "tuned_validation_actual": f"WITH {_VAL} SELECT CAST(SUM(revenue) AS DECIMAL(38, 2)) FROM v WHERE i > floor(n * 0.8)",
+    "tuned_validation_missing": "SELECT 0",
+    "tuned_validation_worse_than_mean": "SELECT 0",
+    "tuned_metrics_rows": "SELECT 1",
+    "tuned_metrics_off": "SELECT 0",
+    "tuned_beaten_rows": "SELECT 0",
     "ar30_rows": f"WITH {_SEQ} SELECT COUNT(*) FROM s WHERE i > 0 AND i > floor(n * 0.8)",
     "ar30_actual": f"WITH {_SEQ} SELECT CAST(SUM(revenue) AS DECIMAL(38, 2)) FROM s WHERE i > 0 AND i > floor(n * 0.8)",
+    "ar30_worse_than_mean": "SELECT 0",
     "best_model_rows": "SELECT 2",
-    "forecast_results_rows": f"WITH {DEMAND_TEST} SELECT LEAST(COUNT(*), 100) FROM test",
-    "forecast_results_actual": f"""WITH {DEMAND_TEST},
-        t AS (SELECT units FROM test ORDER BY date, product, category LIMIT 100) SELECT SUM(units) FROM t""",
 }
-q("model_checks", "\nUNION ALL\n".join(
-    f"SELECT '{name}' AS \"check\", CAST(({sql}) AS DOUBLE) AS value" for name, sql in _CHECKS.items()))
+for _name, _checks in (("model_checks", _CHECKS), ("tuned_model_checks", _TUNED_CHECKS)):
+    q(_name, "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS \"check\", CAST(({sql}) AS DOUBLE) AS value" for name, sql in _checks.items()))
 
 # ------------------------------------------------------------------ export manifest
 
