@@ -24,6 +24,18 @@ def test_exact_dedup_query_equals_sql(spark):
     assert sorted(want) == sorted(map(tuple, got.collect()))
 
 
+def test_exact_dedup_of_repeated_rows_equals_sql(spark):
+    docs = docs_of(spark, [(1, "a b"), (1, "a b"), (2, "a  b"), (None, "a b"), (None, None), (None, ""), (3, "c"), (3, "d")])
+    got = exact_dedup.exact_dedup(docs)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.execute("CREATE VIEW typed AS SELECT doc_id::BIGINT AS doc_id, text FROM documents")
+    sql = oracle.SQL["op7_exact_dedup"].replace("FROM documents", "FROM typed")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
+    assert sorted(want, key=str) == sorted(map(tuple, got.collect()), key=str)
+    assert {r.doc_id: r.group_size for r in got.collect()}[2] == 4
+
+
 def weak(text):
     return F.pmod(F.length(text), F.lit(3))
 

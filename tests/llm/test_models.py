@@ -202,3 +202,12 @@ def test_secrets_of_odd_rows(spark, odd_docs, no_docs):
     rows = [(i, t) for i, t in enumerate(secret_texts(4, 40))] + [(100, "é😀 password=abcdef1234"), (101, "token = 'ABCDEFGHIJ'")]
     got = {r.doc_id: r for r in secret_crf.digest(secret_crf.secret_spans(docs_of(spark, rows))).collect()}
     assert got[100].spans.startswith("assign:3:22") and got[101].n_assign == 1
+
+
+def test_training_rows_are_bounded_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 5)
+    rows = [(1, f"one id many texts {i}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 40)] + [(2, None), (2, "")]
+    labels = spark.createDataFrame([(i, 1, int(i <= 20)) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    found = toxicity.training_rows(docs_of(spark, rows), labels)
+    assert len(found) == 10 and sum(t for _, t in found) == 5

@@ -112,12 +112,13 @@ def test_records_query_round_trip(spark):
     rows = queries.QUERIES["op5_token_records"](spark, SF001).orderBy("doc_id").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows] == want
     for r in rows[::37]:  # shuffled reads by the index
-        doc, ids = token_records.record_at(r.file, r.offset, r.size)
+        doc, ids = token_records.record_at(spark, r.file, r.offset, r.size)
         assert doc == r.doc_id and len(ids) == r.n_tokens and zlib.crc32(np.array(ids, dtype="<u4").tobytes()) == r.ids_crc32
 
 
 def test_several_files_a_task_keep_the_order(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_records, "RECORDS_PER_FILE", 7)
+    monkeypatch.setattr(token_records, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(token_records, "BLOCKS_PER_FILE", 1)
     docs = spark.range(60).select((59 - F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     rows = token_records.encode_to_records(docs, BYTE, path=str(tmp_path / "r")).orderBy("start").collect()
     assert [r.doc_id for r in rows] == list(range(60))
@@ -148,3 +149,20 @@ def test_records_of_odd_rows(odd_docs, no_docs):
     assert [r.n_tokens for r in rows if r.doc_id in (2, 3)] == [1, 1]
     assert sum(r.n_tokens for r in rows) == rows[-1].start + rows[-1].n_tokens
     assert token_records.encode_to_records(no_docs, BYTE).collect() == []
+
+
+def test_ids_that_do_not_fit_are_refused():
+    wide = np.array([5, 70_000], dtype="<u4").tobytes()
+    with pytest.raises(OverflowError, match="70000"):
+        token_records.serialized(1, wide, True)
+    assert token_records.parsed(token_records.serialized(1, wide, False)) == (1, wide)
+    assert token_records.fits_two_bytes(BYTE, 0) and not token_records.fits_two_bytes(BYTE, 70_000)
+
+
+def test_rows_of_one_id_are_spread(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as where partitions are large
+    docs = spark.range(400).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows = token_records.encode_to_records(docs, BYTE, path=str(tmp_path / "r")).orderBy("start").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 400 and len({r.file for r in rows}) > 1
+    assert [r.start for r in rows] == list(np.cumsum([0, *(r.n_tokens for r in rows)])[:-1])

@@ -244,3 +244,37 @@ def test_odd_conversations(spark):
     assert (got[1].n_turns, got[None].n_turns, got[2].n_turns, got[2].loss_chars) == (3, 1, 2, 100001)
     assert not got[1].valid and got[None].valid and json.dumps(got[2].loss_sha256)
     assert chat.digest(chat.format_conversations(spark.createDataFrame([], TURNS))).collect() == []
+
+
+def article_page(i, inner, wrap="article"):
+    return f"<html><body><nav>Menu</nav><{wrap}>{inner}</{wrap.split()[0]}><footer>Foot</footer></body></html>"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 30])
+def test_shared_headings_of_articles_stay(spark, n):
+    inner = lambda i: f"<h1>Soup {i}</h1><h2>Ingredients</h2><p>{i} onions and {i * 3} leeks</p><h2>Method</h2><p>Cook number {i} for {i + 7} minutes.</p>"
+    pages = [(i, f"http://host/{i}", article_page(i, inner(i))) for i in range(n)]
+    rows = html_template.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = {i: f"Soup {i}\n\nIngredients\n\n{i} onions and {i * 3} leeks\n\nMethod\n\nCook number {i} for {i + 7} minutes." for i in range(n)}
+    assert {r.page_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_slugs_and_compound_names_inside_the_article_stay():
+    inner = (
+        "<h2 id='related-work'>Related work</h2><p class='skip-indent'>One.</p><h2 id='sharing-data'>Sharing data</h2>"
+        "<section id='public-notice-1850'><p>A notice of 1850.</p></section><p>Two.</p>"
+    )
+    assert html_template.main_text(article_page(1, inner)).split("\n\n") == ["Related work", "One.", "Sharing data", "A notice of 1850.", "Two."]
+    inner = "<p>One.</p><div class='related-posts'><p>More</p></div><p class='advert'>Buy</p><aside>A</aside><p>Two.</p>"
+    assert html_template.main_text(article_page(1, inner)).split("\n\n") == ["One.", "Two."]
+
+
+def test_adverts_and_share_links_in_a_sentence_go():
+    inner = "<p>Text <span class='advert'>Buy <span>shoes</span> now</span>goes <b>on</b> <a class='share' href='#'>Share</a>.</p><p>And <a class='ad'>open</p><p>on.</p>"
+    assert html_template.main_text(article_page(1, inner)).split("\n\n") == ["Text goes on .", "And", "on."]
+
+
+def test_unknown_elements_do_not_part_a_sentence():
+    inner = "<p>a <x-em>strong</x-em> word</p>loose <my-tag>text</my-tag> here<p>b</p>"
+    assert html_template.main_text(article_page(1, inner)).split("\n\n") == ["a strong word", "loose text here", "b"]
+    assert html_template.main_text("<body><my-page><article><p>x y</p></article></my-page><footer>f</footer></body>") == "x y"

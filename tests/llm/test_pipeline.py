@@ -7,6 +7,8 @@ import sys
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cases import DOCS, SF001, docs_of, odd_docs  # noqa: F401
 from tillroll.llm import queries
@@ -114,7 +116,7 @@ def test_leaks_go_by_id_and_text(spark, corpus):
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram jaccard join", "benchmark decontamination", "best-fit packing"]
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_entry_works_without_this_subpackage(tmp_path):
@@ -133,3 +135,28 @@ def test_entry_works_without_this_subpackage(tmp_path):
 
     assert "pipeline" in entry.queries() and set(queries.QUERIES) <= set(entry.queries())
     assert os.path.exists(SF001)
+
+
+def test_near_copies_go_by_row_not_by_id(spark, corpus):
+    base = [f"w{i}" for i in range(60)]
+    near = base[:30] + ["edit"] + base[31:]
+    other = [f"v{i}" for i in range(60)]
+    third = [f"u{i}" for i in range(60)]
+    say = " ".join
+    docs = docs_of(spark, [(1, say(base)), (2, say(near)), (2, say(other)), (None, say(base[:59])), (None, say(third)), (5, say(third[:59]))])
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, corpus[0]).collect()}
+    # the row of id 2 with the near text goes, the other one stays; rows without an id go like others
+    assert got == {(1, say(base)), (2, say(other)), (5, say(third[:59]))}
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    d = corpus[0]
+    names = ["key", "_key", "_toxic", "toxic", "Severity", "_sha0", "sha", "number", "keep", "said", "n", "id"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 60 or doc_id >= 1000")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(f"{n} "), F.coalesce("doc_id", F.lit(0)).cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id or 0}" for r in rows for n in names), name

@@ -1,6 +1,9 @@
 """Word hashes, token ids and token counts against plain Python."""
 
+import os
 import re
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -9,8 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cases import SF001, no_docs, odd_docs  # noqa: F401
-from tillroll.llm import encoding, queries, wordpiece_count, words
+from tillroll.llm import encoding, memo, queries, wordpiece_count, words
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 ALPHABET = list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0aAbZ'stremvld1²½.,-!ªµßÿĀİſKé́ 　中😀ŉΣς<|>_")
@@ -60,11 +64,55 @@ def test_ids_are_the_librarys(name):
 
 
 def test_encoder_forgets_within_its_bound(monkeypatch):
-    monkeypatch.setattr(encoding, "REMEMBERED", 8)
+    monkeypatch.setattr(memo, "BYTES", 4000)
     enc = encoding.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     text = " ".join(f"w{i}" for i in range(100)) + " " + " ".join(f"w{i}" for i in range(100))
     assert enc.ids(text) == enc.whole(text)
-    assert len(enc.of_piece) <= 8 and len(enc.of_piece.older) <= 8
+    assert len(enc.of_piece) <= 10 and len(enc.of_piece.older) <= 10
+
+
+def test_memo_is_bounded_in_bytes():
+    made = []
+    known = memo.Memo(lambda key: made.append(key) or key.encode())
+    for i in range(200_000):  # words without white space, as in Chinese text
+        assert known[chr(0x4E00 + i % 20_000) * 40 + str(i)]
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for d in (known, known.older) for k, v in d.items())
+    assert held + sys.getsizeof(known) + sys.getsizeof(known.older) < 2 * memo.BYTES
+    long = "x" * 1000
+    assert known[long] == known[long] == long.encode() and made.count(long) == 2
+
+
+def test_long_texts_hash_as_short_ones_do():
+    rng = np.random.RandomState(3)
+    parts = ["w" * n for n in (1, 5, 300_000, 131_071, 131_072, 131_073)] + [str(x) for x in rng.randint(0, 1 << 40, 60_000)]
+    text = " ".join(parts[i] for i in rng.permutation(len(parts)))
+    got = words.word_hashes(text)
+    for w, h in list(zip(text.split(), got, strict=True))[:500]:
+        assert words.word_hashes(w)[0] == h
+    by_word = dict(zip(text.split(), got.tolist(), strict=True))
+    for w in parts[:6]:
+        # the definition, byte by byte
+        total = sum(int(words._CODE[b]) * pow(words.BASE, i, 1 << 64) for i, b in enumerate(w.encode()[:300])) if len(w) <= 300 else None
+        if total is not None:
+            assert by_word[w] == int(words.mix(np.array([(total + len(w)) % (1 << 64)], dtype=np.uint64))[0])
+        assert by_word[w] == int(words.word_hashes(f"a {w} b")[1])
+
+
+def test_a_text_of_50_mb_takes_little_memory():
+    """In a process of its own: nothing is kept after the text, and the peak is
+    a few times the text."""
+    said = """
+import resource, sys
+from tillroll.llm import words
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = " ".join(f"word{i}" for i in range(4_500_000))
+assert len(text) > 45_000_000
+n = len(words.shingle_set(text, 5))
+peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(n, (peak - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", said], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split()
+    assert int(out[0]) == 4_500_000 - 4 and int(out[1]) < 1000
 
 
 def greedy(entries, data):

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.arrow import pieces
+from tillroll.llm.tables import written
 from tillroll.llm.words import PUNCTUATED, distinct, word_hash_lists
 
 WINDOW = 32
@@ -61,7 +63,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     def count(batches):
         known = shared.value
         seen, n = np.zeros(len(known) + 1, dtype=np.int64), 0
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for words in _words(batch.column(0).to_pylist()):
                 at = distinct(_index(known, words))
                 seen[at[at >= 0]] += 1
@@ -71,6 +73,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["word", "n"])
 
     rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
     out[rows.column("word").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
@@ -118,7 +121,7 @@ def latent_space(benchmark: DataFrame, vocabulary: np.ndarray, weight: np.ndarra
         for r in rows:
             part = np.frombuffer(r["part"]).reshape(-1, basis.shape[1])
             out[r["block"] : r["block"] + len(part)] = part
-        shared.unpersist()
+        shared.destroy()
         return out
 
     basis = np.random.RandomState(7).standard_normal((len(vocabulary), width))
@@ -126,6 +129,7 @@ def latent_space(benchmark: DataFrame, vocabulary: np.ndarray, weight: np.ndarra
         basis = np.linalg.qr(product(basis))[0]
     small = basis.T @ product(basis)
     value, vector = np.linalg.eigh((small + small.T) / 2)
+    known.destroy()
     best = np.argsort(value)[::-1][:rank]
     return basis @ vector[:, best[value[best] > 1e-9]]
 
@@ -174,7 +178,7 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], benchmark: Dat
     def leaks(batches):
         known_items, known, project, own, at_word, unit, norm = shared.value
         listed = [w.tolist() for _, w in known_items]
-        for batch in batches:
+        for batch in pieces(batches, 1):
             found: list[tuple] = []
             for doc, words in zip(batch.column(0).to_pylist(), _words(batch.column(1).to_pylist()), strict=True):
                 best: dict[int, tuple] = {}
@@ -193,7 +197,9 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], benchmark: Dat
             names = ["doc_id", "item_id", "cosine", "lcs", "answer", "start_word"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(leaks, RESULT)
+    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(leaks, RESULT), "leaks")
+    shared.destroy()
+    return found
 
 
 def _candidates(words, vocabulary, project, unit, norm):

@@ -2,7 +2,7 @@
 
 A text of Latin-1 characters is cut into the tokenizer's own pre-tokens by the
 rules stated below, and each distinct one goes through the library's BPE model
-once per Python worker.  Any other text is cut where the tokenizer always cuts
+once per Python worker, as long as it is short and remembered (``memo.py``).  Any other text is cut where the tokenizer always cuts
 (at white space), and each distinct chunk goes through the library whole; a
 text with a character on which Python and the library disagree about white
 space goes through it at once.  A text's ids are those of its parts put
@@ -16,13 +16,10 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-#: Distinct parts a worker remembers are at most twice this: when so many are
-#: new, those not used since the last time are forgotten.
-REMEMBERED = 1 << 19
+from tillroll.llm.memo import Memo
 
 # The splitting rules of the two files for Latin-1 characters.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -58,26 +55,6 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Remembered(dict):
-    """piece -> packed ids, made by ``encode`` on first use; forgets pieces not
-    used lately."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.encode = encode
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 class Encoder:
     """``ids(text)`` gives a whole text's packed ids."""
 
@@ -88,8 +65,8 @@ class Encoder:
         self.words = self.tokenizer.normalizer is not None
         self.split = (_WORD_SPLIT if self.words else _BYTE_SPLIT).findall
         self.chunks = str.split if self.words else _BYTE_CHUNK.findall
-        self.of_piece = Remembered(self.piece)
-        self.of_chunk = Remembered(self.whole)
+        self.of_piece = Memo(self.piece)
+        self.of_chunk = Memo(self.whole)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.tables import written
+from tillroll.llm.tables import unused, written
 
 
 def normalised(text: Column) -> Column:
@@ -66,11 +66,12 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = md5_128) -
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns; rows repeating id and text once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    own = unused(docs, "sha")
     sha = F.sha2(normalised(F.col("text")), 256)
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("said"))
     return (
-        docs.withColumn("_sha0", sha)
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
-        .dropDuplicates(["doc_id", "_sha0"])
-        .drop("_sha0")
+        docs.withColumn(own, sha)
+        .join(kept, docs["doc_id"].eqNullSafe(kept["keep"]) & (F.col(own) == kept["said"]), "left_semi")
+        .dropDuplicates(["doc_id", own])
+        .drop(own)
     )

@@ -14,12 +14,14 @@
    template.  Their text blocks are constant; the slot is the element of theirs
    that holds the text that varies (an article element, else a main element,
    else one named like an article, else the deepest container with most of it).
-   Constant text in the slot is what belongs to the slot's own class.
+   Constant text is struck only where the slot is a mere container: what belongs
+   to the slot's own class there, headings apart.
 4. Each page is read against its host's template: what the article's slot holds
    is extracted, except template text and parts that are menus, headers,
    footers, sidebars, notices, adverts, forms or comments by element, class, id
    or ARIA role (fixed lists, which decide beside the classes).  A class or id leaves out neither the article nor what
-   encloses it.  A page on which a class doesn't keep its order or without
+   encloses it; inside the article ids leave out nothing, and headings, paragraphs
+   and elements in a sentence go by a whole class alone.  A page on which a class doesn't keep its order or without
    that slot, and pages of hosts without valid classes, are read by the same
    rules from their own tokens alone; so are pages with an article element where
    the slot is a mere container.
@@ -42,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.arrow import pieces
 from tillroll.llm.tables import written
 
 #: A class belongs to the template when this share of the host's contents has it,
@@ -72,6 +75,16 @@ LEFT_OUT_NAMES = frozenset(
     " modal newsletter subscribe signup login share sharing social related recommended comment comments commentlist disqus respond"
     " replies reply pagination pager toc copyright skip".split()
 )
+#: On an element inside a sentence only these classes leave it out.
+INLINE_OUT = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo share sharing social".split())
+#: Here a listed word counts only as a class of its own, never as part of one.
+TEXT_ELEMENTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption table caption tr th td dl dt dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption figcaption".split())
+BLOCKS = frozenset(
+    "address article aside base blockquote body caption center col colgroup dd details dir div dl dt fieldset figcaption figure footer form"
+    " frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main meta nav ol optgroup p param pre search section source"
+    " summary table tbody td tfoot th thead tr track ul".split()
+) | LEFT_OUT
 ARTICLE_NAMES = frozenset("article content post entry story main body text".split())
 CONTAINERS = frozenset("article main section div td body".split())
 CLOSES = {  # an element that opens ends an open one of these
@@ -91,6 +104,7 @@ class Element:
     role: str
     out: bool  # left out by its element, ARIA role or hidden attribute
     named: bool  # left out by its class or id
+    classed: bool  # left out by its class alone
     names: frozenset
     at: int = 0  # place among the page's elements and blocks
 
@@ -129,25 +143,44 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _element(tag: str, raw: str, above: str) -> Element:
+def _words_of(label: str) -> frozenset:
+    return frozenset(n.lower() for n in _NAME.findall(label))
+
+
+def _listed(label: str, words: frozenset) -> bool:
+    """Whether a whole class is one of the words."""
+    return any(c.lower() in words for c in label.split())
+
+
+def _element(tag: str, raw: str, above: str, inside: bool = False) -> Element:
+    """``inside``: below an article or main element, where ids name sections."""
     attributes = _attributes(raw) if raw else {}
     label = " ".join(attributes.get(k, "") for k in ("class", "id"))
-    names = frozenset(n.lower() for n in _NAME.findall(label))
+    names = _words_of(label)
     out = tag in LEFT_OUT or attributes.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attributes
     # a main element or an article named like one has other words by the way
-    named = bool(names & LEFT_OUT_NAMES) and tag != "main" and not (tag == "article" and names & ARTICLE_NAMES)
+    may = tag != "main" and not (tag == "article" and names & ARTICLE_NAMES)
+    if tag in TEXT_ELEMENTS:
+        classed = named = _listed(attributes.get("class", ""), LEFT_OUT_NAMES)
+    else:
+        classed = may and bool(_words_of(attributes.get("class", "")) & LEFT_OUT_NAMES)
+        named = classed if inside else may and bool(names & LEFT_OUT_NAMES)
     if tag in ("html", "body"):
-        out = named = False
+        out = named = classed = False
     marks = "".join("." + n for n in sorted({re.sub(r"\d+", "0", x).translate(_PATH_MARKS) for x in label.split()}))
-    return Element(tag, f"{above}/{tag}{marks}", out, named, names)
+    return Element(tag, f"{above}/{tag}{marks}", out, named, classed, names)
 
 
 def read_page(source: str | None) -> Page:
     """Elements and text blocks of a page, in order."""
     page, stack, parts = Page(), [], []
     source = source or ""
+    muted: list = []  # an element in a sentence that is left out: [its name, how many are open, where its text begins]
 
     def flush() -> None:
+        if muted:  # it ends with the block around it
+            del parts[muted[2] :]
+            muted.clear()
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
@@ -170,9 +203,16 @@ def read_page(source: str | None) -> Page:
             end = _RAW_END[tag].search(source, at)
             at = end.end() if end else len(source)
             continue
-        if tag in INLINE:
+        if tag in INLINE or (tag not in BLOCKS and _in_sentence(tag, closing, stack, parts)):
             if tag == "br":
                 parts.append(" ")
+            elif muted and tag == muted[0]:
+                muted[1] += -1 if closing else 1
+                if not muted[1]:
+                    del parts[muted[2] :]
+                    muted.clear()
+            elif not muted and not closing and tag not in VOID and m[3] and _listed(_attributes(m[3]).get("class", ""), INLINE_OUT):
+                muted += [tag, 1, len(parts)]
             continue
         flush()
         if closing:
@@ -184,7 +224,7 @@ def read_page(source: str | None) -> Page:
             stack.pop()
         while stack and stack[-1].tag in CLOSES.get(tag, ()):
             stack.pop()
-        element = _element(tag, m[3], stack[-1].role if stack else "")
+        element = _element(tag, m[3], stack[-1].role if stack else "", any(e.kind <= 1 for e in stack))
         element.at = len(page.elements) + len(page.blocks)
         page.elements.append(element)
         if tag not in VOID and not m[3].endswith("/"):
@@ -195,6 +235,14 @@ def read_page(source: str | None) -> Page:
     return page
 
 
+def _in_sentence(tag: str, closing: bool, stack: list, parts: list) -> bool:
+    """An element that HTML doesn't know is part of a sentence where text stands
+    before it or a paragraph is open, and a container elsewhere."""
+    if closing:
+        return all(e.tag != tag for e in stack)
+    return bool(stack and stack[-1].tag in TEXT_ELEMENTS | {"li"}) or any(p.strip() for p in parts)
+
+
 def _unmark(page: Page) -> None:
     """A name doesn't leave out what is or encloses the article: an element with
     most of the page's text, unless that text is beside or below an article of
@@ -218,15 +266,18 @@ def _unmark(page: Page) -> None:
         articles = [p for p in above.values() if p[-1].kind <= 2 and not any(x.named and x is not e for x in p)]
         if not any(e in p and p[-1].kind <= 1 and 2 * inside[p[-1].at] >= total for p in articles):
             rivals = [p[-1] for p in articles if e not in p]
-            e.named = any(clean(s, e) >= (RIVAL * total if s.kind == 2 or s in above[e.at] else 1) for s in rivals)
+            e.named = e.named and any(clean(s, e) >= (RIVAL * total if s.kind == 2 or s in above[e.at] else 1) for s in rivals)
         else:
             e.named = False
+        e.classed = e.classed and e.named
 
 
 def _left_out(block: Block, slot: str | None = None) -> bool:
-    """Names on the way to the slot leave nothing out of it."""
+    """Names on the way to the slot leave nothing out of it, nor do ids inside."""
     start = next((i + 1 for i, e in enumerate(block.path) if e.role == slot), 0)
-    return any(e.out for e in block.path) or any(e.named for e in block.path[start:])
+    if any(e.out for e in block.path):
+        return True
+    return any(e.classed if start else e.named for e in block.path[start:])
 
 
 def text_token(block: Block) -> str:
@@ -299,10 +350,14 @@ def main_text(source: str | None, template: Template | None = None) -> str:
     else:
         kept = [b for b in page.blocks if any(e.role == template.article for e in b.path) and not _left_out(b, template.article)]
     if template.texts:
-        kept = [b for b in kept if text_token(b) not in template.texts] or kept
+        kept = [b for b in kept if text_token(b) not in template.texts or _heading(b)] or kept
     return "\n\n".join(b.text for b in kept)
 
 
+def _heading(block: Block) -> bool:
+    return any(e.tag in HEADINGS for e in block.path)
+
+
 # ------------------------------------------------------------------ Spark
 
 TOKEN = pa.struct([("token", pa.string()), *((k, pa.int64()) for k in ("n", "place", "chars", "kind"))])
@@ -318,7 +373,7 @@ def page_contents(pages: DataFrame) -> DataFrame:
     pages without tokens are left out."""
 
     def contents(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             hosts, keys, numbers, flat, ends = [], [], [], [], [0]
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = page_tokens(read_page(source))
@@ -430,6 +485,8 @@ def _template(classes: list | None) -> Template | None:
         return None
     own = next(c for c in classes if any(r["token"] == article for r in c))
     inside = {r["token"]: r["chars"] for r in own if r["kind"] == 5 and within(article, {r["token"]: 1})}
+    if whole[article][0] <= 2:  # what an article says on all pages is its own: recipes share their headings
+        inside = {}
     if 2 * sum(inside.values()) > whole[article][1]:  # near copies again
         inside = {}
     orders = [[r["token"] for r in c] for c in classes]
@@ -445,7 +502,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def extract(batches):
         made: dict[str, Template | None] = {}
-        for batch in batches:
+        for batch in pieces(batches, 3):
             texts = []
             for host, source, classes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 if host not in made:

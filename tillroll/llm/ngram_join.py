@@ -32,9 +32,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.arrow import pieces
 from tillroll.llm.components import components
 from tillroll.llm.tables import drop, written
 from tillroll.llm.words import U, distinct, mix, shingle_sets
@@ -70,7 +72,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             token, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for s in shingle_sets(batch.column(0).to_pylist(), k):
                 held.append(s)
                 size += len(s)
@@ -110,15 +112,15 @@ def _ranks(s: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
 PREFIX_SCHEMA = "doc_id long, n long, rare long, set_key binary, group_key binary, prefix array<long>, keys array<long>"
 
 
-def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, k: int, percent: int, shared: Broadcast) -> DataFrame:
     """One row per document: size, number of shingles that aren't frequent, a
-    128-bit key of the set, one of size and prefix, the prefix, minimum hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+    128-bit key of the set, one of size and prefix, the prefix, minimum hashes.
+    ``shared`` holds the frequent shingles and their ranks."""
     seeds = mix(np.arange(1, 3, dtype=U))
 
     def rows(batches):
         token, rank = shared.value
-        for batch in batches:
+        for batch in pieces(batches, 1):
             out: list[tuple] = []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k), strict=True):
                 ranks = _ranks(s, token, rank)
@@ -141,7 +143,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """``node, shingles`` of the documents named in ``ids(node)``."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
@@ -247,7 +249,9 @@ def cross_pairs(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    found = written(prefixes(docs, k, percent), "prefixes")
+    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+    found = written(prefixes(docs, k, percent, order), "prefixes")
+    order.destroy()
     there = found.where("n > 0 and doc_id is not null")
     one = there.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "rare", "group_key", "prefix", "keys")).alias("m"))
     fields = [F.col(f"m.{c}").alias(c) for c in ("n", "rare", "group_key", "prefix", "keys")]

@@ -3,11 +3,11 @@
 SQL: dict[str, str] = {
     "op7_exact_dedup": r"""
         WITH n AS (
-            SELECT DISTINCT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
         )
-        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id,
+        SELECT DISTINCT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id,
                count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept,
+               doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM n
     """,

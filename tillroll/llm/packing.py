@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.llm.arrow import pieces as pieces_of
 from tillroll.llm.encoding import encoder
 from tillroll.llm.tables import written
 
@@ -47,7 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
 
     def cut(batches):
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.ids(text or "") + end

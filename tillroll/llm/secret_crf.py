@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.arrow import pieces
+from tillroll.llm.memo import Memo
 from tillroll.llm.tables import written
 from tillroll.llm.wordpiece_count import words
 
 SAMPLE_HITS, SAMPLE_CLEAN = 4_000, 4_000
 WINDOWS_PER_DOC = 8
-REACH = 8  # tokens on either side of a training window's middle
-ROUNDS = 80
-#: Distinct tokens a worker remembers before it starts afresh.
-REMEMBERED = 1 << 19
+REACH = 12  # tokens on either side of a training window's middle
+ROUNDS = 150
 OUT, BEGIN, IN = 0, 1, 2
 NEVER = -1e9
 
@@ -155,7 +155,7 @@ def training_windows(text: str) -> list[tuple[list[str], list[int], int, int]]:
     odd = sorted((i for i, t in enumerate(tags) if t == OUT), key=lambda i: (-len(tokens[i]) - 20 * any(map(str.isdigit, tokens[i])), i))
     numbered = sum(any(map(str.isdigit, t)) for t in tokens)
     out = []
-    for i in hits[:WINDOWS_PER_DOC] + odd[:1]:
+    for i in hits[:WINDOWS_PER_DOC] + odd[:2]:
         low, high = max(0, i - REACH), min(len(tokens), i + REACH)
         padded = [tokens[low - 1] if low else "", *tokens[low:high], tokens[high] if high < len(tokens) else ""]
         out.append((padded, tags[low:high], len(tokens), numbered))
@@ -257,7 +257,7 @@ def trained(docs: DataFrame) -> Field | None:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key())
 
     def matches(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2):
             hit = pa.array([bool(base_spans(t or "")) for t in batch.column(2).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hit], ["doc_id", "said", "hit"])
 
@@ -270,7 +270,7 @@ def trained(docs: DataFrame) -> Field | None:
     chosen = some(True, SAMPLE_HITS).union(some(False, SAMPLE_CLEAN))
 
     def windows(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             found = [(d, *w) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in training_windows(t or "")]
             columns = list(zip(*found, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int64())
@@ -287,12 +287,12 @@ def trained(docs: DataFrame) -> Field | None:
 # ------------------------------------------------------------------ decoding
 
 
-class _Scores(dict):
+class _Scores(Memo):
     """token -> row of its scores: its own, to the token after, to the one before.
     Tokens whose features are the same share a row."""
 
     def __init__(self, field: Field) -> None:
-        super().__init__()
+        super().__init__(self.row)
         self.field = field
         self.rows = np.zeros((1 << 10, 3, 3), dtype=np.float32)
         self.by_key: dict[tuple, int] = {}
@@ -312,7 +312,7 @@ class _Scores(dict):
         named = _KEY.match(token)
         return (shape(token), digits, size, kinds, start, word, named[1].lower() if named else None, None)
 
-    def __missing__(self, token: str) -> int:
+    def row(self, token: str) -> int:
         key = self.key(token)
         n = self.by_key.get(key)
         if n is None:
@@ -324,9 +324,6 @@ class _Scores(dict):
                 self.field.score(side_features(token, "before")),
                 self.field.score(side_features(token, "after")),
             ]
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[token] = n
         return n
 
 
@@ -404,7 +401,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     def scan(batches):
         field = shared.value
         tagger = Tagger(field) if field else None
-        for batch in batches:
+        for batch in pieces(batches, 1):
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""

@@ -21,7 +21,7 @@ byte offset, size, ids before) for shuffled reads, ``record_at`` reads one
 record by it.
 
 Defined cases: a null text counts as empty (its end id alone is written); null
-ids come first; rows that repeat an id are ordered by text; an empty table
+ids come first; rows that repeat an id are ordered by their text's hash, then by text; an empty table
 writes no record; other columns are ignored.
 """
 
@@ -35,15 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
+from tillroll.llm.arrow import pieces
 from tillroll.llm.encoding import encoder
-from tillroll.llm.tables import scratch_folder, written
+from tillroll.llm.tables import scratch_folder, small_batches, written
 
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 DOC = struct.Struct("<Bq")
 NULL_ID, NARROW = 1, 2
-#: A file has at most this many records, so that it can be read in one piece.
-RECORDS_PER_FILE = 20_000
+#: Records are written in blocks of about this many bytes (one longer record is
+#: a block), a file holds at most so many blocks: it can be read in one piece.
+BLOCK_BYTES, BLOCKS_PER_FILE = 4 << 20, 8
 
 
 def masked(data: bytes) -> int:
@@ -77,8 +81,12 @@ def frames(data: bytes):
 
 def serialized(doc_id: int | None, ids: bytes, narrow: bool) -> bytes:
     flags = NULL_ID * (doc_id is None) | NARROW * narrow
-    body = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if narrow else ids
-    return DOC.pack(flags, doc_id or 0) + body
+    if narrow:
+        wide = np.frombuffer(ids, dtype="<u4")
+        if len(wide) and wide.max() >= 1 << 16:
+            raise OverflowError(f"id {wide.max()} doesn't fit two bytes")
+        ids = wide.astype("<u2").tobytes()
+    return DOC.pack(flags, doc_id or 0) + ids
 
 
 def parsed(payload: bytes) -> tuple[int | None, bytes]:
@@ -89,30 +97,49 @@ def parsed(payload: bytes) -> tuple[int | None, bytes]:
     return (None if flags & NULL_ID else doc), ids
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, narrow: bool = True) -> None:
+def fits_two_bytes(tokenizer_path: str, end_id: int) -> bool:
+    return max(Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 > end_id
+
+
+def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, narrow: bool | None = None) -> None:
     """Encode every document, add the end id and write the record files.
 
-    ``narrow`` (ids below 65536) halves the files.
+    ``narrow`` halves the files; where it isn't given, the vocabulary's largest
+    id decides.  An id that doesn't fit stops the job.
     """
     end = int(end_id).to_bytes(4, "little")
+    if narrow is None:
+        narrow = fits_two_bytes(tokenizer_path, end_id)
 
-    def records(batches):
-        enc = encoder(tokenizer_path)
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            out = [framed(serialized(doc, enc.ids(text or "") + end, narrow)) for doc, text in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+    def block(records: list[bytes]) -> pa.RecordBatch:
+        # the newline that closes the last record is the writer's line end
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(records)[:-1]], pa.binary())], ["block"])
 
+    def blocks(batches):
+        enc = encoder(tokenizer_path)
+        held, size = [], 0
+        for batch in pieces(batches, 1):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                record = framed(serialized(doc, enc.ids(text or "") + end, narrow))
+                if held and size + len(record) > BLOCK_BYTES:
+                    yield block(held)
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield block(held)
+
+    # rows of one id may be many: they are spread by their texts' hash
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
-    # the newline that closes a record is the writer's line end
-    lines = ordered.mapInArrow(records, "record binary").select(
-        F.expr("cast(substring(record, 1, length(record) - 1) as string) as value")
+        .withColumn("said", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "said")
+        .sortWithinPartitions("doc_id", "said", "text")
+        .select("doc_id", "text")
     )
-    lines.write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines = ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value"))
+    with small_batches(docs.sparkSession):
+        lines.write.option("maxRecordsPerFile", BLOCKS_PER_FILE).text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -150,11 +177,15 @@ def offset_index(records: DataFrame) -> DataFrame:
     return records.join(totals, ["part", "number"]).withColumn("start", F.col("_before") + F.col("local_start")).drop("_before", "ids")
 
 
-def record_at(path: str, offset: int, size: int) -> tuple[int | None, list[int]]:
-    """One record by its index entry, from a file that this machine can open."""
-    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
-        f.seek(offset)
-        ((_, _, payload),) = frames(f.read(size))
+def record_at(spark: SparkSession, file: str, offset: int, size: int) -> tuple[int | None, list[int]]:
+    """One record by its index entry, read through Spark's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        stream.seek(offset)
+        ((_, _, payload),) = frames(bytes(stream.readNBytes(size)))
+    finally:
+        stream.close()
     doc, ids = parsed(payload)
     return doc, np.frombuffer(ids, dtype="<u4").tolist()
 

@@ -12,7 +12,7 @@ the sample itself: how many of a text's words carry a feature far more common
 in toxic rows, cut at the thirds (1 mild, 2 strong, 3 severe); 0 is not toxic.
 
 The model is fitted on at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN``
-other labelled rows (those of smallest id hash, equal ones once); scoring reads every text once
+other labelled rows (an id and text each, those of smallest id hash); scoring reads every text once
 and shuffles nothing.
 
 Defined cases: a null or empty text has no features and the lowest severity of
@@ -32,6 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.arrow import pieces
+from tillroll.llm.memo import Memo
+from tillroll.llm.tables import written
+
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 4_000
 SIZE = 1 << 18
 GRADES = 3
@@ -43,7 +47,6 @@ TELLING = 0.7
 #: over the sample's size.
 PENALTY = 1.0
 ROUNDS = 200
-REMEMBERED = 1 << 19
 _EDGE = ".,;:!?\"'()[]{}|<>*_-"
 
 
@@ -83,20 +86,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, int]]:
     """(features, toxic) of the bounded sample."""
-    rated = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    rated = rated.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    rated = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    said = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("said")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", said)
+    # a row each id and text, so that an id with very many rows stays within the bound
+    rated = written(docs.select("doc_id", "said").distinct().join(rated, "doc_id"), "rated")
 
     def some(toxic: int, n: int) -> DataFrame:
-        return rated.where(F.col("_toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        return rated.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id", "said").limit(n)
 
-    sample = F.broadcast(some(1, SAMPLE_TOXIC).union(some(0, SAMPLE_CLEAN)))  # at most 6,000 ids
+    sample = F.broadcast(some(1, SAMPLE_TOXIC).union(some(0, SAMPLE_CLEAN)))  # at most 6,000 rows
 
     def encode(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             found = [text_features(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "x"])
 
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select(F.col("doc_id").cast("long"), "text", F.col("_toxic").cast("long"))
+    rows = docs.join(sample, ["doc_id", "said"]).dropDuplicates(["doc_id", "said"]).select("doc_id", "text", F.col("toxic").cast("long"))
     rows = rows.mapInArrow(encode, "doc_id long, toxic long, x binary").orderBy("doc_id", "x").toArrow()
     once = dict(zip(rows.column("x").to_pylist(), rows.column("toxic").to_pylist(), strict=True))  # copies tell nothing more
     return [(np.frombuffer(x, dtype=np.int32).reshape(2, -1), toxic) for x, toxic in once.items()]
@@ -198,19 +204,15 @@ def least_wrong(score: np.ndarray, toxic: np.ndarray) -> float:
     return float((edge[best] + edge[best + 1]) / 2)
 
 
-class _Weights(dict):
-    """token -> (features that weigh anything); kept within a bound."""
+class _Weights(Memo):
+    """token -> (features that weigh anything)."""
 
     def __init__(self, weights: np.ndarray) -> None:
-        super().__init__()
+        super().__init__(self.of)
         self.weights = weights
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        found = tuple(f for f in features(token) if self.weights[f])
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[token] = found
-        return found
+    def of(self, token: str) -> tuple[int, ...]:
+        return tuple(f for f in features(token) if self.weights[f])
 
 
 def text_score(text: str | None, known: _Weights) -> float:
@@ -221,19 +223,22 @@ def text_score(text: str | None, known: _Weights) -> float:
     return float(sum(known.weights[f] * np.log1p(n) for f, n in sorted(counts.items())))
 
 
-def with_severity(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns, then ``_severity`` (expected grade), ``_grade`` (0, or the
-    most likely one of a toxic text) and ``_toxic`` (the score reaches the cut
-    that was least often wrong on the sample); columns of those names are
-    replaced."""
+NAMES = ("_severity", "_grade", "_toxic")
+
+
+def with_severity(docs: DataFrame, model: Model, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """All columns, then three named ``names``: the expected grade, the grade (0,
+    or the most likely one of a toxic text) and whether the text is toxic (the
+    score reaches the cut that was least often wrong on the sample); columns of
+    those names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("_severity", "_grade", "_toxic")
-    schema = docs.withColumns({"_severity": F.lit(0.0), "_grade": F.lit(0), "_toxic": F.lit(False)}).schema
+    docs = docs.drop(*names)
+    schema = docs.withColumns(dict(zip(names, (F.lit(0.0), F.lit(0), F.lit(False)), strict=True))).schema
 
     def score(batches):
         fitted = shared.value
         known = _Weights(fitted.weights)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             scores = np.array([text_score(t, known) for t in texts], dtype=np.float64)
             reach, toxic = fitted.reach(scores), scores >= fitted.cut
@@ -241,12 +246,12 @@ def with_severity(docs: DataFrame, model: Model) -> DataFrame:
             likely = 1 + np.argmax(above[:, :-1] - above[:, 1:], axis=1)
             grade = np.where(toxic, likely, 0).astype(np.int32)
             out = [*batch.columns, pa.array(reach.sum(axis=1)), pa.array(grade), pa.array(toxic)]
-            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, "_severity", "_grade", "_toxic"])
+            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, *names])
 
     return docs.mapInArrow(score, schema)
 
 
-def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def severity(docs: DataFrame, labels: DataFrame, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """``docs`` with the three columns of ``with_severity``, the model fitted on
     the labelled ones."""
-    return with_severity(docs, fit(training_rows(docs, labels)))
+    return with_severity(docs, fit(training_rows(docs, labels)), names)

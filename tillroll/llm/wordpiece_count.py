@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words a worker remembers before it forgets those not used lately.
-REMEMBERED = 1 << 19
+from tillroll.llm.arrow import pieces
+from tillroll.llm.memo import Memo
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -41,12 +41,11 @@ def vocabulary(path: str) -> list[bytes]:
     return [bytes(shown[c] for c in token) for token in model["model"]["vocab"] if token not in special]
 
 
-class Automaton(dict):
+class Automaton(Memo):
     """word -> number of pieces."""
 
     def __init__(self, entries: list[bytes]) -> None:
-        super().__init__()
-        self.older: dict[str, int] = {}
+        super().__init__(self.word)
         # node 0 is the root; step[node] maps a byte to the next node
         self.step: list[dict[int, int]] = [{}]
         ends = [False]
@@ -91,15 +90,8 @@ class Automaton(dict):
             node = fail[node]
         return count
 
-    def __missing__(self, word: str) -> int:
-        n = self.older.get(word)
-        if n is None:
-            n = self.pieces(b" " + word.encode("utf-8", "surrogatepass"))
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[word] = n
-        return n
+    def word(self, word: str) -> int:
+        return self.pieces(b" " + word.encode("utf-8", "surrogatepass"))
 
 
 _automata: dict[str, Automaton] = {}
@@ -122,7 +114,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def count(batches):
         known = automaton(vocabulary_path)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             listed = [words(t) for t in batch.column(1).to_pylist()]
             sums = [sum(map(known.__getitem__, w)) for w in listed]
             columns = [batch.column(0), pa.array([len(w) for w in listed], pa.int64()), pa.array(sums, pa.int64())]

@@ -30,18 +30,18 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Every ASCII character but letters and digits parts words.
 PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_powers: dict[int, np.ndarray] = {}
+#: Bytes whose terms are summed together, whatever the length of the text.
+BLOCK = 1 << 17
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` mod 2**64, kept and grown on demand."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        out = np.full(size, base, dtype=U)
-        out[0] = 1
-        have = _powers[base] = np.multiply.accumulate(out)
-    return have[:n]
+def _power(base: int) -> np.ndarray:
+    """``base ** 0 .. base ** (BLOCK - 1)`` mod 2**64."""
+    out = np.full(BLOCK, base, dtype=U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWER, _BACK = _power(BASE), _power(_INVERSE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,9 +61,18 @@ def word_spans(data: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray
 
 
 def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_CODE[data] * _power(BASE, len(data)), out=total[1:])
-    return mix((total[end] - total[start]) * _power(_INVERSE, len(data))[start] + (end - start).astype(U))
+    out = np.zeros(len(start), dtype=U)
+    for low in range(0, len(data), BLOCK):
+        block = data[low : low + BLOCK]
+        total = np.zeros(len(block) + 1, dtype=U)
+        np.cumsum(_CODE[block] * _POWER[: len(block)], out=total[1:])
+        i, j = np.searchsorted(end, low, side="right"), np.searchsorted(start, low + len(block))
+        here = np.maximum(start[i:j] - low, 0)
+        part = (total[np.minimum(end[i:j] - low, len(block))] - total[here]) * _BACK[here]
+        if i < j and start[i] < low:  # a word that began in an earlier block
+            part[:1] *= U(pow(BASE, int(low - start[i]), 1 << 64))
+        out[i:j] += part
+    return mix(out + (end - start).astype(U))
 
 
 def word_hashes(text: str) -> np.ndarray:
