@@ -51,8 +51,12 @@ def _byte_letters() -> dict[int, str]:
 _SHOWN = _byte_letters()
 
 
+_SPACE = _SHOWN[32]
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -73,7 +77,9 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """Ids of one pre-token of a Latin-1 text."""
-        if not (piece.isascii() and piece.isalpha()):
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            piece = _SPACE + piece[1:]
+        elif not (piece.isascii() and piece.isalpha()):
             piece = piece.encode("utf-8").decode("latin-1").translate(_SHOWN)
         return _packed([t.id for t in self.model.tokenize(piece)])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from typing import Any
 
 #: Bytes held at most, in two generations of half as many.
-BYTES = 64 << 20
+BYTES = 96 << 20
 #: Longer keys are worked out each time: they seldom come back.
 LONGEST = 64
 #: What an entry takes beside its key and value.
