@@ -117,6 +117,20 @@ def test_every_choice_of_columns_has_the_same_lines(spark, orphans):
         assert r[0] == total and r[1] == n
 
 
+@pytest.mark.parametrize("name", ["category_revenue", "daily_metrics", "kpi_summary", "sales_fact", "product_performance", "tier_revenue", "rfm_base", "dim_products"])
+def test_twins_keep_orphan_lines_too(spark, orphans, name):
+    import duckdb
+    from test_oracle import rows_of
+
+    from tillroll.plans.oracle import SQL
+
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "customer", "nation", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{orphans}/{t}.parquet'")
+    got, want = QUERIES[name](spark, orphans), con.execute(SQL[name])
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of([c[0] for c in want.description], want.fetchall())
+
+
 # ------------------------------------------------------------------ stream
 
 

@@ -87,13 +87,13 @@ def fact(*cols: str) -> str:
         need.add("orders")
     src = "lineitem"
     if "orders" in need:
-        src += " JOIN orders ON l_orderkey = o_orderkey"
+        src += " LEFT JOIN orders ON l_orderkey = o_orderkey"
     if "customer" in need:
-        src += " JOIN customer ON o_custkey = c_custkey"
+        src += " LEFT JOIN customer ON o_custkey = c_custkey"
     if "nation" in need:
-        src += " JOIN nation ON c_nationkey = n_nationkey"
+        src += " LEFT JOIN nation ON c_nationkey = n_nationkey"
     if "part" in need:
-        src += " JOIN part ON l_partkey = p_partkey"
+        src += " LEFT JOIN part ON l_partkey = p_partkey"
     sel = ", ".join(f"{_FX[c][1]} AS {c}" for c in cols)
     return f"(SELECT {sel} FROM {src})"
 

@@ -21,9 +21,8 @@ One fact row is one order line.  Reference column -> fixture expression:
     acctbal        c_acctbal
 
 Only the tables that the requested columns need are joined, so a roll-up by
-category never touches ``orders`` or ``customer``.  With the fixture's
-referential integrity (every line has its order and part, every order its
-customer, every customer its nation) this equals the five-way inner join.
+category never touches ``orders`` or ``customer``.  They are left joins: a line
+whose order, customer, nation or part is missing stays, with nulls there.
 Joins are plain equi-joins: Spark picks broadcast for the fixed-size nation
 table from its file statistics, and AQE re-plans the others from measured
 shuffle sizes, so no side is broadcast without a size check.
