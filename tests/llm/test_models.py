@@ -1,13 +1,15 @@
 """Toxicity and secret scans: held-out accuracy, exact decoding, patterns."""
 
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cases import SF01, docs_of, no_docs, odd_docs  # noqa: F401
+from cases import SF001, SF01, docs_of, no_docs, odd_docs  # noqa: F401
 from tillroll.llm import queries, secret_crf, toxicity
 
 
@@ -211,3 +213,29 @@ def test_training_rows_are_bounded_whatever_the_ids(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1, int(i <= 20)) for i in range(1, 40)], "doc_id long, quality int, toxic int")
     found = toxicity.training_rows(docs_of(spark, rows), labels)
     assert len(found) == 10 and sum(t for _, t in found) == 5
+
+
+def test_severity_equals_the_stated_formula(spark):
+    """Every document scored again, word by word, from the model's numbers."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, spark.read.parquet(f"{SF001}/labels.parquet")))
+    got = {r.doc_id: r for r in toxicity.with_severity(docs, model).collect()}
+    assert len(got) == 200 and list(model.thresholds) == sorted(model.thresholds)
+    for doc, text in docs.collect():
+        counts = {}
+        for token in (text or "").lower().split():
+            word = token.strip(toxicity._EDGE)
+            for kind, part in [(0, word), (1, word[:4]), (2, word[:5]), (3, word[:6])]:
+                if word and (kind == 0 or len(word) >= kind + 3):
+                    f = zlib.crc32(f"{kind} {part}".encode()) % (toxicity.SIZE // 4) * 4 + kind
+                    counts[f] = counts.get(f, 0) + 1
+        score = sum(float(model.weights[f]) * math.log1p(n) for f, n in counts.items())
+        reach = [1 / (1 + math.exp(min(700, t - score))) for t in model.thresholds]
+        row = got[doc]
+        assert abs(row._severity - sum(reach)) < 1e-4
+        if abs(score - model.cut) > 1e-3:
+            assert row._toxic == (score >= model.cut)
+        likely = [a - b for a, b in zip(reach, [*reach[1:], 0], strict=True)]
+        if row._toxic and sorted(likely)[-1] - sorted(likely)[-2] > 1e-4:
+            assert row._grade == 1 + likely.index(max(likely))
+        assert row._toxic or row._grade == 0
