@@ -22,7 +22,6 @@ import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.operators import boosting as BO
+from tillroll.operators import clustering as CL
 from tillroll.operators import forecast as FC
 
 SEED = 42
@@ -333,23 +333,10 @@ def _scaled(base: DataFrame) -> DataFrame:
     return scaler.transform(assembled)
 
 
-def kmeans_segments(base: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS):
-    """Best of ``restarts`` K-means fits (lowest cost); clusters relabelled
-    0..k-1 by descending mean monetary.  Returns (segments, cost)."""
-    data = sized(_scaled(materialized(base)), ["customer_id"]).sortWithinPartitions("customer_id").cache()
-
-    def run(s):
-        model = KMeans(k=k, seed=SEED + s, maxIter=KMEANS_ROUNDS, featuresCol="features", predictionCol="cluster").fit(data)
-        return model.summary.trainingCost, s, model
-
-    fits = in_parallel([lambda s=s: run(s) for s in range(restarts)])
-    cost, _, model = min(fits, key=lambda f: (f[0], f[1]))  # ties: lowest seed
-    pred = model.transform(data).select("customer_id", "cluster", *RFM_FEATURES)
-    rank = pred.groupBy("cluster").agg(F.avg("monetary").alias("_m"))
-    w = Window.orderBy(F.desc("_m"), "cluster")  # k rows
-    relabel = rank.select("cluster", (F.row_number().over(w) - 1).cast("int").alias("segment"))
-    seg = pred.join(F.broadcast(relabel), "cluster").drop("cluster")
-    return seg, float(cost)
+def kmeans_segments(base: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS) -> CL.Fit:
+    """Best of ``restarts`` exact K-means fits (``clustering``); segments 0..k-1
+    by descending mean monetary."""
+    return CL.kmeans(materialized(base), k, restarts, KMEANS_ROUNDS, SEED)
 
 
 def kmeans_profiles(seg: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import basket as B
+from tillroll.operators import clustering as CL
 from tillroll.operators import features as FE
 from tillroll.operators import forecast as FC
 from tillroll.operators import inventory as INV
@@ -146,7 +147,7 @@ def _export_views(spark, d) -> dict[str, DataFrame]:
     seg = R.rfm_segments(R.rfm_scores(R.rfm_base(None, orders)))
     daily = K.revenue_by(orders, ["date"])
     forecast, _ = ML.revenue_forecast(daily)
-    clusters, _ = _kmeans(spark, d)
+    clusters = _kmeans(spark, d).segments
     return {
         # first export set
         "dim_products": K.dim_products(fact(spark, d, "product", "category")),
@@ -671,12 +672,18 @@ def _kmeans(spark, d):
 
 @query
 def kmeans_segments(spark, d):
-    return _kmeans(spark, d)[0]
+    return _kmeans(spark, d).segments
+
+
+@query
+def kmeans_first_step(spark, d):
+    """One exact K-means step from hashed start points: clusters, moved centres."""
+    return CL.first_step(ML.materialized(_rfm_base(spark, d)), ML.KMEANS_K, ML.SEED)
 
 
 @query
 def kmeans_profiles(spark, d):
-    return ML.kmeans_profiles(_kmeans(spark, d)[0])
+    return ML.kmeans_profiles(_kmeans(spark, d).segments)
 
 
 @query
@@ -744,14 +751,29 @@ def model_checks(spark, d):
     forecast, comps = _forecast(spark, d)
     off = F.abs(F.col("trend") + F.col("yearly") + F.col("weekly") - F.col("yhat")) > 1e-6 * F.greatest(F.lit(1.0), F.abs("yhat"))
     outside = (F.col("yhat") < F.col("yhat_lower")) | (F.col("yhat") > F.col("yhat_upper"))
-    clusters, _ = _kmeans(spark, d)
+    fit = _kmeans(spark, d)
+    clusters, far = fit.segments, F.lit(False)
+    for p in fit.centres:  # a customer nearer to another segment's centre
+        far = far | (sum(((F.col(z) - v) * (F.col(z) - v) for z, v in zip(CL.GRID, p)), F.lit(0)) < F.col("distance"))
+    means = fit.assigned.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *(F.sum(z).alias(z) for z in CL.GRID))
+    off_mean = F.lit(False)
+    for i, p in enumerate(fit.centres):  # a centre that isn't the floor of its customers' mean
+        for z, v in zip(CL.GRID, p):
+            off_mean = off_mean | ((F.col("segment") == i) & (F.expr(f"({z} - pmod({z}, n)) div n") != v))
+    axes = rfm_pca(spark, d)
+    both = F.abs(F.covar_samp("pc1", "pc2")) / F.var_samp("pc1")
     parts += [
         rows("forecast", forecast, ("future", bad(F.col("is_future"))), ("actual", F.sum("actual")), ("outside", bad(outside)),
              ("last_day", F.datediff(F.max("date"), F.lit("1970-01-01").cast("date")))),
         rows("components", comps, ("off", bad(off))),
         rows("actual_vs_forecast", actual_vs_forecast(spark, d)),
         rows("clusters", clusters, ("frequency", F.sum("frequency")), ("segments", F.countDistinct("segment"))),
-        rows("pca", rfm_pca(spark, d)),
+        rows("clusters_fit", fit.assigned, ("far", bad(far))),
+        rows("clusters_means", means, ("off", bad(off_mean))),
+        # uncorrelated axes around 0, the first with the larger spread
+        rows("pca", axes, ("correlated", F.when(both > 1e-9, 1).otherwise(0)),
+             ("off_centre", F.when(F.greatest(F.abs(F.avg("pc1")), F.abs(F.avg("pc2"))) > 1e-9, 1).otherwise(0)),
+             ("disordered", F.when(F.var_samp("pc2") > F.var_samp("pc1"), 1).otherwise(0))),
         rows("forecast_results", forecast_results(spark, d), ("actual", F.sum("actual"))),
     ]
     return _checks(parts)

@@ -659,7 +659,14 @@ _CHECKS |= {
     "clusters_rows": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
     "clusters_frequency": f"WITH {RFM_BASE} SELECT SUM(frequency) FROM base",
     "clusters_segments": "SELECT 4",
+    "clusters_fit_rows": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
+    "clusters_fit_far": "SELECT 0",
+    "clusters_means_rows": "SELECT 4",
+    "clusters_means_off": "SELECT 0",
     "pca_rows": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
+    "pca_correlated": "SELECT 0",
+    "pca_off_centre": "SELECT 0",
+    "pca_disordered": "SELECT 0",
     "forecast_results_rows": f"WITH {DEMAND_TEST} SELECT LEAST(COUNT(*), 100) FROM test",
     "forecast_results_actual": f"""WITH {DEMAND_TEST},
         t AS (SELECT units FROM test ORDER BY date, product, category LIMIT 100) SELECT SUM(units) FROM t""",
@@ -684,6 +691,33 @@ for _name, _checks in (("model_checks", _CHECKS), ("tuned_model_checks", _TUNED_
     q(_name, "\nUNION ALL\n".join(
         f"SELECT '{name}' AS \"check\", CAST(({sql}) AS DOUBLE) AS value" for name, sql in _checks.items()))
 
+# ------------------------------------------------------------------ one K-means step, in whole numbers
+
+_FEATS = ("recency", "frequency", "monetary", "avg_order_value")
+
+
+def _grid(j: int) -> str:
+    s, ss = f"CAST(s{j} AS DOUBLE)", f"CAST(q{j} AS DOUBLE)"
+    spread = f"GREATEST({ss} - {s} * {s} / n, {D(0.0)}) / (n - 1)"
+    return f"CASE WHEN {spread} > 0 THEN CAST(floor((CAST(x{j} AS DOUBLE) - {s} / n) / sqrt({spread}) * {D(4096.0)}) AS BIGINT) ELSE 0 END AS z{j}"
+
+
+_DIST = " + ".join(f"(p.z{j} - c.z{j}) * (p.z{j} - c.z{j})" for j in range(4))
+q("kmeans_first_step", f"""WITH {RFM_BASE},
+whole AS (SELECT customer_id, CAST(recency AS BIGINT) AS x0, CAST(frequency AS BIGINT) AS x1,
+                 CAST(CAST(monetary_dec AS DECIMAL(28,4)) * 10000 AS BIGINT) AS x2 FROM base),
+x AS (SELECT *, x2 // x1 AS x3 FROM whole),
+st AS (SELECT COUNT(*) AS n, {', '.join(f"SUM(CAST(x{j} AS HUGEINT)) AS s{j}, SUM(CAST(x{j} AS HUGEINT) * x{j}) AS q{j}" for j in range(4))} FROM x),
+p AS (SELECT customer_id, {', '.join(_grid(j) for j in range(4))} FROM x, st),
+c AS (SELECT z0, z1, z2, z3, ROW_NUMBER() OVER (ORDER BY md5(concat_ws('|', '42', customer_id)), customer_id) - 1 AS cluster
+      FROM p QUALIFY cluster < 4),
+near AS (SELECT p.*, c.cluster, {_DIST} AS distance FROM p, c
+         QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY {_DIST}, c.cluster) = 1)
+SELECT CAST(cluster AS INTEGER) AS cluster, COUNT(*) AS customers,
+  {', '.join(f"CAST((SUM(z{j}) - ((SUM(z{j}) % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*) AS BIGINT) AS {f}" for j, f in enumerate(_FEATS))},
+  CAST(SUM(distance) AS BIGINT) AS distance
+FROM near GROUP BY cluster""")
+
 # ------------------------------------------------------------------ export manifest
 
 _MANIFEST_VIEWS = {
