@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import exprs as X
 from tillroll.functions.ranking import (
-    QUARTILES, exact_quantiles, global_position, histogram_quantiles, qcut_score,
+    QUARTILES, exact_quantiles, global_position, order_statistics, qcut_score, value_histogram,
 )
 from tillroll.operators import basket as B
 from tillroll.operators import features as FE
@@ -27,24 +27,40 @@ def day(i):
 
 def test_qcut_n6_not_ntile(spark):
     df = spark.createDataFrame([(float(v),) for v in range(1, 7)], "x double").repartition(3)
-    q = exact_quantiles(df, "x", QUARTILES).first()
-    scored = df.crossJoin(spark.createDataFrame([tuple(q)], "q0 double, q1 double, q2 double")).select(
-        "x", qcut_score(F.col("x"), F.col("q0"), F.col("q1"), F.col("q2")).alias("s"))
+    q = exact_quantiles(df, "x", QUARTILES)[None]
+    scored = df.select("x", qcut_score(F.col("x"), *map(F.lit, q)).alias("s"))
     assert [r.s for r in scored.orderBy("x").collect()] == ["1", "1", "2", "3", "4", "4"]
 
 
-def test_histogram_quantiles_match_exact(spark):
-    df = spark.createDataFrame([(v,) for v in [1, 1, 2, 5, 5, 5, 9, 12, 12, 40]], "x int")
-    a = histogram_quantiles(df, "x", QUARTILES).first()
-    b = exact_quantiles(df, "x", QUARTILES).first()
-    assert tuple(a) == tuple(b)
-    # numpy linear interpolation on the sorted list
-    xs = sorted([1, 1, 2, 5, 5, 5, 9, 12, 12, 40])
-    for p, v in zip(QUARTILES, a):
-        h = (len(xs) - 1) * p
-        lo = math.floor(h)
-        exp = xs[lo] + (h - lo) * (xs[min(lo + 1, len(xs) - 1)] - xs[lo])
-        assert v == pytest.approx(exp)
+def test_quantiles_of_a_histogram_and_of_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    xs = {"a": [1, 1, 2, 5, 5, 5, 9, 12, 12, 40], "b": list(rng.lognormal(3, 4, 2000)) + [7.25] * 900,
+          "c": [-1e308, 1e308, 5e-324, -0.0, 0.0, 1e-300], "d": [3.5], "e": [2.0] * 50}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in xs.items() for v in vs] + [("a", None), ("f", None)], "g string, x double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    rows = exact_quantiles(df.repartition(7), "x", probs, "g")
+    hist = exact_quantiles(value_histogram(df, "x", ["g"]), "x", probs, "g", "n")
+    assert rows == hist and set(rows) == set(xs)
+    for g, vs in xs.items():
+        vs = sorted(vs)
+        for q, got in zip(probs, rows[g]):
+            h = (len(vs) - 1) * q
+            lo = math.floor(h)
+            assert got == vs[lo] + (vs[min(lo + 1, len(vs) - 1)] - vs[lo]) * (h - lo)
+
+
+def test_order_statistics_are_the_sorted_values(spark):
+    import random
+
+    rng = random.Random(8)
+    vs = sorted(rng.choice([rng.gauss(0, 1), rng.gauss(1e9, 1e-3), 42.0]) for _ in range(3000))
+    df = spark.createDataFrame([(v,) for v in vs], "x double").repartition(5)
+    n, at = order_statistics(df, "x", lambda n: range(1, n + 1, 37))[order_statistics.__globals__["_WHOLE"]]
+    assert n == 3000 and at == {p: vs[p - 1] for p in range(1, 3001, 37)}
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double")
+    assert order_statistics(odd, "x", lambda n: [1]) == {}
 
 
 def test_global_position_is_total_and_distributed(spark):
@@ -241,18 +257,6 @@ def test_top_k_prefilter_exact(spark):
     assert got == exp
 
 
-def test_fma_single_rounding(spark):
-    import random
-
-    from tillroll.functions.exprs import fma
-
-    random.seed(3)
-    rows = [(random.uniform(1, 1e5), random.random(), random.uniform(0, 1e5)) for _ in range(500)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    got = [r[0] for r in df.select(fma(F.col("a"), F.col("b"), F.col("c"))).collect()]
-    assert got == [math.fma(a, b, c) for a, b, c in rows]
-
-
 def test_smallest_keys_prefilter_exact(spark):
     from tillroll.functions.ranking import smallest_keys
 

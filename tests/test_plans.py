@@ -35,7 +35,7 @@ ONE_LINEITEM_SCAN = [
     "daily_revenue", "category_revenue", "tier_revenue", "daily_metrics", "weekday_pattern", "holiday_sales",
     "rfm_base", "customer_clv", "basket_pairs", "association_rules", "reorder_points_daily",
     "economic_order_quantity", "calendar_fill", "future_calendar", "trend_line", "lag_features_top5",
-    "sales_fact", "daily_features", "product_performance",
+    "sales_fact", "daily_features", "product_performance", "customer_first_attributes", "rfm_with_attributes",
 ]
 
 
@@ -68,3 +68,26 @@ def test_no_python_evaluation_anywhere(spark):
                  "column_statistics", "seasonal_regressors", "customer_first_attributes"):
         p = plan(spark, name)
         assert "EvalPython" not in p and "PythonUDF" not in p and "MapInPandas" not in p, name
+
+
+def exchanges(p):
+    return len(re.findall(r"(?<!Reused)Exchange (?:hash|range)partitioning|(?<!Reused)Exchange SinglePartition", p))
+
+
+@pytest.mark.parametrize("name", ["column_statistics", "rfm_scores", "dim_customers"])
+def test_cut_points_are_counted_not_sorted(large, name):
+    """What is left to run after the counting passes."""
+    p = plan(large, name)
+    assert exchanges(p) < 8 and scans(p, "lineitem") == 0
+
+
+@pytest.mark.parametrize("name, tables", [("column_statistics", {"lineitem": 1}), ("rfm_scores", {"lineitem": 1})])
+def test_one_lineitem_scan_over_all_jobs(large, name, tables):
+    """The passes read materialised rows: of all jobs a query starts one scans the lines."""
+    listed = []
+    real = type(large.read).parquet
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(large.read), "parquet", lambda self, *a, **k: (listed.append(a[0]), real(self, *a, **k))[1])
+        QUERIES[name](large, SF001).collect()
+    for t, n in tables.items():
+        assert sum(f"/{t}.parquet" in p for p in listed) == n

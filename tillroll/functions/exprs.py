@@ -92,27 +92,3 @@ def std6(c: Column) -> Column:
 
 def round6(c: Column) -> Column:
     return F.round(c, STD_DIGITS)
-
-
-_SPLIT = 134217729.0  # 2**27 + 1, Dekker's splitting constant
-
-
-def _split(x: Column) -> tuple[Column, Column]:
-    t = F.lit(_SPLIT) * x
-    hi = t - (t - x)
-    return hi, x - hi
-
-
-def fma(a: Column, b: Column, c: Column) -> Column:
-    """``a * b + c`` with a single rounding (fused multiply-add), in plain
-    double arithmetic: Dekker's exact product and Knuth's exact sum, then one
-    final addition.  Used for interpolated quantiles so that they round like
-    DuckDB's ``quantile_cont`` (compiled with a fused multiply-add)."""
-    p = a * b
-    ah, al = _split(a)
-    bh, bl = _split(b)
-    e = ((ah * bh - p) + ah * bl + al * bh) + al * bl  # a * b = p + e exactly
-    s = p + c
-    bb = s - p
-    t = (p - (s - bb)) + (c - bb)  # p + c = s + t exactly
-    return s + (t + e)

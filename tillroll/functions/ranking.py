@@ -13,21 +13,18 @@ Only the per-partition counts (one row per partition, a proven bound) travel
 through a single task and are broadcast.
 
 ``exact_quantiles`` reads the two order statistics around each requested
-position (linear interpolation, like pandas/NumPy ``quantile`` and DuckDB
-``quantile_cont``).  It first combines equal values map-side (a histogram:
-a column of quantities or days shrinks to a few dozen rows per task), then
-ranks the distinct values the same distributed way, with counts as
-weights.
+position (linear interpolation) by counting passes over narrowing ranges of
+values: nothing is sorted and only counts are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import fma
 from tillroll.session import checkpoint_dir
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -76,99 +73,92 @@ def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "p
     )
 
 
-def _interp(probs: Sequence[float], n: Column) -> list[tuple[Column, Column]]:
-    """1-based (lower position, fraction) for each probability, n = count."""
-    out = []
-    for p in probs:
-        h = (n - 1).cast("double") * F.lit(float(p))
-        lo = F.floor(h)
-        out.append((lo.cast("long") + 1, h - lo))
-    return out
+BINS = 1024           # counted ranges of values a pass
+_WHOLE = "_tr_whole"  # the group's name where there is none
 
 
-def _targets(n_frame: DataFrame, probs: Sequence[float], group: Sequence[str]) -> DataFrame:
-    """Per group and probability: index, lower 1-based position, fraction."""
-    parts = []
-    for i, (lo, frac) in enumerate(_interp(probs, F.col("_n"))):
-        parts.append(n_frame.select(*group, F.lit(i).alias("_i"), lo.alias("_lo"), frac.alias("_f")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def value_histogram(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """Distinct values with their counts ``(*group, value, n)``, materialised.
 
+    Equal values are combined map-side; the frame is written to the reliable
+    checkpoint folder, so ``df`` is evaluated once however many passes follow.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
 
-def value_ranges(df: DataFrame, value: str, group: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
-    """Distinct values with the 1-based range of positions they occupy.
 
-    ``(*group, _v, _c, _from, _to)``: value, count, first and last position in
-    the sorted column (per group).  Duplicates are combined map-side first (a
-    histogram), the distinct values are range-partitioned on (group, value)
-    and sorted, and the running count is the per-partition running sum plus
-    the total of the earlier partitions of the same group (one row per
-    partition and group).  Nothing passes through a single task except those
-    per-partition totals.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    group = list(group)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")) \
-        .agg(F.count(F.lit(1)).alias("_c"))
-    ranked = (
-        _range_partition(hist, [*group, "_v"], num_partitions).sortWithinPartitions(*group, "_v")
-        .withColumn("_tr_pid", F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
-    tot = ranked.groupBy(*group, "_tr_pid").agg(F.sum("_c").alias("_tr_n"))
-    before = Window.partitionBy(*group).orderBy("_tr_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(*group, "_tr_pid", F.coalesce(F.sum("_tr_n").over(before), F.lit(0)).alias("_tr_off"))
-    run = F.sum("_c").over(Window.partitionBy("_tr_pid", *group).orderBy("_v")
-                           .rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("_run", run).join(F.broadcast(offsets), [*group, "_tr_pid"]).select(
-        *group, "_v", "_c", (F.col("_tr_off") + F.col("_run") - F.col("_c") + 1).alias("_from"),
-        (F.col("_tr_off") + F.col("_run")).alias("_to"))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], key: Sequence[str] = (),
-                    prefix: str = "q", group: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated quantiles ``{prefix}0..``; one row (per group).
-
-    Same definition as NumPy/pandas ``quantile`` and DuckDB
-    ``quantile_cont``; nulls are ignored.  Computed from ``value_ranges``:
-    the order statistics at the needed positions are the values whose
-    position range contains them (a handful of rows per group, found by a
-    broadcast range join against the 2 x len(probs) target positions).
-    ``key`` is accepted for symmetry with ``global_position``; ties need no
-    tie-break here.
-    """
-    group = list(group)
-    vr = value_ranges(df, value, group)
-    n = vr.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    targets = _targets(n, probs, group)
-    t_lo = targets.withColumnRenamed("_lo", "_pos")
-    t_hi = targets.select(*group, "_i", (F.col("_lo") + 1).alias("_pos"))
-
-    def at(t, name, extra):
-        t = t.select(*[F.col(g).alias(f"_t_{g}") for g in group], *[c for c in t.columns if c not in group])
-        cond = (F.col("_pos") >= F.col("_from")) & (F.col("_pos") <= F.col("_to"))
-        for g in group:
-            cond = cond & (F.col(g) == F.col(f"_t_{g}"))
-        return vr.join(F.broadcast(t), cond).select(*group, "_i", *extra, F.col("_v").alias(name))
-
-    lo_rows = at(t_lo, "_vlo", ["_f"])
-    hi_rows = at(t_hi, "_vhi", [])
-    picked = lo_rows.join(hi_rows, [*group, "_i"], "left").select(
-        *group, "_i",
-        # lo (1 - f) + hi f with the first product fused into the sum: the
-        # rounding of DuckDB's quantile_cont
-        F.when(F.col("_vhi").isNull() | (F.col("_f") == 0), F.col("_vlo"))
-        .otherwise(fma(F.col("_vlo"), F.lit(1.0) - F.col("_f"), F.col("_vhi") * F.col("_f"))).alias("_q"),
-    )
-    aggs = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
-    return picked.groupBy(*group).agg(*aggs) if group else picked.agg(*aggs)
+def order_statistics(df: DataFrame, value: str, positions: Callable[[int], Sequence[int]], group: str | None = None,
+                     weight: str | None = None) -> dict[object, tuple[int, dict[int, float]]]:
+    """Per group the row count and the values at the wanted 1-based positions.
 
+    Selection by counting, without a sort: a pass counts the rows in ``BINS``
+    equally wide ranges between the least and the greatest value (a partial
+    aggregate: at most ranges + 1 rows per group and task are shuffled); the
+    next pass looks only into the ranges that hold a wanted position, between
+    the least and greatest value found in each, until a range holds one value.
+    Every pass narrows a range ``BINS`` times, so a handful of passes is enough
+    for any doubles, and a value that repeats ends its range at once.
 
-# the histogram form is the general one; kept under its descriptive name
-histogram_quantiles = exact_quantiles
+    ``df`` is read once a pass: hand in a materialised frame.  ``group`` is a
+    column with few values (names of columns); ``weight`` counts a row several
+    times.  Nulls, NaN and infinities are left out.
+    """
+    g = F.col(group) if group else F.lit(_WHOLE)
+    w = F.col(weight) if weight else F.lit(1)
+    v = F.col(value).cast("double")
+    rows = df.select(g.alias("_g"), v.alias("_v"), w.cast("long").alias("_w")) \
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf")))
+    found: dict[object, tuple[int, dict[int, float]]] = {}
+    open_: list[tuple] = []  # (group, least, greatest, rows before, positions)
+
+    def settle(name, lo, hi, before, want):
+        if lo == hi:
+            found[name][1].update(dict.fromkeys(want, lo))
+        elif want:
+            open_.append((name, lo, hi, before, want))
+
+    for r in rows.groupBy("_g").agg(F.sum("_w").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect():
+        found[r["_g"]] = (r["n"], {})
+        settle(r["_g"], r["lo"], r["hi"], 0, sorted({p for p in positions(r["n"]) if 1 <= p <= r["n"]}))
+    while open_:
+        spans, open_ = open_, []
+        parts = []
+        for i, (name, lo, hi, _, _) in enumerate(spans):
+            unit = 1.0 if math.isfinite(hi - lo) else 0.5  # the width is a double
+            parts.append(F.struct(F.lit(i).alias("i"), F.lit(name).alias("g"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
+                                  F.lit(unit).alias("unit"), F.lit(hi * unit - lo * unit).alias("width")))
+        s = F.col("_s")
+        at = F.floor((F.col("_v") * s["unit"] - s["lo"] * s["unit"]) / s["width"] * BINS)
+        inside = F.filter(F.array(*parts), lambda s: s["g"].eqNullSafe(F.col("_g")) & (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"]))
+        counted = rows.withColumn("_s", F.explode(inside)).groupBy(F.col("_s.i").alias("i"), at.alias("bin")).agg(
+            F.sum("_w").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
+        for r in sorted(counted, key=lambda r: (r["i"], r["bin"])):
+            name, lo, hi, before, want = spans[r["i"]]
+            here = [p for p in want if before < p <= before + r["n"]]
+            settle(name, r["lo"], r["hi"], before, here)
+            spans[r["i"]] = (name, lo, hi, before + r["n"], want)
+    return found
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: str | None = None,
+                    weight: str | None = None) -> dict[object, list[float]]:
+    """Linear-interpolated quantiles of each group (``None`` without one), as
+    NumPy/pandas ``quantile`` and DuckDB ``quantile_cont`` define them; a group
+    without values has none.  ``lo + (hi - lo) * f`` between the two
+    neighbouring order statistics, which ``order_statistics`` finds.
+    """
+    def around(n):
+        return [p for q in probs for p in (math.floor((n - 1) * q) + 1, math.floor((n - 1) * q) + 2)]
+
+    out = {}
+    for name, (n, at) in order_statistics(df, value, around, group, weight).items():
+        cuts = []
+        for q in probs:
+            h = (n - 1) * q
+            lo = at[math.floor(h) + 1]
+            cuts.append(lo + (at.get(math.floor(h) + 2, lo) - lo) * (h - math.floor(h)))
+        out[name if group else None] = cuts
+    return out
 
 
 QUARTILES = (0.25, 0.5, 0.75)

@@ -70,43 +70,34 @@ def grid(base: DataFrame) -> DataFrame:
     return x.select(*base.columns, *(c.cast("long").alias(name) for c, name in zip(z, GRID)))
 
 
-def _literal(centres: dict[int, Centres]) -> Column:
+def _literal(centres: dict[int, Centres]) -> str:
     """The centres of each restart as one constant array (restart, centres)."""
     def points(c):
         return "array(" + ", ".join("array(" + ", ".join(f"{v}L" for v in p) + ")" for p in c) + ")"
 
-    return F.expr("array(" + ", ".join(f"named_struct('restart', {r}, 'centres', {points(c)})" for r, c in centres.items()) + ")")
-
-
-def distance(centres: Column, k: int) -> Column:
-    """Squared distance of a row to the ``k``-th of ``centres``."""
-    out = None
-    for j, z in enumerate(GRID):
-        d = F.col(z) - centres[k][j]
-        out = d * d if out is None else out + d * d
-    return out
+    return "array(" + ", ".join(f"named_struct('restart', {r}, 'centres', {points(c)})" for r, c in centres.items()) + ")"
 
 
 def nearest(points: DataFrame, centres: dict[int, Centres]) -> DataFrame:
-    """A row per point and restart with ``cluster`` and ``distance``; all restarts
-    have the same number of centres."""
+    """A row per point and restart with ``cluster`` and ``distance`` (squared);
+    all restarts have the same number of centres."""
     m = len(next(iter(centres.values())))
-    each = points.select("*", F.explode(_literal(centres)).alias("_c")).select("*", "_c.restart", "_c.centres").drop("_c")
-    best = F.array_min(F.array(*(F.struct(distance(F.col("centres"), k).alias("distance"), F.lit(k).alias("cluster")) for k in range(m))))
-    return each.withColumn("_b", best).select(*points.columns, "restart", "_b.cluster", "_b.distance")
+    far = [" + ".join(f"(({z} - centres[{k}][{j}]) * ({z} - centres[{k}][{j}]))" for j, z in enumerate(GRID)) for k in range(m)]
+    best = ", ".join(f"named_struct('distance', {d}, 'cluster', {k})" for k, d in enumerate(far))
+    return points.selectExpr("*", f"inline({_literal(centres)})").selectExpr(*points.columns, "restart", f"array_min(array({best})) as _b") \
+        .selectExpr(*points.columns, "restart", "_b.cluster", "_b.distance")
 
 
 def moved(points: DataFrame, centres: dict[int, Centres]) -> tuple[dict[int, Centres], dict[int, int], dict[tuple[int, int], int]]:
     """One assignment and update: new centres and cost of each restart, customers
     of each (restart, cluster)."""
-    sums = nearest(points, centres).groupBy("restart", "cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("distance").cast("decimal(20,0)")).alias("cost"),
-        *(F.sum(F.col(z).cast("decimal(20,0)")).alias(z) for z in GRID))
+    sums = nearest(points, centres).groupBy("restart", "cluster").agg(F.expr("count(1)").alias("n"), *(
+        F.expr(f"sum(cast({c} as decimal(20,0)))").alias(c) for c in ("distance", *GRID)))
     after = {r: [list(p) for p in c] for r, c in centres.items()}
     cost, size = dict.fromkeys(centres, 0), {}
     for row in sums.collect():  # restarts x centres at most
         after[row["restart"]][row["cluster"]] = [int(row[z]) // row["n"] for z in GRID]
-        cost[row["restart"]] += int(row["cost"])
+        cost[row["restart"]] += int(row["distance"])
         size[row["restart"], row["cluster"]] = row["n"]
     return after, cost, size
 
@@ -164,6 +155,13 @@ def starts(points: DataFrame, k: int, restarts: int, seed: int) -> dict[int, Cen
             for r, p in sorted(found.items())}
 
 
+def _tasks(base: DataFrame) -> int:
+    """Tasks a pass: as many as the cluster runs at once, none under 1,000
+    customers, none over 100,000 (labels are the same with any number)."""
+    n = base.count()
+    return max(1, min(n // 1_000, max(base.sparkSession.sparkContext.defaultParallelism, n // 100_000)))
+
+
 def hashed_starts(points: DataFrame, k: int, seed: int) -> Centres:
     """The k points whose hash of seed and customer is smallest."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("customer_id").cast("string")))
@@ -174,9 +172,7 @@ def kmeans(base: DataFrame, k: int, restarts: int, rounds: int, seed: int) -> Fi
     """Best of ``restarts`` fits over ``base`` (materialised: it is read in every
     round).  Without customers the result is empty; with fewer different
     customers than ``k`` some segments are."""
-    from tillroll.operators.ml import sized
-
-    points = sized(grid(base), ["customer_id"]).cache()
+    points = grid(base).repartition(_tasks(base)).cache()
     open_ = starts(points.select("customer_id", *GRID), k, restarts, seed)
     done: dict[int, tuple[Centres, int]] = {}
     for _ in range(rounds):

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import exprs as X
@@ -220,34 +220,42 @@ def kpi_summary(orders: DataFrame, items: DataFrame, exact: bool = True) -> Data
     return o.crossJoin(p)  # both sides are single-row global aggregates
 
 
-def column_statistics(fact: DataFrame, columns: Sequence[str], exact_quantiles: bool = True) -> DataFrame:
+def column_statistics(fact: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``describe()`` as tall rows: one row per column.
 
-    count, mean and std (6 decimals), min, 25 %, 50 %, 75 %, max.  The columns
-    are unpivoted once into (column_name, value), so one scan feeds every
-    statistic.  Quartiles are exact (distributed order statistics over a
-    per-column histogram); ``exact_quantiles=False`` uses
-    ``percentile_approx`` for very large high-cardinality columns.
+    count, mean, std and the exact quartiles (6 decimals), min, max.  The columns
+    are unpivoted once into (column_name, value) and combined to a histogram,
+    which every figure is read from: the fact is evaluated once.  The deviations
+    are summed around the mean, a pass of its own.
     """
-    from tillroll.functions.ranking import QUARTILES, exact_quantiles as eq
+    from tillroll.functions.ranking import QUARTILES, exact_quantiles, value_histogram
 
     stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = fact.selectExpr(f"stack({len(columns)}, {stack}) as (column_name, v)")
-    base = long.groupBy("column_name").agg(
-        F.count("v").alias("count"),
-        X.round6(F.avg("v")).alias("mean"),
-        X.std6(F.col("v")).alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
-    if exact_quantiles:
-        q = eq(long, "v", QUARTILES, group=["column_name"])
-    else:
-        q = long.groupBy("column_name").agg(F.percentile_approx("v", list(QUARTILES), 10000).alias("_a")).select(
-            "column_name", *[F.col("_a")[i].alias(f"q{i}") for i in range(3)])
-    return base.join(q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min",
-        F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
+    hist = value_histogram(fact.selectExpr(f"stack({len(columns)}, {stack}) as (column_name, v)"), "v", ["column_name"])
+    cuts = exact_quantiles(hist, "v", QUARTILES, "column_name", "n")
+    whole = hist.groupBy("column_name").agg(
+        F.sum("n").alias("count"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("v").alias("min"), F.max("v").alias("max")).collect()  # one row per column
+    of = {r["column_name"]: r for r in whole}
+    empty = F.lit(None).cast("double")
+
+    def by_column(values: dict) -> Column:
+        expr = F.when(F.lit(False), empty)
+        for c, v in values.items():
+            expr = expr.when(F.col("column_name") == c, F.lit(v))
+        return expr.otherwise(empty)
+
+    off = F.col("v") - by_column({c: r["mean"] for c, r in of.items()})
+    spread = hist.groupBy("column_name").agg(F.sum(off * off * F.col("n")).alias("ss"))
+    names = fact.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    count = F.coalesce(by_column({c: float(r["count"]) for c, r in of.items()}).cast("long"), F.lit(0))
+    return names.join(F.broadcast(spread), "column_name", "left").select(
+        "column_name", count.alias("count"),
+        X.round6(by_column({c: r["mean"] for c, r in of.items()})).alias("mean"),
+        X.round6(F.when(count > 1, F.sqrt(F.col("ss") / (count - 1)))).alias("std"),
+        by_column({c: r["min"] for c, r in of.items()}).alias("min"),
+        *(X.round6(by_column({c: q[i] for c, q in cuts.items()})).alias(n) for i, n in enumerate(("p25", "p50", "p75"))),
+        by_column({c: r["max"] for c, r in of.items()}).alias("max"))
 
 
 def null_counts(fact: DataFrame) -> DataFrame:

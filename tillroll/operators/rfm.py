@@ -12,12 +12,13 @@ bins), not ``ntile``:
 * F: quartiles of the rank of frequency, ties by customer id
   (``rank(method='first')``): the rank is a distributed global position and
   the quartiles of ranks 1..N are ``1 + p (N - 1)``;
-* M: quartiles of monetary from distributed order statistics.
+* M: quartiles of monetary.
+The quartiles of R and M are counted, not sorted for (``exact_quantiles``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import exprs as X
@@ -37,19 +38,25 @@ DEFAULT_SEGMENT = "At Risk"
 
 
 def rfm_base(fact: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """customer_id, recency, frequency, monetary, avg_order_value (+ exact monetary)."""
+    """customer_id, recency, frequency, monetary, avg_order_value (+ exact monetary).
+
+    Where ``orders`` have a ``first_line``, the same aggregate also finds each
+    customer's ``first_order`` (date, order_key, first_line).
+    """
     orders = orders if orders is not None else orders_of(fact)
     orders = orders.where(F.col("customer_id").isNotNull())
     per = orders.groupBy("customer_id").agg(
         F.max("date").alias("last_date"),
         F.count(F.lit(1)).alias("frequency"),
         X.exact_sum(F.col("revenue_dec")).alias("monetary_dec"),
+        *([first_order()] if "first_line" in orders.columns else []),
     )
+    more = [c for c in per.columns if c == "first_order"]
     # The snapshot (last date of all) from the customer rows.  The max runs
     # over a struct of every column, ordered by date first (same result), so
     # column pruning leaves both branches identical and Spark reuses the
     # customer aggregate's shuffle instead of recomputing the join.
-    snap = per.agg(F.max(F.struct("last_date", "frequency", "monetary_dec", "customer_id"))["last_date"]
+    snap = per.agg(F.max(F.struct("last_date", "frequency", "monetary_dec", "customer_id", *more))["last_date"]
                    .alias("_snapshot"))
     return per.crossJoin(F.broadcast(snap)).select(
         "customer_id",
@@ -57,71 +64,58 @@ def rfm_base(fact: DataFrame, orders: DataFrame | None = None) -> DataFrame:
         "frequency",
         X.to_double(F.col("monetary_dec")).alias("monetary"),
         X.safe_div(X.to_double(F.col("monetary_dec")), F.col("frequency")).alias("avg_order_value"),
-        "monetary_dec",
+        "monetary_dec", *more,
     )
 
 
-FIRST_ORDER = ("date", "order_key", "line_number", "product", "category")
+def first_order() -> Column:
+    """Aggregate: the earliest (date, order key) of a customer with its first line."""
+    return F.min(F.struct("date", "order_key", "first_line")).alias("first_order")
 
 
-def first_order_lines(fact: DataFrame, orders: DataFrame) -> DataFrame:
-    """The lines of each customer's first order (by date, then key).
-
-    ``orders`` (order_key, customer_id, date: orders that have lines) is a
-    fraction of the lines; the semi-join on the order key goes below the joins
-    of the fact, so that only those lines reach the other joins and the sort of
-    ``customer_first_attributes``.
-    """
-    first = orders.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
-        F.min(F.struct("date", "order_key")).alias("_first"))
-    return fact.join(first.select(F.col("_first.order_key").alias("order_key")), "order_key", "left_semi")
-
-
-def customer_first_attributes(fact: DataFrame, customers: DataFrame) -> DataFrame:
+def customer_first_attributes(firsts: DataFrame, parts: DataFrame, customers: DataFrame,
+                              keep: tuple[str, ...] = ("customer_id",)) -> DataFrame:
     """First product/category bought and the customer's tier and city.
 
-    ``first`` in row order becomes the minimum of a struct over a total order
-    of the lines (date, order, line, product, category), so the result does not
-    depend on partitioning.  The lines are reduced to one row per customer
-    before the customer attributes (``customers``: customer_id, loyalty_tier,
-    city) are joined, so the line-level join stops at orders and parts.
+    ``first`` in row order becomes the minimum over a total order of the lines
+    (date, order, line, part).  ``firsts`` has one row per customer (customer_id,
+    ``first_order``), so parts (sku, product, category) and customer attributes
+    (customer_id, loyalty_tier, city) are joined at customer grain: no line
+    reaches a join but the one with its order.  ``keep``: columns of ``firsts``
+    to carry along.
     """
-    first = F.min(F.struct(*[F.col(c) for c in FIRST_ORDER])).alias("_first")
-    per = fact.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(first)
-    return per.join(customers, "customer_id", "left").select(
-        "customer_id",
-        F.col("_first.date").alias("first_date"),
-        F.col("_first.product").alias("first_product"),
-        F.col("_first.category").alias("first_category"),
+    line = F.col("first_order.first_line.sku")
+    return firsts.join(parts, line == F.col("sku"), "left").join(customers, "customer_id", "left").select(
+        *keep,
+        F.col("first_order.date").alias("first_date"),
+        F.col("product").alias("first_product"),
+        F.col("category").alias("first_category"),
         "loyalty_tier", "city",
     )
 
 
-def rfm_with_attributes(base: DataFrame, attrs: DataFrame) -> DataFrame:
-    """Left join on customer: both sides are grouped on the key already."""
-    return base.drop("monetary_dec").join(attrs, "customer_id", "left")
+def rfm_with_attributes(base: DataFrame, parts: DataFrame, customers: DataFrame) -> DataFrame:
+    """RFM figures with the first attributes; ``base`` holds each customer's
+    ``first_order``, so both come from one aggregate."""
+    keep = ("customer_id", "recency", "frequency", "monetary", "avg_order_value")
+    return customer_first_attributes(base, parts, customers, keep)
 
 
 def rfm_scores(base: DataFrame) -> DataFrame:
     """R, F, M scores, the three-digit code (keeps ``monetary_dec``)."""
     # The ranked frame is checkpointed: the customer aggregate is computed
-    # once and the R and M cut points are read from the materialised rows.
+    # once and the R and M cut points are counted on the materialised rows.
     ranked = global_position(base, ["frequency", "customer_id"], name="f_rank")
-    # recency and monetary cut points in one grouped pass over a value
-    # histogram (recency has at most one value per calendar day)
-    long = ranked.selectExpr("stack(2, 'r', cast(recency as double), 'm', monetary) as (_metric, _x)")
-    q = exact_quantiles(long, "_x", QUARTILES, group=["_metric"])
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    rm_q = q.agg(*[F.max(F.when(F.col("_metric") == m, F.col(f"q{i}"))).alias(f"{m}{i}")
-                   for m in ("r", "m") for i in range(len(QUARTILES))])
-    f_q = n.select(*[(F.lit(1.0) + F.lit(p) * (F.col("_n") - 1).cast("double")).alias(f"f{i}")
-                     for i, p in enumerate(QUARTILES)])
-    cuts = rm_q.crossJoin(f_q)  # one row
-    scored = ranked.crossJoin(F.broadcast(cuts))
-    r = qcut_score(F.col("recency").cast("double"), F.col("r0"), F.col("r1"), F.col("r2"), ("4", "3", "2", "1"))
-    f = qcut_score(F.col("f_rank").cast("double"), F.col("f0"), F.col("f1"), F.col("f2"))
-    m = qcut_score(F.col("monetary"), F.col("m0"), F.col("m1"), F.col("m2"))
-    return scored.select(
+    long = ranked.selectExpr("stack(2, 'r', cast(recency as double), 'm', monetary) as (metric, x)")
+    cuts = exact_quantiles(long, "x", QUARTILES, "metric")
+    none = [None] * len(QUARTILES)
+    r_cut, m_cut = ([F.lit(q).cast("double") for q in cuts.get(m, none)] for m in ("r", "m"))
+    n = ranked.count()
+    f_cut = [F.lit(1.0 + p * (n - 1)) for p in QUARTILES]
+    r = qcut_score(F.col("recency").cast("double"), *r_cut, ("4", "3", "2", "1"))
+    f = qcut_score(F.col("f_rank").cast("double"), *f_cut)
+    m = qcut_score(F.col("monetary"), *m_cut)
+    return ranked.select(
         "customer_id", "recency", "frequency", "monetary", "avg_order_value", "monetary_dec",
         r.alias("r_score"), f.alias("f_score"), m.alias("m_score"),
     ).withColumn("rfm_score", F.concat("r_score", "f_score", "m_score"))

@@ -243,14 +243,15 @@ def daily_features(spark, d):
 
 # ------------------------------------------------------------------ joins
 
-def _first_attributes(spark, d):
-    lines = R.first_order_lines(fact(spark, d, "customer_id", *R.FIRST_ORDER), _orders(spark, d))
-    return R.customer_first_attributes(lines, customers(spark, d))
+def _parts(spark, d):
+    return read_table(spark, d, "part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("product"),
+                                               F.col("p_type").alias("category"))
 
 
 @query
 def rfm_with_attributes(spark, d):
-    return R.rfm_with_attributes(_rfm_base(spark, d), _first_attributes(spark, d))
+    base = R.rfm_base(None, order_totals(spark, d, first_line=True))
+    return R.rfm_with_attributes(base, _parts(spark, d), customers(spark, d))
 
 
 @query
@@ -303,7 +304,9 @@ def rfm_base(spark, d):
 
 @query
 def customer_first_attributes(spark, d):
-    return _first_attributes(spark, d)
+    orders = order_totals(spark, d, first_line=True).where("customer_id is not null")
+    firsts = orders.groupBy("customer_id").agg(R.first_order())
+    return R.customer_first_attributes(firsts, _parts(spark, d), customers(spark, d))
 
 
 @query

@@ -273,8 +273,8 @@ FIRST_ATTRS = f"""fa AS (
   SELECT customer_id, date AS first_date, product AS first_product, category AS first_category,
          loyalty_tier, city
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id
-                                     ORDER BY date, order_key, line_number, product, category) AS rn
-        FROM {fact('customer_id', 'date', 'order_key', 'line_number', 'product', 'category', 'loyalty_tier', 'city')}
+                                     ORDER BY date, order_key, line_number, sku) AS rn
+        FROM {fact('customer_id', 'date', 'order_key', 'line_number', 'sku', 'product', 'category', 'loyalty_tier', 'city')}
         WHERE customer_id IS NOT NULL)
   WHERE rn = 1)"""
 
@@ -394,8 +394,8 @@ _STATS = ("customer_id", "quantity", "unit_price", "discount", "total_price")
 q("column_statistics", f"WITH f AS (SELECT * FROM {fact(*_STATS)})\n" + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name, COUNT({c}) AS count, CAST(ROUND(CAST(CAST(AVG(CAST({c} AS DOUBLE)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS mean,
   CAST(ROUND(CAST(CAST(STDDEV_SAMP(CAST({c} AS DOUBLE)) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS std, MIN(CAST({c} AS DOUBLE)) AS min,
-  quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS p50,
-  quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75, MAX(CAST({c} AS DOUBLE)) AS max FROM f""" for c in _STATS))
+  CAST(ROUND(CAST(CAST(quantile_cont(CAST({c} AS DOUBLE), 0.25) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS p25, CAST(ROUND(CAST(CAST(quantile_cont(CAST({c} AS DOUBLE), 0.5) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS p50,
+  CAST(ROUND(CAST(CAST(quantile_cont(CAST({c} AS DOUBLE), 0.75) AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS p75, MAX(CAST({c} AS DOUBLE)) AS max FROM f""" for c in _STATS))
 
 _TYPES = {"order_key": "bigint", "line_number": "int", "date": "date", "customer_id": "bigint",
           "category": "string", "product": "string", "sku": "bigint", "brand": "string", "quantity": "double",

@@ -128,19 +128,24 @@ def sales_fact(spark: SparkSession, sf_dir: str, columns=FULL_FACT) -> DataFrame
     return df.select(*[spec[c][1].alias(c) for c in columns])
 
 
-def _line_measures(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    """Lines pre-aggregated by ``key`` (exact revenue, units, line count)."""
-    li = read_table(spark, sf_dir, "lineitem").select(key, "l_quantity", "l_extendedprice", "l_discount")
+def _line_measures(spark: SparkSession, sf_dir: str, key: str, columns=(), extra=()) -> DataFrame:
+    """Lines pre-aggregated by ``key`` (exact revenue, units, line count and the
+    ``extra`` aggregates over ``columns``)."""
+    li = read_table(spark, sf_dir, "lineitem").select(key, "l_quantity", "l_extendedprice", "l_discount", *columns)
     return li.groupBy(key).agg(
         F.sum(X.money(F.col("l_extendedprice"), F.col("l_discount"))).alias("revenue_dec"),
         F.sum("l_quantity").alias("units"),
         F.count(F.lit(1)).alias("lines"),
+        *extra,
     )
 
 
-def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_totals(spark: SparkSession, sf_dir: str, first_line: bool = False) -> DataFrame:
     """One row per order with lines: order_key, customer_id, date, revenue_dec, units, lines.
 
+    With ``first_line`` also the struct (line_number, sku) of the order's first
+    line; rows that repeat a line number count by the smaller part key.
+
     Eager aggregation: the lines are summed per order key *before* the join
     with ``orders`` (Spark does not push aggregates below joins itself).  The
     lines of an order are stored together, so the map-side partial aggregate
@@ -148,13 +153,15 @@ def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggregate's hash partitioning on the order key is reused by the join.
     Equal to grouping the line-level fact by order (sums decompose exactly).
     """
-    per = _line_measures(spark, sf_dir, "l_orderkey")
+    extra = [F.min(F.struct(F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("sku"))).alias("first_line")]
+    names = ["first_line"] if first_line else []
+    per = _line_measures(spark, sf_dir, "l_orderkey", ["l_linenumber", "l_partkey"] if first_line else [], extra if first_line else [])
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return per.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
         F.col("l_orderkey").alias("order_key"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("date"),
-        "revenue_dec", "units", "lines",
+        "revenue_dec", "units", "lines", *names,
     )
 
 
