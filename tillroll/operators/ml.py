@@ -126,7 +126,14 @@ def _regressors(rounds: int = GBT_ROUNDS, bins: int = 32):
     }
 
 
-def fit_demand_models(frame: DataFrame, rounds: int | None = None) -> dict:
+class DemandFits(dict):
+    """{name: (scored test frame, metrics frame)}; ``residuals`` are those of the
+    linear model on its training rows, with the features."""
+
+    residuals: DataFrame
+
+
+def fit_demand_models(frame: DataFrame, rounds: int | None = None) -> DemandFits:
     """Fit the three v1 regressors on the hashed 80 % of product-days.
 
     The assembled frame is cached once (product-day rows: bounded by calendar
@@ -142,7 +149,8 @@ def fit_demand_models(frame: DataFrame, rounds: int | None = None) -> dict:
     codes = data.agg(F.max("product_code")).first()[0] or 0
     ests = _regressors(rounds or GBT_ROUNDS, max(32, int(codes) + 1))
     models = in_parallel([lambda e=e: e.fit(train) for e in ests.values()])
-    out = {}
+    out = DemandFits()
+    out.residuals = models[0].transform(train).select(*V1_FEATURES, (F.col("label") - F.col("prediction")).alias("residual"))
     for name, model in zip(ests, models):
         scored = model.transform(test).select(*key, F.col("label").alias("actual"),
                                               F.col("prediction").alias("predicted"))

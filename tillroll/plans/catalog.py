@@ -751,6 +751,16 @@ def model_checks(spark, d):
     rows, bad = _check_rows, _bad
     parts = [rows(f"demand_{i}", scored, ("actual", F.sum("actual")), ("missing", bad(F.col("predicted").isNull() | F.isnan("predicted"))))
              for i, (scored, _) in enumerate(_demand_models(spark, d).values())]
+    fits = _demand_models(spark, d)
+    e = F.col("actual") - F.col("predicted")
+    for i, (scored, given) in enumerate(fits.values()):  # the metrics given are those of the rows
+        again = scored.agg(F.sqrt(F.avg(e * e)).alias("rmse_"), F.avg(F.abs(e)).alias("mae_")).crossJoin(F.broadcast(given))
+        wrong = F.greatest(F.abs(F.col("rmse_") - F.col("rmse")), F.abs(F.col("mae_") - F.col("mae"))) > 1e-5
+        parts.append(rows(f"demand_{i}_metrics", again, ("off", bad(wrong))))
+    # least squares: the residuals are orthogonal to the constant and to each feature
+    xe = [F.col("residual") * x for x in (F.lit(1.0), *(F.col(c).cast("double") for c in ML.V1_FEATURES))]
+    parts.append(rows("linear_fit", fits.residuals, *((f"skew_{j}", F.when(F.abs(F.sum(v)) > 1e-5 * F.sum(F.abs(v)), 1).otherwise(0))
+                                                      for j, v in enumerate(xe))))
     forecast, comps = _forecast(spark, d)
     off = F.abs(F.col("trend") + F.col("yearly") + F.col("weekly") - F.col("yhat")) > 1e-6 * F.greatest(F.lit(1.0), F.abs("yhat"))
     outside = (F.col("yhat") < F.col("yhat_lower")) | (F.col("yhat") > F.col("yhat_upper"))

@@ -643,6 +643,10 @@ for _i in range(3):
     _CHECKS[f"demand_{_i}_rows"] = f"WITH {DEMAND_TEST} SELECT COUNT(*) FROM test"
     _CHECKS[f"demand_{_i}_actual"] = f"WITH {DEMAND_TEST} SELECT SUM(units) FROM test"
     _CHECKS[f"demand_{_i}_missing"] = "SELECT 0"
+    _CHECKS[f"demand_{_i}_metrics_rows"] = "SELECT 1"
+    _CHECKS[f"demand_{_i}_metrics_off"] = "SELECT 0"
+_CHECKS |= {f"linear_fit_skew_{_i}": "SELECT 0" for _i in range(9)}  # the constant and eight features
+_CHECKS["linear_fit_rows"] = f"WITH {DEMAND_TEST} SELECT (SELECT COUNT(*) FROM f WHERE lag7 IS NOT NULL) - (SELECT COUNT(*) FROM test)"
 _SEQ = f"""{DAILY_FEATURES},
 s AS (SELECT date, revenue, ROW_NUMBER() OVER (ORDER BY date) - 30 AS i, COUNT(*) OVER () - 30 AS n FROM dfeat)"""
 _VAL = f"""{DAILY_FEATURES},
