@@ -9,6 +9,7 @@ from conftest import SF001
 from tillroll.operators import basket as B
 from tillroll.operators import features as FE
 from tillroll.operators import kpi as K
+from tillroll.operators import additive as AD
 from tillroll.operators import ml as ML
 from tillroll.operators import rfm as R
 from tillroll.plans.catalog import QUERIES
@@ -86,7 +87,7 @@ def test_planted_forecast(spark):
         d = d0 + dt.timedelta(days=t)
         data.append((d, 100.0 + 0.1 * t + (10.0 if d.weekday() == 5 else 0.0)))
     daily = spark.createDataFrame(data, "date date, revenue double")
-    fc, comps = ML.revenue_forecast(daily, 90)
+    fc, comps = AD.revenue_forecast(daily, 90)[:2]
     fut = fc.where("is_future").orderBy("date").collect()
     assert len(fut) == 90
     for r in fut:

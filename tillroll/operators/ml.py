@@ -1,5 +1,5 @@
-"""Models on Spark ML: demand regressors, tuned boosting, AR(30), additive
-revenue forecast, K-means segments and PCA.
+"""Models on Spark ML: demand regressors, tuned boosting, AR(30), forecast
+reports, K-means segments and PCA.
 
 The reference trains scikit-learn, XGBoost, Prophet and Keras models on one
 machine; here every fit is a ``pyspark.ml`` estimator over DataFrames, so
@@ -50,10 +50,7 @@ KMEANS_K = 4
 KMEANS_RESTARTS = 10
 KMEANS_ROUNDS = 300
 PCA_K = 2
-CHANGEPOINTS = 25
-CHANGEPOINT_RANGE = 0.8
 INTERVAL_Z = 1.2815515655446004  # standard normal quantile at 0.9 (80 % band)
-RIDGE = 1e-3
 HORIZON = 90
 PARALLELISM = 8          # concurrent fits (Spark jobs) submitted by the driver
 
@@ -243,71 +240,7 @@ def ar30_forecast(sequences: DataFrame, train_fraction: float = 0.8, n: int = 30
     return scored, FC.metrics(scored)
 
 
-# ---------------------------------------------------------------- additive forecast
-
-def _changepoints(t_hist_max: int) -> list[float]:
-    last = CHANGEPOINT_RANGE * t_hist_max
-    return [last * (j + 1) / (CHANGEPOINTS + 1) for j in range(CHANGEPOINTS)]
-
-
-def revenue_forecast(daily: DataFrame, horizon: int = HORIZON):
-    """Trend with changepoint hinges + yearly and weekly Fourier terms,
-    fitted by ridge least squares on the observed days, predicted for the
-    observed days and ``horizon`` days after.
-
-    Returns (forecast frame, components frame).  Bounds are yhat -/+ z *
-    residual std (80 % band).  Same model family as the reference's additive
-    forecaster, not the same numbers (no per-group priors, no MCMC).
-    """
-    from tillroll.operators.features import date_bounds
-
-    daily = materialized(daily.select("date", "revenue"))
-    # observed days keep their revenue; the horizon days are appended with a
-    # null target (no join back to the daily series)
-    hist = daily.select("date", F.col("revenue").cast("double").alias("revenue"), F.lit(False).alias("is_future"))
-    fut = date_bounds(daily, ["revenue"]).select(
-        F.explode(F.sequence(F.date_add("_hi", 1), F.date_add("_hi", horizon))).alias("date"),
-        F.lit(None).cast("double").alias("revenue"), F.lit(True).alias("is_future"))
-    reg = FC.day_index(hist.unionByName(fut)).select("date", "is_future", "revenue", "t", *FC.fourier_columns())
-    t_max = reg.where(~F.col("is_future")).agg(F.max("t")).first()[0]
-    cps = _changepoints(int(t_max))
-    scale = float(max(t_max, 1))
-    hinge = [F.greatest(F.lit(0.0), (F.col("t") - F.lit(c)) / F.lit(scale)).alias(f"cp_{j}") for j, c in enumerate(cps)]
-    seasonal = [c for c in reg.columns if c.startswith(("yearly_", "weekly_"))]
-    trend_cols = ["t_s"] + [f"cp_{j}" for j in range(len(cps))]
-    data = reg.select("*", (F.col("t") / F.lit(scale)).alias("t_s"), *hinge)
-    feats = trend_cols + seasonal
-    data = sized(_assemble(feats).transform(data), ["date"]).cache()
-    train = data.where(~F.col("is_future") & F.col("revenue").isNotNull()).withColumn("label", F.col("revenue"))
-    model = LinearRegression(featuresCol="features", labelCol="label", regParam=RIDGE, elasticNetParam=0.0,
-                             standardization=True).fit(train)
-    coef = model.coefficients.toArray().tolist()
-    icpt = float(model.intercept)
-    pred = model.transform(data)
-    resid = pred.where(~F.col("is_future") & F.col("revenue").isNotNull()) \
-        .agg(F.stddev_samp(F.col("revenue") - F.col("prediction")).alias("_sd"))
-    band = F.lit(INTERVAL_Z) * F.col("_sd")
-    forecast = pred.crossJoin(F.broadcast(resid)).select(
-        "date", "is_future", F.col("revenue").alias("actual"),
-        F.col("prediction").alias("yhat"),
-        (F.col("prediction") - band).alias("yhat_lower"),
-        (F.col("prediction") + band).alias("yhat_upper"),
-    )
-
-    def group(prefix_cols):
-        expr = F.lit(0.0)
-        for c in prefix_cols:
-            expr = expr + F.lit(coef[feats.index(c)]) * F.col(c)
-        return expr
-
-    comps = data.select(
-        "date", "is_future",
-        (F.lit(icpt) + group(trend_cols)).alias("trend"),
-        group([c for c in seasonal if c.startswith("yearly_")]).alias("yearly"),
-        group([c for c in seasonal if c.startswith("weekly_")]).alias("weekly"),
-    ).join(forecast.select("date", "yhat"), "date")
-    return forecast, comps
-
+# ---------------------------------------------------------------- forecast reports
 
 def forecast_totals(forecast: DataFrame) -> DataFrame:
     """Predicted revenue for the next 30 and the next 90 days."""

@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators import additive as AD
 from tillroll.operators import basket as B
 from tillroll.operators import clustering as CL
 from tillroll.operators import features as FE
@@ -146,7 +147,7 @@ def _export_views(spark, d) -> dict[str, DataFrame]:
     orders = _orders(spark, d).checkpoint(eager=True)
     seg = R.rfm_segments(R.rfm_scores(R.rfm_base(None, orders)))
     daily = K.revenue_by(orders, ["date"])
-    forecast, _ = ML.revenue_forecast(daily)
+    forecast = AD.revenue_forecast(daily).forecast
     clusters = _kmeans(spark, d).segments
     return {
         # first export set
@@ -646,7 +647,7 @@ def forecast_results(spark, d):
 
 
 def _forecast(spark, d):
-    return _memo(spark, d, "forecast", lambda: ML.revenue_forecast(_daily_revenue(spark, d)))
+    return _memo(spark, d, "forecast", lambda: AD.revenue_forecast(_daily_revenue(spark, d)))
 
 
 @query
@@ -659,6 +660,13 @@ def forecast_components(spark, d):
     return _forecast(spark, d)[1]
 
 
+@query
+def forecast_gram(spark, d):
+    """Gram matrix of the forecast's regressors and revenue, in whole numbers."""
+    out = AD.gram(*AD.regressors(*AD.calendar_of(ML.materialized(_daily_revenue(spark, d)))))
+    return out.select("i", "j", F.col("value").cast("string").alias("value"))
+
+
 @query
 def forecast_totals(spark, d):
     return ML.forecast_totals(_forecast(spark, d)[0])
@@ -761,7 +769,9 @@ def model_checks(spark, d):
     xe = [F.col("residual") * x for x in (F.lit(1.0), *(F.col(c).cast("double") for c in ML.V1_FEATURES))]
     parts.append(rows("linear_fit", fits.residuals, *((f"skew_{j}", F.when(F.abs(F.sum(v)) > 1e-5 * F.sum(F.abs(v)), 1).otherwise(0))
                                                       for j, v in enumerate(xe))))
-    forecast, comps = _forecast(spark, d)
+    forecast, comps, additive, regressors = _forecast(spark, d)
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    by_day = forecast.where("is_future").select(width.alias("w"), F.lag(width).over(Window.orderBy("date")).alias("before"))
     off = F.abs(F.col("trend") + F.col("yearly") + F.col("weekly") - F.col("yhat")) > 1e-6 * F.greatest(F.lit(1.0), F.abs("yhat"))
     outside = (F.col("yhat") < F.col("yhat_lower")) | (F.col("yhat") > F.col("yhat_upper"))
     fit = _kmeans(spark, d)
@@ -779,6 +789,8 @@ def model_checks(spark, d):
         rows("forecast", forecast, ("future", bad(F.col("is_future"))), ("actual", F.sum("actual")), ("outside", bad(outside)),
              ("last_day", F.datediff(F.max("date"), F.lit("1970-01-01").cast("date")))),
         rows("components", comps, ("off", bad(off))),
+        rows("forecast_widths", by_day, ("narrower", bad(F.col("w") < F.col("before") * (1 - 1e-9)))),
+        rows("forecast_optimal", AD.optimality(regressors, additive), ("broken", bad(~F.col("holds")))),
         rows("actual_vs_forecast", actual_vs_forecast(spark, d)),
         rows("clusters", clusters, ("frequency", F.sum("frequency")), ("segments", F.countDistinct("segment"))),
         rows("clusters_fit", fit.assigned, ("far", bad(far))),

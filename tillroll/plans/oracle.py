@@ -604,6 +604,28 @@ SELECT product, CAST(ROUND(CAST(CAST(regr_slope(units, prev) AS VARCHAR) AS DECI
        COUNT(*) AS n
 FROM l WHERE prev IS NOT NULL GROUP BY product""")
 
+
+def _millionths() -> str:
+    """The forecast's regressors in whole millionths, then revenue in hundredths."""
+    cols = ["1000000", "t * 1000000 // days"]
+    cols += [f"GREATEST(t - 80 * days * {j} // 2600, 0) * 1000000 // days" for j in range(1, 26)]
+    for period, order in ((YEAR_DAYS, YEARLY_ORDER), (WEEK_DAYS, WEEKLY_ORDER)):
+        for k in range(1, order + 1):
+            for f in ("sin", "cos"):
+                arg = f"{D(2.0 * math.pi * k)} * CAST(t AS DOUBLE) / {D(period)}"
+                cols.append(f"ROUND(CAST(CAST({f}({arg}) AS VARCHAR) AS DECIMAL(38,12)), 6) * 1000000")
+    cols.append("floor(revenue * 100 + 0.5)")
+    return ", ".join(f"CAST({c} AS HUGEINT)" for c in cols)
+
+
+q("forecast_gram", f"""WITH {DAILY_REV},
+dt AS (SELECT revenue, CAST(date_diff('day', (SELECT MIN(date) FROM daily), date) AS BIGINT) AS t,
+              CAST(date_diff('day', (SELECT MIN(date) FROM daily), (SELECT MAX(date) FROM daily)) AS BIGINT) AS days FROM daily),
+x AS (SELECT t, [{_millionths()}] AS x FROM dt),
+c AS (SELECT t, unnest(x) AS z, CAST(generate_subscripts(x, 1) AS INTEGER) AS i FROM x)
+SELECT a.i AS i, b.i AS j, CAST(SUM(a.z * b.z) AS VARCHAR) AS value
+FROM c a JOIN c b ON a.t = b.t AND a.i <= b.i GROUP BY a.i, b.i""")
+
 # ------------------------------------------------------------------ report text
 
 _KPI = f"""{ORDERS},
@@ -659,6 +681,10 @@ _CHECKS |= {
     "forecast_last_day": f"WITH {DAILY_REV} SELECT date_diff('day', DATE '1970-01-01', MAX(date)) + 90 FROM daily",
     "components_rows": f"WITH {DAILY_REV} SELECT COUNT(*) + 90 FROM daily",
     "components_off": "SELECT 0",
+    "forecast_widths_rows": "SELECT 90",
+    "forecast_widths_narrower": "SELECT 0",
+    "forecast_optimal_rows": "SELECT 53",  # the line's two, 25 changes, 26 of the seasons
+    "forecast_optimal_broken": "SELECT 0",
     "actual_vs_forecast_rows": f"WITH {DAILY_REV} SELECT LEAST(COUNT(*), 90) + 90 FROM daily",
     "clusters_rows": f"WITH {RFM_BASE} SELECT COUNT(*) FROM base",
     "clusters_frequency": f"WITH {RFM_BASE} SELECT SUM(frequency) FROM base",
