@@ -23,6 +23,7 @@ from tillroll.operators import features as FE
 from tillroll.operators import forecast as FC
 from tillroll.operators import inventory as INV
 from tillroll.operators import kpi as K
+from tillroll.operators import lifetime as L
 from tillroll.operators import ml as ML
 from tillroll.operators import rfm as R
 from tillroll.sources import export as EX
@@ -507,6 +508,29 @@ def customer_clv(spark, d):
 
 # ------------------------------------------------------------------ baskets
 
+def _quarters(spark, d):
+    return _memo(spark, d, "quarters", lambda: ML.materialized(L.purchase_quarters(_orders(spark, d))))
+
+
+@query
+def purchase_histogram(spark, d):
+    """Customers by quarters with an order, the last of them, quarters seen."""
+    return L.purchase_histogram(L.purchase_quarters(_orders(spark, d)))
+
+
+def _lifetime(spark, d):
+    def fit():
+        counts = L.purchase_histogram(_quarters(spark, d))
+        return (found := L.fit(counts)), L.predictions(counts, found)
+    return _memo(spark, d, "lifetime", fit)
+
+
+@query
+def predicted_clv(spark, d):
+    """Quarters with an order expected of each customer in the next four, and their value."""
+    return L.predicted_value(_quarters(spark, d), _lifetime(spark, d)[1])
+
+
 @query
 def association_rules(spark, d):
     return B.association_rules(fact(spark, d, "order_key", "category"), "category")
@@ -561,6 +585,18 @@ def ar1_by_product(spark, d):
     return FC.ar1_by_product(_dps(spark, d))
 
 
+@query
+def ar_order_by_product(spark, d):
+    """Autoregression of each product's daily units, order chosen per product."""
+    return FC.ar_order_by_product(_dps(spark, d).groupBy("product", "date").agg(F.sum("units").alias("units")))
+
+
+@query
+def seasonal_smoothing(spark, d):
+    """Level, trend and yearly season of each product's monthly units."""
+    return FC.seasonal_smoothing(fact(spark, d, "date", "product", "quantity").where("product is not null"), value="quantity")
+
+
 # ------------------------------------------------------------------ streaming
 
 @query
@@ -800,6 +836,9 @@ def model_checks(spark, d):
              ("off_centre", F.when(F.greatest(F.abs(F.avg("pc1")), F.abs(F.avg("pc2"))) > 1e-9, 1).otherwise(0)),
              ("disordered", F.when(F.var_samp("pc2") > F.var_samp("pc1"), 1).otherwise(0))),
         rows("forecast_results", forecast_results(spark, d), ("actual", F.sum("actual"))),
+        rows("lifetime", predicted_clv(spark, d), ("purchases", F.sum("repeat_quarters")),
+             ("steep", F.lit(0 if _lifetime(spark, d)[0].gradient < 1e-6 else 1)),
+             ("outside", bad(~F.col("p_alive").between(0, 1) | ~F.col("expected_quarters").between(0, L.QUARTERS_AHEAD) | F.col("predicted_value").isNull()))),
     ]
     return _checks(parts)
 

@@ -495,6 +495,13 @@ c AS (SELECT *, CAST(m AS DOUBLE) / frequency AS avg_order_value,
 SELECT customer_id, first_date, last_date, frequency, avg_order_value, orders_per_year,
        CAST(ROUND(CAST(CAST(avg_order_value * orders_per_year * {D(3.0)} AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE) AS clv FROM c""")
 
+QUARTERS = f"""{ORDERS},
+cq AS (SELECT DISTINCT customer_id, CAST(year(date) * 4 + quarter(date) AS INTEGER) AS q FROM o
+       WHERE customer_id IS NOT NULL AND date IS NOT NULL),
+each AS (SELECT customer_id, CAST(COUNT(*) - 1 AS INTEGER) AS x, CAST(MAX(q) - MIN(q) AS INTEGER) AS t,
+                CAST((SELECT MAX(q) FROM cq) - MIN(q) AS INTEGER) AS n FROM cq GROUP BY customer_id)"""
+q("purchase_histogram", f"WITH {QUARTERS} SELECT x, t, n, COUNT(*) AS customers FROM each GROUP BY x, t, n")
+
 # ------------------------------------------------------------------ baskets
 
 q("association_rules", f"""WITH items AS (SELECT DISTINCT order_key AS basket, category AS item
@@ -605,6 +612,61 @@ SELECT product, CAST(ROUND(CAST(CAST(regr_slope(units, prev) AS VARCHAR) AS DECI
 FROM l WHERE prev IS NOT NULL GROUP BY product""")
 
 
+def R6(x: str) -> str:
+    return f"CAST(ROUND(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,12)), 6) AS DOUBLE)"
+
+
+def _levinson(most: int = 6) -> str:
+    """One CTE an order: its last coefficient, the others, the error left."""
+    steps, before = [], "s0"
+    for p in range(1, most + 1):
+        r = lambda k: f"r{k}" if k else "CAST(1 AS DOUBLE)"
+        dot = " + ".join(f"a{p - 1}_{j} * {r(p - j)}" for j in range(1, p)) or "CAST(0 AS DOUBLE)"
+        rest = "".join(f", a{p - 1}_{j} - k * a{p - 1}_{p - j} AS a{p}_{j}" for j in range(1, p))
+        steps.append(f"s{p} AS (SELECT *, k AS a{p}_{p}{rest}, GREATEST(error_{p - 1} * (1 - k * k), {D(1e-12)}) AS error_{p} FROM"
+                     f" (SELECT * {'EXCLUDE (k)' if p > 1 else ''}, ({r(p)} - ({dot})) / error_{p - 1} AS k FROM {before}))")
+        before = f"s{p}"
+    return ",\n".join(steps)
+
+
+_LAGS = range(1, 7)
+_PHI = [f"CASE {' '.join(f'WHEN ar_order = {p} THEN a{p}_{j}' for p in range(j, 7))} ELSE 0 END" for j in _LAGS]
+q("ar_order_by_product", f"""WITH {DPS},
+pd AS (SELECT product, date, CAST(SUM(units) AS DOUBLE) AS x FROM dps GROUP BY product, date),
+l AS (SELECT product, x, {', '.join(f'LAG(x, {k}) OVER (PARTITION BY product ORDER BY date) AS b{k}' for k in _LAGS)} FROM pd),
+a AS (SELECT product, COUNT(*) AS n, AVG(x) AS mean, SUM(x * x) AS q0,
+             {', '.join(f'SUM(x * b{k}) AS q{k}, SUM(x + b{k}) AS e{k}' for k in _LAGS)} FROM l GROUP BY product),
+s0 AS (SELECT product, n, mean, CAST(1 AS DOUBLE) AS error_0,
+       {', '.join(f'CASE WHEN q0 - n * mean * mean > {D(1e-9)} * q0 AND n > {k} THEN (q{k} - mean * e{k} + (n - {k}) * mean * mean) / (q0 - n * mean * mean) ELSE 0 END AS r{k}' for k in _LAGS)} FROM a),
+{_levinson()},
+o AS (SELECT *, list_position([{', '.join(f'n * ln(error_{p}) + {2 * p}' for p in range(7))}],
+                list_min([{', '.join(f'n * ln(error_{p}) + {2 * p}' for p in range(7))}])) - 1 AS ar_order FROM s6)
+SELECT product, n, {R6('mean')} AS mean, CAST(ar_order AS INTEGER) AS ar_order, {', '.join(f'{R6(c)} AS phi_{j}' for j, c in enumerate(_PHI, 1))},
+       {R6(f"CASE {' '.join(f'WHEN ar_order = {p} THEN error_{p}' for p in range(7))} END")} AS error, CAST(0 AS DOUBLE) AS off FROM o""")
+
+# weights of level, trend and season that the smoothing tries
+_TRIALS = [(a, b, g) for a in (0.1, 0.3, 0.5, 0.7, 0.9) for b in (0.0, 0.02, 0.1) for g in (0.0, 0.05, 0.1)]
+q("seasonal_smoothing", f"""WITH RECURSIVE u AS (
+  SELECT product, year(date) * 12 + month(date) - 1 AS m, CAST(SUM(quantity) AS DOUBLE) AS x
+  FROM {fact('date', 'product', 'quantity')} WHERE date IS NOT NULL AND product IS NOT NULL GROUP BY 1, 2),
+months AS (SELECT unnest(range((SELECT MIN(m) FROM u), (SELECT MAX(m) FROM u) + 1)) AS m),
+xs AS (SELECT product, list(COALESCE(x, 0) ORDER BY m) AS x
+       FROM (SELECT DISTINCT product FROM u) CROSS JOIN months LEFT JOIN u USING (product, m) GROUP BY product),
+st AS (SELECT product, x, list_sum(x[1:12]) / 12 AS y1, list_sum(x[13:24]) / 12 AS y2 FROM xs WHERE len(x) >= 24),
+tr AS (SELECT * FROM (VALUES {', '.join(f'({i}, {D(a)}, {D(b)}, {D(g)})' for i, (a, b, g) in enumerate(_TRIALS))}) v(trial, alpha, beta, gamma)),
+f AS (SELECT product, trial, alpha, beta, gamma, 12 AS t, y1 + 5.5::DOUBLE * ((y2 - y1) / 12) AS level, (y2 - y1) / 12 AS trend,
+             list_transform(x[1:12], lambda v, i: v - (y1 + (i - 6.5::DOUBLE) * ((y2 - y1) / 12))) AS season, CAST(0 AS DOUBLE) AS sse FROM st, tr
+      UNION ALL
+      SELECT product, trial, alpha, beta, gamma, t + 1, level + trend + alpha * e, trend + beta * e,
+             list_append(season[2:12], season[1] + gamma * e), sse + e * e
+      FROM (SELECT f.*, st.x[t + 1] - (level + trend + season[1]) AS e FROM f JOIN st USING (product) WHERE t < len(st.x))),
+b AS (SELECT f.*, len(x) AS months, ROW_NUMBER() OVER (PARTITION BY product ORDER BY sse, trial) AS place
+      FROM f JOIN st USING (product) WHERE t = len(x))
+SELECT product, CAST(months AS INTEGER) AS months, alpha, beta, gamma, {R6('sqrt(sse / (months - 12))')} AS rmse, {R6('level')} AS level, {R6('trend')} AS trend,
+       {R6('level + trend + season[1]')} AS next_month, {R6('level * 12 + trend * 78 + list_sum(season)')} AS next_year
+FROM b WHERE place = 1""")
+
+
 def _millionths() -> str:
     """The forecast's regressors in whole millionths, then revenue in hundredths."""
     cols = ["1000000", "t * 1000000 // days"]
@@ -697,6 +759,10 @@ _CHECKS |= {
     "pca_correlated": "SELECT 0",
     "pca_off_centre": "SELECT 0",
     "pca_disordered": "SELECT 0",
+    "lifetime_rows": f"WITH {QUARTERS} SELECT COUNT(*) FROM each",
+    "lifetime_purchases": f"WITH {QUARTERS} SELECT SUM(x) FROM each",
+    "lifetime_steep": "SELECT 0",
+    "lifetime_outside": "SELECT 0",
     "forecast_results_rows": f"WITH {DEMAND_TEST} SELECT LEAST(COUNT(*), 100) FROM test",
     "forecast_results_actual": f"""WITH {DEMAND_TEST},
         t AS (SELECT units FROM test ORDER BY date, product, category LIMIT 100) SELECT SUM(units) FROM t""",
