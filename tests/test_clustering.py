@@ -99,3 +99,26 @@ def test_start_points_are_customers(customers):
     assert all(len(c) == 4 and {tuple(p) for p in c} <= at for c in found.values())
     assert len({tuple(map(tuple, c)) for c in found.values()}) > 1  # restarts differ
     assert found == CL.starts(points.repartition(7).select("customer_id", *CL.GRID), 4, 6, 42)
+
+
+def test_a_pass_adds_up_all_restarts_without_a_row_for_each(spark, monkeypatch):
+    """10 restarts over many customers: the passes read each customer once, and
+    restarts may have different numbers of centres; nulls are with the first."""
+    rng = random.Random(3)
+    rows = [[rng.randint(-20000, 20000) for _ in CL.GRID] for _ in range(500)] + [[None, 5, 6, 7]]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(rows)], "customer_id long, " + ", ".join(f"{z} long" for z in CL.GRID))
+    centres = {r: [rows[rng.randrange(500)] for _ in range(1 + r % 4)] for r in range(10)}
+    monkeypatch.setattr(CL, "nearest", None)  # a row per customer and restart
+    after, cost, size = CL.moved(points.repartition(3), centres)
+    for r, c in centres.items():
+        members, total = {}, 0
+        for p in rows:
+            dist = [0] if None in p else [sum((a - b) ** 2 for a, b in zip(p, q)) for q in c]
+            members.setdefault(dist.index(min(dist)), []).append(p)
+            total += min(dist)
+        assert cost[r] == total
+        for k, ps in members.items():
+            assert size[r, k] == len(ps)
+            assert after[r][k] == [sum(v or 0 for v in z) // len(ps) for z in zip(*ps)]
+    found = CL.starts(points, 4, 3, 42)
+    assert all(p in rows[:-1] for c in found.values() for p in c)
