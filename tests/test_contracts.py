@@ -145,3 +145,23 @@ def test_stream_with_every_window_open_is_empty(spark, tmp_path):
     spark.createDataFrame(events, schema).write.parquet(str(tmp_path / "events.parquet"))
     got = daily_value_stream(spark, str(tmp_path), state_partitions=2)
     assert got.collect() == [] and got.columns == ["window_date", "event_type", "events", "total_value"]
+
+
+def test_model_queries_sum_the_lines_once(spark, monkeypatch):
+    """Forecast, clusters, axes and lifetimes read one table of order totals."""
+    from tillroll.plans import catalog as C
+
+    calls = []
+    real = C.order_totals
+    monkeypatch.setattr(C, "order_totals", lambda *a, **k: calls.append(a) or real(*a, **k))
+    C.forget_fits()
+    for name in ("revenue_forecast", "actual_vs_forecast", "ar30_forecast", "kmeans_segments", "rfm_pca", "predicted_clv"):
+        assert QUERIES[name](spark, SF001).count() > 0
+    assert len(calls) == 1
+    C.forget_fits()
+
+
+def test_partitions_of_a_fit_grow_slower_than_its_rows(spark):
+    """Each partition sends its own node statistics to the shuffle."""
+    sizes = (0, 1, 100_000, 100_001, 2_400_000, 5_000_000, 24_000_001)
+    assert [ML.ml_partitions(spark.range(n)) for n in sizes] == [1, 1, 1, 2, 24, 24, 25]
