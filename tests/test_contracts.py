@@ -165,3 +165,54 @@ def test_partitions_of_a_fit_grow_slower_than_its_rows(spark):
     """Each partition sends its own node statistics to the shuffle."""
     sizes = (0, 1, 100_000, 100_001, 2_400_000, 5_000_000, 24_000_001)
     assert [ML.ml_partitions(spark.range(n)) for n in sizes] == [1, 1, 1, 2, 24, 24, 25]
+
+
+@pytest.fixture(scope="module")
+def odd_parts(spark, tmp_path_factory):
+    """Lines whose parts are missing, nameless, twice there or named alike."""
+    d = str(tmp_path_factory.mktemp("parts"))
+    parts = [(1, "saw", "tool"), (2, "saw", "toy"), (3, "saw", None), (4, None, "tool"), (5, None, None), (6, "axe", "tool"),
+             (6, "axe", "tool"), (7, "axe", "toy"), (7, "cup", "toy"), (8, "saw", "tool"), (None, "pan", "tool"), (9, "", "")]
+    lines = [(o, p, n, float(n + 1), 10.0 * (n + 1), 0.1) for o in (1, 1, 2, 3, None) for n, p in enumerate((1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None))]
+    lines += [(4, 6, 1, None, 5.0, 0.0), (None, 9, 1, 2.0, None, 0.0), (5, 7, 1, 3.0, 7.0, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").withColumn("p_brand", F.lit("b")) \
+        .write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double") \
+        .write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+def test_numbered_lines_give_the_views_of_the_named_ones(spark, odd_parts):
+    from tillroll.operators import kpi as K
+    from tillroll.sources.tables import item_lines, items
+
+    numbered = items(spark, odd_parts)
+    lines = item_lines(spark, odd_parts, numbered)
+    named = sales_fact(spark, odd_parts, ["category", "product", "revenue_dec", "quantity", "order_key"])
+    assert lines.count() == named.count()
+    for new, old in ((K.item_performance, K.product_performance), (K.item_demand, K.product_demand), (K.item_names, K.dim_products)):
+        got, want = new(lines, numbered), old(named)
+        assert got.dtypes == want.dtypes and rows(got) == rows(want) != []
+    none = lines.where("false")
+    assert [f(none, numbered).count() for f in (K.item_performance, K.item_demand, K.item_names)] == [0, 0, 0]
+    # an order with a product in two categories counts once for the product
+    assert {r["product"]: r["frequency"] for r in K.item_demand(lines, numbered).collect()}["saw"] == 3
+
+
+def test_product_views_of_the_export_read_one_table_of_lines(spark, monkeypatch):
+    """No view joins the lines to their parts again, and the counts of distinct
+    orders shuffle no names."""
+    from tillroll.plans import catalog as C
+
+    monkeypatch.setattr(ML, "RF_TREES", 2)
+    monkeypatch.setattr(ML, "GBT_ROUNDS", 2)
+    C.forget_fits()
+    views = C._export_views(spark, SF001)
+    for name in ("dim_products", "Product_Performance", "Inventory_Optimization"):
+        plan = views[name]._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem.parquet" not in plan and "part.parquet" not in plan
+        assert views[name].count() > 0
+    assert rows(views["Product_Performance"]) == rows(QUERIES["product_performance"](spark, SF001))
+    assert rows(views["Inventory_Optimization"]) == rows(QUERIES["reorder_points"](spark, SF001))
+    assert rows(views["dim_products"]) == rows(QUERIES["dim_products"](spark, SF001))
+    C.forget_fits()
